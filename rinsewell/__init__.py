@@ -1,2 +1,48 @@
-from .plans.clean import clean
+"""Cleaning tables with Spark: lists of steps that become one plan, with a report of what changed."""
+
+from . import functions
 from .operators import step
+from .plans import (
+    PRESETS,
+    CleanResult,
+    clean,
+    clean_chunks,
+    clean_file,
+    clean_files,
+    module_totals,
+    preset,
+    read_reports,
+    report_row,
+    run_totals,
+    union_chunks,
+    with_overrides,
+    write_report,
+)
+from .sources import flatten, infer_types, null_tokens, read_table, write_table
+from .streaming import clean_stream, clean_stream_batches
+
+__all__ = [
+    "PRESETS",
+    "CleanResult",
+    "clean",
+    "clean_chunks",
+    "clean_file",
+    "clean_files",
+    "clean_stream",
+    "clean_stream_batches",
+    "flatten",
+    "functions",
+    "infer_types",
+    "module_totals",
+    "null_tokens",
+    "preset",
+    "read_reports",
+    "read_table",
+    "report_row",
+    "run_totals",
+    "step",
+    "union_chunks",
+    "with_overrides",
+    "write_report",
+    "write_table",
+]

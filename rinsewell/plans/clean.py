@@ -14,6 +14,7 @@ from ..sources.order import ORDER_COLUMN
 from .frame import Frame
 
 STEP = str | dict
+CHUNK_COLUMN = "__row_number"
 
 
 def read_spec(spec: STEP) -> tuple[str, dict] | None:
@@ -186,7 +187,7 @@ def clean(
         scope = [scope]
     if not isinstance(scope, dict):
         scope = {name: F.col("`" + name.replace("`", "``") + "`") for name in scope or []}
-    names = [name for name in df.columns if name != ORDER_COLUMN]
+    names = [name for name in df.columns if name not in (ORDER_COLUMN, CHUNK_COLUMN)]
     order = None
     if _needs_order(specs):
         by = [order_by] if isinstance(order_by, str) else order_by

@@ -1,0 +1,5 @@
+"""Cleaning tables that arrive in parts."""
+
+from .batches import clean_stream, clean_stream_batches, is_stateless
+
+__all__ = ["clean_stream", "clean_stream_batches", "is_stateless"]
