@@ -43,7 +43,7 @@ SELECT row_id,
     ELSE concat('2024-', lpad(CAST(1 + n % 12 AS STRING), 2, '0'), '-', lpad(CAST(1 + n % 28 AS STRING), 2, '0')) END AS signup_date,
   CASE n % 6 WHEN 0 THEN 'n/a' WHEN 1 THEN ' - ' WHEN 2 THEN '   ' WHEN 3 THEN NULL WHEN 4 THEN 'y' ELSE st END AS status,
   CASE WHEN n % 2 = 0 THEN '' ELSE NULL END AS mostly_empty,
-  CASE WHEN n % 53 = 0 THEN NULL ELSE c END AS cust
+  CASE WHEN n % 53 = 0 THEN NULL ELSE CAST(c AS DOUBLE) END AS cust
 FROM k
 """
 

@@ -88,7 +88,7 @@ def zip_code(value: Column, output: str = "zip5") -> Column:
 
 
 def _lookup(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in entries.items() for part in pair])
+    return F.expr("map(" + ", ".join(f"'{key}', '{value}'" for key, value in entries.items()) + ")")
 
 
 def state(value: Column, output: str = "abbr") -> Column:

@@ -42,14 +42,15 @@ class Table:
 class Change:
     """A new value for one column.
 
-    ``work`` is computed once per row; ``value`` and ``counts`` are derived from the old cell and
-    from it, so counting changes does not repeat the work.
+    The ``work`` is computed once per row; ``value`` and ``counts`` are derived from the old cell
+    and from it, so counting changes does not repeat the work. Several results of work are several
+    columns, not one struct: the optimizer takes structs apart and would compute each use anew.
     """
 
     name: str
-    work: Column
-    value: Callable[[Column, Column], Column] = lambda old, work: work
-    counts: Callable[[Column, Column], dict[str, Column]] = lambda old, work: {}
+    work: list[Column]
+    value: Callable[..., Column] = lambda old, work: work
+    counts: Callable[..., dict[str, Column]] = lambda old, *work: {}
 
 
 @dataclass(frozen=True)
@@ -117,12 +118,12 @@ def find_step(step_id: str) -> Planner:
 
 def differs(old: Column, new: Column) -> Column:
     """1 where a cell that is not null has changed."""
-    return F.coalesce((old != new).cast("int"), F.lit(0))
+    return F.when(old != new, 1).otherwise(0)
 
 
 def when_set(old: Column, condition: Column) -> Column:
     """1 where the cell is not null and the condition holds."""
-    return (old.isNotNull() & condition).cast("int")
+    return F.when(old.isNotNull() & condition, 1).otherwise(0)
 
 
 def any_null(names: list[str]) -> Column:

@@ -17,7 +17,7 @@ def trim_whitespace(table: Table, options: dict) -> Plan:
     changes = [
         Change(
             name,
-            fn.strip(fn.col(name)),
+            [fn.strip(fn.col(name))],
             counts=lambda old, work: {"cells_changed": differs(old, work)},
         )
         for name in columns
@@ -36,7 +36,7 @@ def normalize_case(table: Table, options: dict) -> Plan:
     if not columns:
         return Plan({"columns_normalized": 0})
     types = table.types()
-    changes = [Change(name, convert(fn.as_text(fn.col(name), types[name]))) for name in columns]
+    changes = [Change(name, [convert(fn.as_text(fn.col(name), types[name]))]) for name in columns]
     return Plan({"columns_normalized": len(columns), "case": case}, changes)
 
 
@@ -45,7 +45,7 @@ def _counted(table: Table, columns: list[str], convert) -> Plan:
     changes = [
         Change(
             name,
-            convert(fn.as_text(fn.col(name), types[name])),
+            [convert(fn.as_text(fn.col(name), types[name]))],
             counts=lambda old, work, dtype=types[name]: {
                 "values_changed": differs(fn.as_text(old, dtype), work)
             },

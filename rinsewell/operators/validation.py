@@ -38,7 +38,7 @@ def _coerced(table: Table, columns: list[str], errors: str, text, parse, refine=
         changes.append(
             Change(
                 name,
-                work,
+                [work],
                 counts=lambda old, work: {
                     "values_converted": when_set(old, work.isNotNull()),
                     "values_failed": when_set(old, work.isNull()),
@@ -137,21 +137,22 @@ def coerce_datetime(table: Table, options: dict) -> Plan:
     return _coerced(table, columns, options.get("errors", "coerce"), lambda value: value, parse)
 
 
-def _standardized(table: Table, columns: list[str], text, convert, bad: str, same=None) -> Plan:
+def _standardized(
+    table: Table, columns: list[str], text, convert, bad: str, changed=differs
+) -> Plan:
     """Write the standard form over valid cells; the others keep their text and are counted."""
     types = table.types()
-    same = same or (lambda value: value)
     changes = []
     for name in columns:
         raw = text(fn.as_text(fn.col(name), types[name]))
         changes.append(
             Change(
                 name,
-                F.struct(raw.alias("raw"), convert(raw).alias("new")),
-                value=lambda old, work: F.coalesce(work["new"], work["raw"]),
-                counts=lambda old, work: {
-                    "values_changed": differs(same(work["raw"]), same(work["new"])),
-                    bad: when_set(old, work["new"].isNull()),
+                [raw, convert(raw)],
+                value=lambda old, raw, new: F.coalesce(new, raw),
+                counts=lambda old, raw, new: {
+                    "values_changed": changed(raw, new),
+                    bad: when_set(old, new.isNull()),
                 },
             )
         )
@@ -201,5 +202,5 @@ def standardize_state(table: Table, options: dict) -> Plan:
         lambda value: value,
         lambda value: fn.state(value, output),
         "values_unmapped",
-        same=lambda value: F.lower(fn.strip(value)),
+        changed=lambda raw, new: differs(F.lower(fn.strip(raw)), F.lower(new)),
     )

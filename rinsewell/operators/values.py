@@ -63,7 +63,7 @@ def fill_nulls(table: Table, options: dict) -> Plan:
         changes.append(
             Change(
                 name,
-                F.coalesce(old, _literal(value, dtype)),
+                [F.coalesce(old, _literal(value, dtype))],
                 counts=lambda old, work: {"nulls_filled": old.isNull().cast("int")},
             )
         )
@@ -79,7 +79,7 @@ def normalize_empty_strings(table: Table, options: dict) -> Plan:
     changes = [
         Change(
             name,
-            strip(as_text(col(name), types[name])).isin(empty),
+            [strip(as_text(col(name), types[name])).isin(empty)],
             value=lambda old, work: F.when(~work, old),
             counts=lambda old, work: {"values_replaced": when_set(old, work)},
         )
@@ -137,14 +137,11 @@ def replace_values(table: Table, options: dict) -> Plan:
         changes.append(
             Change(
                 name,
-                F.struct(
-                    F.try_element_at(F.create_map(*entries), col(name)).alias("hit"),
-                    widened.alias("old"),
-                ),
-                value=lambda old, work: F.when(
-                    work["hit"].isNotNull(), work["hit"]["new"]
-                ).otherwise(work["old"]),
-                counts=lambda old, work: {"replacements": F.coalesce(work["hit"]["hits"], F.lit(0))},
+                [F.try_element_at(F.create_map(*entries), col(name)), widened],
+                value=lambda old, hit, widened: F.when(hit.isNotNull(), hit["new"]).otherwise(widened),
+                counts=lambda old, hit, widened: {
+                    "replacements": F.coalesce(hit["hits"], F.lit(0))
+                },
             )
         )
     return Plan({"columns_processed": len(columns), "replacements": 0}, changes)

@@ -86,22 +86,25 @@ class Frame:
         return [*self.scope, *order, *live, *self.counters, *self.kept.values()]
 
     def _change(self, changes: list[Change], position: int) -> Frame:
-        work = [change.work.alias(f"__work_{i}") for i, change in enumerate(changes)]
-        rows = self.rows.select("*", *work)
+        work = {
+            f"__work_{i}_{j}": part
+            for i, change in enumerate(changes)
+            for j, part in enumerate(change.work)
+        }
+        rows = self.rows.withColumns(work) if work else self.rows
         new, counts = {}, {}
         for i, change in enumerate(changes):
-            old, done = col(change.name), F.col(f"__work_{i}")
-            value = change.value(old, done)
+            old = col(change.name)
+            done = [F.col(f"__work_{i}_{j}") for j in range(len(change.work))]
+            value = change.value(old, *done)
             if change.name in self.kept:
                 value = F.when(F.col(self.kept[change.name]), value)
-            new[change.name] = value.alias(change.name)
-            for metric, count in change.counts(old, done).items() if self.counted else ():
+            new[change.name] = value
+            for metric, count in change.counts(old, *done).items() if self.counted else ():
                 name = f"__n_{position}_{metric}"
                 counts[name] = counts[name] + count if name in counts else count
-        gated = [F.when(F.col(LIVE), n).otherwise(0).alias(name) for name, n in counts.items()]
-        rows = rows.select(
-            *[new.get(name, col(name)) for name in self.names], *map(F.col, self._quoted()), *gated
-        )
+        gated = {name: F.when(F.col(LIVE), n).otherwise(0) for name, n in counts.items()}
+        rows = rows.withColumns({**new, **gated}).drop(*work)
         return replace(self, rows=rows, counters=[*self.counters, *counts])
 
     def _quoted(self) -> list[str]:
