@@ -34,7 +34,20 @@ NULL_TOKENS = [
 
 _INTEGER = r"\A[ \t]*[+-]?\d+[ \t]*\z"
 _FLOAT = r"(?i)\A[ \t]*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)[ \t]*\z"
-_BOOLEAN = r"(?i)\A(true|false)\z"
+
+# Classes of values, as bits.
+_NULL, _LONG, _WHOLE, _DOUBLE, _BOOLEAN, _TEXT = 1, 2, 4, 8, 16, 32
+
+
+def _class_of(value: Column) -> Column:
+    fits_double = (F.abs(value.try_cast("double")) < float("inf")) | value.rlike("(?i)inf")
+    return (
+        F.when(value.isNull(), _NULL)
+        .when(value.rlike(_INTEGER), F.when(value.try_cast("long").isNull(), _WHOLE).otherwise(_LONG))
+        .when(value.rlike(_FLOAT) & fits_double, _DOUBLE)
+        .when(F.lower(value).isin("true", "false"), _BOOLEAN)
+        .otherwise(_TEXT)
+    )
 
 
 def null_tokens(df: DataFrame) -> DataFrame:
@@ -51,38 +64,27 @@ def null_tokens(df: DataFrame) -> DataFrame:
 def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Give text columns the type that all their values allow: long, double, boolean or string.
 
-    One aggregation over the columns decides. Dates stay strings, and so does a boolean column with
-    a null in it; a column without any value stays a string column as well.
+    One aggregation decides: each value is put in one class, and the classes met in a column are
+    collected as bits. Dates stay strings, and so does a boolean column with a null in it; a column
+    without any value stays a string column as well.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not columns:
         return df
-
-    def every(condition: Column) -> Column:
-        return F.coalesce(F.bool_and(condition), F.lit(False))
-
-    checks = []
-    for i, name in enumerate(columns):
-        value = col(name)
-        finite = F.abs(value.try_cast("double")) < float("inf")
-        checks += [
-            every(value.rlike(_INTEGER)).alias(f"whole{i}"),
-            every(F.trim(value).try_cast("long").isNotNull()).alias(f"long{i}"),
-            every(value.rlike(_FLOAT) & (finite | value.rlike("(?i)inf"))).alias(f"double{i}"),
-            every(F.coalesce(value.rlike(_BOOLEAN), F.lit(False))).alias(f"boolean{i}"),
-        ]
-    found = df.agg(*checks).first()
+    found = df.agg(*[F.bit_or(_class_of(col(n))).alias(f"c{i}") for i, n in enumerate(columns)]).first()
 
     def typed(i: int, name: str) -> Column:
-        if found[f"whole{i}"]:
-            # Whole numbers that do not fit a long keep all their digits as text.
-            dtype = "long" if found[f"long{i}"] else "string"
-        elif found[f"double{i}"]:
+        met = (found[f"c{i}"] or _NULL) & ~_NULL
+        if met == _LONG:
+            dtype = "long"
+        elif met & _DOUBLE and not met & (_BOOLEAN | _TEXT):
             dtype = "double"
-        else:
-            dtype = "boolean" if found[f"boolean{i}"] else "string"
-        return col(name) if dtype == "string" else col(name).try_cast(dtype).alias(name)
+        elif met == _BOOLEAN and not found[f"c{i}"] & _NULL:
+            dtype = "boolean"
+        else:  # also whole numbers that do not fit a long: they keep all their digits
+            return col(name)
+        return col(name).try_cast(dtype).alias(name)
 
     typed_columns = {name: typed(i, name) for i, name in enumerate(columns)}
     return df.select(*[typed_columns.get(name, col(name)) for name in df.columns])
