@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
@@ -146,7 +147,9 @@ def guess_layout(value: str, dayfirst: bool = False) -> str | None:
     """The strftime layout of one example value, or None where none is evident."""
     from pandas.tseries.api import guess_datetime_format
 
-    layout = guess_datetime_format(value, dayfirst=dayfirst)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # about days first: that is what the guess is for
+        layout = guess_datetime_format(value, dayfirst=dayfirst)
     if layout is None:
         return None
     try:

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import find_step
 from ..sources.order import ORDER_COLUMN
@@ -15,6 +16,7 @@ from .frame import Frame
 
 STEP = str | dict
 CHUNK_COLUMN = "__row_number"
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def read_spec(spec: STEP) -> tuple[str, dict] | None:
@@ -114,7 +116,8 @@ class CleanResult:
         """Write the cleaned rows, and return the report measured in the same pass."""
         from ..sources import write_table
 
-        write_table(self.df, path, format, **options)
+        with _compiled_methods(self.df.sparkSession):
+            write_table(self.df, path, format, **options)
         if self._segments[-1].counted and self._measured is None:
             self._measured = {len(self._segments) - 1: dict(self._observed[0].get)}
         return {**self.report(), "output_path": path}
@@ -157,6 +160,24 @@ class CleanResult:
         }
 
 
+@contextmanager
+def _compiled_methods(spark: SparkSession):
+    """For the time of one write, keep Spark from generating methods that HotSpot never compiles.
+
+    Many steps over many columns make one method of more than 8,000 bytes, which would be
+    interpreted. With this limit Spark falls back to one projection per step, cut into small methods.
+    """
+    before = spark.conf.get(_METHOD_LIMIT, None)
+    spark.conf.set(_METHOD_LIMIT, "8000")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_METHOD_LIMIT)
+        else:
+            spark.conf.set(_METHOD_LIMIT, before)
+
+
 def _needs_order(specs: list[tuple[str, dict]]) -> bool:
     for step_id, options in specs:
         if step_id == "dedupe.drop_duplicates":
