@@ -22,6 +22,7 @@ class Table:
     names: list[str]
     order: Column | None = None
     scope: list[str] = field(default_factory=list)
+    shuffled: bool = False  # the first rows cost as much as all rows
 
     def types(self) -> dict[str, T.DataType]:
         schema = self.rows.schema

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import col, is_blank, is_text
 from .base import Plan, Table, planner
 
+FIRST_ROWS = 1_000
+MAX_BROADCAST_ROWS = 100_000
+
 
 @planner("core.drop_columns")
 def drop_columns(table: Table, options: dict) -> Plan:
@@ -65,8 +68,9 @@ def _filled(name: str, text: bool, blank_is_empty: bool) -> Column:
 def drop_empty_columns(table: Table, options: dict) -> Plan:
     """``subset``: columns to check (all); ``treat_blank_strings_as_empty`` (true).
 
-    Which columns go depends on the data: one aggregation over the rows so far decides it. In a
-    table without rows every checked column is empty.
+    Which columns go depends on the data. One value is proof that a column stays, and for most
+    columns the first rows hold one; only columns without any there are then searched through all
+    rows, reading nothing else. In a table without rows every checked column is empty.
     """
     subset = options.get("subset")
     checked = list(dict.fromkeys(table.names if subset is None else table.present(subset)))
@@ -74,28 +78,38 @@ def drop_empty_columns(table: Table, options: dict) -> Plan:
         return Plan({"columns_dropped": 0, "dropped_columns": []})
     blank_is_empty = options.get("treat_blank_strings_as_empty", True)
     types = table.types()
-    found = [
-        F.coalesce(F.bool_or(_filled(name, is_text(types[name]), blank_is_empty)), F.lit(False))
-        for name in checked
-    ]
-    flags = [f"__filled_{i}" for i in range(len(checked))]
-    per_scope = None
+    filled = {name: _filled(name, is_text(types[name]), blank_is_empty) for name in checked}
     if table.scope:
-        per_scope = table.rows.groupBy(*table.scope).agg(*[f.alias(n) for f, n in zip(found, flags)])
-        overall = per_scope.agg(*[F.bool_or(n).alias(n) for n in flags], F.count("*").alias("scopes"))
-    else:
-        overall = table.rows.agg(*[f.alias(n) for f, n in zip(found, flags)])
-    answer = overall.first()
-    dropped = [name for name, flag in zip(checked, flags) if not answer[flag]]
-    emptied = None
-    if per_scope is not None:
-        # Columns that some scopes fill and others do not: blank in the latter.
-        mixed = [(flag, name) for name, flag in zip(checked, flags) if answer[flag]]
-        emptied = per_scope.select(*table.scope, *[F.col(f).alias("__kept_" + n) for f, n in mixed])
-        if answer["scopes"] <= 100_000:
-            emptied = F.broadcast(emptied)
+        return _drop_by_scope(table, filled)
+    unsure = list(filled)
+    if not table.shuffled:
+        first = table.rows.select(*[filled[name] for name in unsure]).take(FIRST_ROWS)
+        unsure = [name for i, name in enumerate(unsure) if not any(row[i] for row in first)]
+    dropped = []
+    if unsure:
+        found = table.rows.agg(*[F.bool_or(filled[name]) for name in unsure]).first()
+        dropped = [name for name, any_value in zip(unsure, found) if not any_value]
+    return _without(table, dropped)
+
+
+def _without(table: Table, dropped: list[str], emptied: DataFrame | None = None) -> Plan:
     return Plan(
         {"columns_dropped": len(dropped), "dropped_columns": dropped},
         columns=[(name, name) for name in table.names if name not in dropped],
         emptied=emptied,
     )
+
+
+def _drop_by_scope(table: Table, filled: dict[str, Column]) -> Plan:
+    """Drop the columns that no scope fills, and blank out the others where their scope does not."""
+    flags = {name: f"__kept_{name}" for name in filled}
+    any_value = [F.coalesce(F.bool_or(f), F.lit(False)).alias(flags[n]) for n, f in filled.items()]
+    per_scope = table.rows.groupBy(*table.scope).agg(*any_value)
+    overall = per_scope.agg(
+        *[F.bool_or(col(flag)).alias(flag) for flag in flags.values()], F.count("*").alias("scopes")
+    ).first()
+    dropped = [name for name, flag in flags.items() if not overall[flag]]
+    emptied = per_scope.drop(*[flags[name] for name in dropped])
+    if overall["scopes"] <= MAX_BROADCAST_ROWS:
+        emptied = F.broadcast(emptied)
+    return _without(table, dropped, emptied)

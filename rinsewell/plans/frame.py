@@ -28,6 +28,7 @@ class Frame:
     ordered: bool
     scope: list[str] = field(default_factory=list)  # hidden columns: runs kept apart
     counters: list[str] = field(default_factory=list)
+    shuffled: bool = False
     kept: dict[str, str] = field(default_factory=dict)  # column -> hidden "not blanked here" flag
 
     # -- making and ending ---------------------------------------------------------------------
@@ -53,7 +54,7 @@ class Frame:
 
     def table(self) -> Table:
         order = F.col(ORDER) if self.ordered else None
-        return Table(self.rows, self.names, order, self.scope)
+        return Table(self.rows, self.names, order, self.scope, self.shuffled)
 
     def result(self, rows: DataFrame | None = None) -> DataFrame:
         """The visible columns of the rows that are left."""
@@ -185,7 +186,7 @@ class Frame:
         hidden = [unpacked.get(name, col(name)) for name in self._hidden() if name != LIVE]
         if not self.counted:
             rows = merged if dedupe.keep else merged.filter(alone)
-            return replace(self, rows=rows.select(*visible, *hidden))
+            return replace(self, rows=rows.select(*visible, *hidden), shuffled=True)
         lived = F.col(LIVE)
         if dedupe.keep:
             stays, removed = lived, F.col("__size") - 1
@@ -201,4 +202,4 @@ class Frame:
             stays.alias(LIVE),
             F.when(lived, removed).otherwise(0).alias(counter),
         )
-        return replace(self, rows=rows, counters=[*self.counters, counter])
+        return replace(self, rows=rows, counters=[*self.counters, counter], shuffled=True)

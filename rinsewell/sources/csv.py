@@ -72,21 +72,26 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         columns = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not columns:
         return df
-    found = df.agg(*[F.bit_or(_class_of(col(n))).alias(f"c{i}") for i, n in enumerate(columns)]).first()
+    # A text among the first rows settles a column; only the others are looked at throughout.
+    first = df.select(*[_class_of(col(n)) for n in columns]).take(1_000)
+    columns = [n for i, n in enumerate(columns) if not any(row[i] == _TEXT for row in first)]
+    if not columns:
+        return df
+    found = df.agg(*[F.bit_or(_class_of(col(n))) for n in columns]).first()
 
-    def typed(i: int, name: str) -> Column:
-        met = (found[f"c{i}"] or _NULL) & ~_NULL
-        if met == _LONG:
+    def typed(met: int | None, name: str) -> Column:
+        values = (met or 0) & ~_NULL
+        if values == _LONG:
             dtype = "long"
-        elif met & _DOUBLE and not met & (_BOOLEAN | _TEXT):
+        elif values & _DOUBLE and not values & (_BOOLEAN | _TEXT):
             dtype = "double"
-        elif met == _BOOLEAN and not found[f"c{i}"] & _NULL:
+        elif met == _BOOLEAN:
             dtype = "boolean"
         else:  # also whole numbers that do not fit a long: they keep all their digits
             return col(name)
         return col(name).try_cast(dtype).alias(name)
 
-    typed_columns = {name: typed(i, name) for i, name in enumerate(columns)}
+    typed_columns = {name: typed(met, name) for name, met in zip(columns, found)}
     return df.select(*[typed_columns.get(name, col(name)) for name in df.columns])
 
 

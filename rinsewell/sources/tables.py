@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import col, is_text
+from ..functions import col
 from .csv import read_csv
 from .json import read_json
 from .order import ORDER_COLUMN, with_position
@@ -58,32 +58,36 @@ def _no_nan(df: DataFrame) -> DataFrame:
     )
 
 
-def _timestamps(df: DataFrame) -> list[str]:
-    kinds = (T.TimestampType, T.TimestampNTZType)
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01'"
+
+
+def _of_type(df: DataFrame, dtype: type) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, dtype)]
 
 
 def _csv_text(df: DataFrame) -> DataFrame:
-    """Cells as CSV shows them: timestamps as a date where the whole column is at midnight."""
-    stamps = _timestamps(df)
-    if stamps:
-        midnight = df.agg(
-            *[
-                F.coalesce(F.bool_and(col(n) == F.date_trunc("DAY", col(n))), F.lit(True)).alias(f"m{i}")
-                for i, n in enumerate(stamps)
-            ]
-        ).first()
-        layout = {n: "yyyy-MM-dd" if midnight[f"m{i}"] else "yyyy-MM-dd HH:mm:ss" for i, n in enumerate(stamps)}
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def cell(name: str) -> Column:
-        if name in stamps:
-            return F.date_format(col(name), layout[name]).alias(name)
-        if isinstance(types[name], T.BooleanType):
-            return F.initcap(col(name).cast("string")).alias(name)
-        return col(name)
-
-    return df.select(*[cell(name) for name in df.columns])
+    """Cells as CSV shows them, whatever the session's time zone: ``True``; times as a date where the
+    whole column is at midnight; instants in UTC with their offset."""
+    local = _of_type(df, T.TimestampNTZType)
+    dates: set[str] = set()
+    if local:
+        midnight = [col(n) == col(n).cast("date").cast("timestamp_ntz") for n in local]
+        all_day = df.agg(*[F.coalesce(F.bool_and(m), F.lit(True)) for m in midnight]).first()
+        dates = {name for name, found in zip(local, all_day) if found}
+    cells = {n: col(n).cast("date" if n in dates else "string").cast("string") for n in local}
+    for name in _of_type(df, T.TimestampType):
+        utc = F.timestamp_add("MICROSECOND", F.unix_micros(col(name)), F.expr(_EPOCH))
+        cells[name] = F.concat(utc.cast("string"), F.lit("+00:00"))
+    for name in _of_type(df, T.BooleanType):
+        cells[name] = F.initcap(col(name).cast("string"))
+    return df.select(*[cells[n].alias(n) if n in cells else col(n) for n in df.columns])
+
+
+def _epoch_millis(df: DataFrame) -> DataFrame:
+    millis = {n: F.unix_millis(col(n)) for n in _of_type(df, T.TimestampType)}
+    for name in _of_type(df, T.TimestampNTZType):
+        millis[name] = F.timestamp_diff("MILLISECOND", F.expr(_EPOCH), col(name))
+    return df.select(*[millis[n].alias(n) if n in millis else col(n) for n in df.columns])
 
 
 def write_table(
@@ -113,8 +117,7 @@ def write_table(
         ).csv(path)
     elif kind == "json":
         if json_epoch:
-            stamps = {n: F.unix_millis(col(n).cast("timestamp")) for n in _timestamps(df)}
-            df = df.withColumns(stamps) if stamps else df
+            df = _epoch_millis(df)
         df.write.mode(mode).option("ignoreNullFields", "false").json(path)
     elif kind == "yaml":
         # A document is read back by one task, so its size is limited.

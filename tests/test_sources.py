@@ -123,11 +123,15 @@ def test_unknown_format(spark):
 def test_csv_sink_shows_dates(spark, tmp_path):
     df = spark.sql(
         "SELECT TIMESTAMP_NTZ'2024-01-05' d, TIMESTAMP_NTZ'2024-01-05 10:00:00' t, ' a ' s, '' e, "
-        "CAST(NULL AS STRING) n, true b"
+        "CAST(NULL AS STRING) n, true b, TIMESTAMP_NTZ'2024-03-10 02:30:00' g, "
+        "timestamp_seconds(1704448800) u"
     )
     write_table(df, str(tmp_path / "x.csv"))
     text = next((tmp_path / "x.csv").glob("*.csv")).read_text()
-    assert text == "d,t,s,e,n,b\n2024-01-05,2024-01-05 10:00:00, a ,,,True\n"
+    assert text == (
+        "d,t,s,e,n,b,g,u\n2024-01-05,2024-01-05 10:00:00, a ,,,True,2024-03-10 02:30:00,"
+        "2024-01-05 10:00:00+00:00\n"
+    )
 
 
 def test_tables_without_rows_or_columns(spark, tmp_path):
