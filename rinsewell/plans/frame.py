@@ -29,6 +29,8 @@ class Frame:
     scope: list[str] = field(default_factory=list)  # hidden columns: runs kept apart
     counters: list[str] = field(default_factory=list)
     shuffled: bool = False
+    before: Frame | None = None  # the frame that the latest changes were made to
+    latest: list[tuple[int, Change]] = field(default_factory=list)
     kept: dict[str, str] = field(default_factory=dict)  # column -> hidden "not blanked here" flag
 
     # -- making and ending ---------------------------------------------------------------------
@@ -72,7 +74,15 @@ class Frame:
 
     def apply(self, plan: Plan, position: int) -> Frame:
         if plan.changes:
-            return self._change(plan.changes, position)
+            changes = [(position, change) for change in plan.changes]
+            touched = {change.name for _, change in self.latest}
+            if self.before is not None and touched.isdisjoint(c.name for c in plan.changes):
+                # Steps on different columns share one projection.
+                return self.before._change([*self.latest, *changes])
+            return self._change(changes)
+        return replace(self, before=None, latest=[])._other(plan, position)
+
+    def _other(self, plan: Plan, position: int) -> Frame:
         if plan.columns is not None:
             return self._choose(plan)
         if plan.keep is not None:
@@ -86,15 +96,15 @@ class Frame:
         order = [ORDER] if self.ordered else []
         return [*self.scope, *order, *live, *self.counters, *self.kept.values()]
 
-    def _change(self, changes: list[Change], position: int) -> Frame:
+    def _change(self, changes: list[tuple[int, Change]]) -> Frame:
         work = {
             f"__work_{i}_{j}": part
-            for i, change in enumerate(changes)
+            for i, (_, change) in enumerate(changes)
             for j, part in enumerate(change.work)
         }
         rows = self.rows.withColumns(work) if work else self.rows
         new, counts = {}, {}
-        for i, change in enumerate(changes):
+        for i, (position, change) in enumerate(changes):
             old = col(change.name)
             done = [F.col(f"__work_{i}_{j}") for j in range(len(change.work))]
             value = change.value(old, *done)
@@ -106,7 +116,9 @@ class Frame:
                 counts[name] = counts[name] + count if name in counts else count
         gated = {name: F.when(F.col(LIVE), n).otherwise(0) for name, n in counts.items()}
         rows = rows.withColumns({**new, **gated}).drop(*work)
-        return replace(self, rows=rows, counters=[*self.counters, *counts])
+        return replace(
+            self, rows=rows, counters=[*self.counters, *counts], before=self, latest=changes
+        )
 
     def _quoted(self) -> list[str]:
         return ["`" + name.replace("`", "``") + "`" for name in self._hidden()]
