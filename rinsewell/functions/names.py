@@ -30,7 +30,7 @@ def as_text(value: Column, dtype: T.DataType) -> Column:
         return F.initcap(value.cast("string"))
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         plain = value.cast("string")
-        digits = F.regexp_replace(plain.cast("decimal(38,20)").cast("string"), r"0+\z", "")
+        digits = F.regexp_replace(plain.try_cast("decimal(38,20)").cast("string"), r"0+\z", "")
         size = F.abs(value)
         positional = ((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3))
         return F.when(positional, F.regexp_replace(digits, r"\.\z", ".0")).otherwise(plain)

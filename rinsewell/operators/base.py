@@ -75,6 +75,7 @@ class Plan:
     dedupe: Dedupe | None = None
     removed_as: str = ""
     emptied: DataFrame | None = None  # per scope: which columns to blank out
+    lookup: DataFrame | None = None  # per scope: hidden columns that the changes refer to
     custom: Callable[[DataFrame, dict], DataFrame] | None = None
 
 
@@ -117,6 +118,14 @@ def find_step(step_id: str) -> Planner:
     return _STEPS[step_id]
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small(per_scope: DataFrame, scopes: int) -> DataFrame:
+    """A table with one row per scope, to be broadcast where its counted size allows it."""
+    return F.broadcast(per_scope) if scopes <= MAX_BROADCAST_ROWS else per_scope
+
+
 def differs(old: Column, new: Column) -> Column:
     """1 where a cell that is not null has changed."""
     return F.when(old != new, 1).otherwise(0)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import col, is_blank, is_text
-from .base import Plan, Table, planner
+from .base import Plan, Table, planner, small
 
 FIRST_ROWS = 1_000
-MAX_BROADCAST_ROWS = 100_000
 
 
 @planner("core.drop_columns")
@@ -110,6 +109,4 @@ def _drop_by_scope(table: Table, filled: dict[str, Column]) -> Plan:
     ).first()
     dropped = [name for name, flag in flags.items() if not overall[flag]]
     emptied = per_scope.drop(*[flags[name] for name in dropped])
-    if overall["scopes"] <= MAX_BROADCAST_ROWS:
-        emptied = F.broadcast(emptied)
-    return _without(table, dropped, emptied)
+    return _without(table, dropped, small(emptied, overall["scopes"]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .. import functions as fn
 from ..functions.parse import guess_layout, number_text, swap_day_month
-from .base import Change, Plan, Table, differs, planner, when_set
+from .base import Change, Plan, Table, differs, planner, small, when_set
 
 
 def _coerced(table: Table, columns: list[str], errors: str, text, parse, refine=None) -> Plan:
@@ -91,19 +94,31 @@ def coerce_numeric(table: Table, options: dict) -> Plan:
     )
 
 
-def _first_values(table: Table, columns: list[str]) -> dict[str, str | None]:
-    """The first value of each column in table order: one aggregation, one row."""
+def _first_values(table: Table, columns: list[str]) -> list[Column]:
+    """Aggregates that find the first value of each column in table order."""
     if table.order is None:
         raise ValueError(
             "coerce_datetime without a format takes it from the first value: name order_by columns"
         )
     types = table.types()
-    firsts = []
-    for name in columns:
-        text = fn.as_text(fn.col(name), types[name])
-        firsts.append(F.min(F.when(text.isNotNull(), F.struct(table.order, text.alias("text")))))
-    found = table.rows.agg(*firsts).first()
-    return {name: first and first["text"] for name, first in zip(columns, found)}
+    texts = [fn.as_text(fn.col(name), types[name]).alias("text") for name in columns]
+    firsts = [F.min(F.when(text.isNotNull(), F.struct(table.order, text))) for text in texts]
+    return [first["text"].alias(f"__layout_{i}") for i, first in enumerate(firsts)]
+
+
+def _layouts_by_scope(table: Table, columns: list[str], dayfirst: bool):
+    """The layout of each column in each scope, as a table, and all layouts met in each column."""
+
+    @F.pandas_udf("string")
+    def guess(firsts: pd.Series) -> pd.Series:
+        return firsts.map(lambda first: first and guess_layout(first, dayfirst))
+
+    names = [f"__layout_{i}" for i in range(len(columns))]
+    firsts = table.rows.groupBy(*table.scope).agg(*_first_values(table, columns))
+    layouts = firsts.withColumns({name: guess(F.col(name)) for name in names})
+    met = layouts.agg(F.count("*").alias("scopes"), *[F.collect_set(n).alias(n) for n in names]).first()
+    found = {name: sorted(met[hidden]) for name, hidden in zip(columns, names)}
+    return small(layouts, met["scopes"]), found
 
 
 @planner("validation.coerce_datetime")
@@ -115,26 +130,44 @@ def coerce_datetime(table: Table, options: dict) -> Plan:
     """
     columns = table.present(dict.fromkeys(options.get("columns") or []))
     dayfirst, utc = options.get("dayfirst", False), options.get("utc", False)
-    layouts = dict.fromkeys(columns, options.get("format"))
-    if columns and not options.get("format"):
-        layouts = {
-            name: first and guess_layout(first, dayfirst)
-            for name, first in _first_values(table, columns).items()
-        }
-
-    def parse(name: str, text: Column) -> Column:
-        if layouts[name]:
-            return fn.parse_datetime(text, layouts[name], utc)
+    errors = options.get("errors", "coerce")
+
+    def any_layout(text: Column, instants: bool = utc) -> Column:
         common = fn.DATE_LAYOUTS
         if dayfirst:
             common = [swap_day_month(layout) for layout in common]
         # Values of another order (13/06/2024) are read the only way that makes a date.
         swapped = [swap_day_month(layout) for layout in fn.DATE_LAYOUTS] + fn.DATE_LAYOUTS
         tried = list(dict.fromkeys([*common, *swapped]))
-        text = fn.strip(text)
-        return F.coalesce(*[fn.parse_datetime(text, layout, utc) for layout in tried])
+        return F.coalesce(*[fn.parse_datetime(fn.strip(text), layout, instants) for layout in tried])
+
+    lookup = None
+    if options.get("format") or not columns:
+
+        def parse(name: str, text: Column) -> Column:
+            return fn.parse_datetime(text, options["format"], utc)
+
+    elif table.scope and errors != "ignore":
+        lookup, met = _layouts_by_scope(table, columns, dayfirst)
+
+        def parse(name: str, text: Column) -> Column:
+            layout = F.col(f"__layout_{columns.index(name)}")
+            instants = utc or any("%z" in known for known in met[name])  # one type for all scopes
+            parsed = F.when(layout.isNull(), any_layout(text, instants))
+            for known in met[name]:
+                parsed = parsed.when(layout == known, fn.parse_datetime(text, known, instants))
+            return parsed
+
+    else:
+        first = table.rows.agg(*_first_values(table, columns)).first()
+        layouts = {n: text and guess_layout(text, dayfirst) for n, text in zip(columns, first)}
+
+        def parse(name: str, text: Column) -> Column:
+            known = layouts[name]
+            return fn.parse_datetime(text, known, utc) if known else any_layout(text)
 
-    return _coerced(table, columns, options.get("errors", "coerce"), lambda value: value, parse)
+    plan = _coerced(table, columns, errors, lambda value: value, parse)
+    return replace(plan, lookup=lookup)
 
 
 def _standardized(

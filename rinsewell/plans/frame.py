@@ -75,6 +75,10 @@ class Frame:
     def apply(self, plan: Plan, position: int) -> Frame:
         if plan.changes:
             changes = [(position, change) for change in plan.changes]
+            if plan.lookup is not None:
+                known = [name for name in plan.lookup.columns if name not in self.scope]
+                found = replace(self, rows=self._join(plan.lookup))._change(changes)
+                return replace(found, rows=found.rows.drop(*known), before=None, latest=[])
             touched = {change.name for _, change in self.latest}
             if self.before is not None and touched.isdisjoint(c.name for c in plan.changes):
                 # Steps on different columns share one projection.
@@ -142,18 +146,10 @@ class Frame:
     def _blank(self, emptied: DataFrame) -> Frame:
         """Null out the columns that are empty throughout a row's scope, and keep them so."""
         flags = {name[len("__kept_") :]: name for name in emptied.columns if name[:7] == "__kept_"}
-        keys = {name: f"__key_{i}" for i, name in enumerate(self.scope)}
-        emptied = emptied.select(
-            *[F.col(name).alias(key) for name, key in keys.items()],
-            *[col(flag) for flag in flags.values()],
-        )
-        matching = F.lit(True)
-        for name, key in keys.items():
-            matching = matching & F.col(name).eqNullSafe(F.col(key))
         kept = {**self.kept, **flags}
         hidden = list(dict.fromkeys([*self._hidden(), *flags.values()]))
-        rows = self.rows.drop(*[flag for flag in flags.values() if flag in self.kept.values()])
-        rows = rows.join(emptied, matching, "left").select(
+        repeated = [flag for flag in flags.values() if flag in self.kept.values()]
+        rows = replace(self, rows=self.rows.drop(*repeated))._join(emptied).select(
             *[
                 F.when(col(flags[name]), col(name)).alias(name) if name in flags else col(name)
                 for name in self.names
@@ -162,6 +158,14 @@ class Frame:
         )
         return replace(self, rows=rows, kept=kept)
 
+    def _join(self, per_scope: DataFrame) -> DataFrame:
+        """The rows with the columns of a table that has one row per scope."""
+        keys = {name: f"__key_{i}" for i, name in enumerate(self.scope)}
+        matching = F.lit(True)
+        for name, key in keys.items():
+            matching = matching & F.col(name).eqNullSafe(F.col(key))
+        return self.rows.join(per_scope.withColumnsRenamed(keys), matching, "left").drop(*keys.values())
+
     def _filter(self, keep: Column, counter: str) -> Frame:
         if not self.counted:
             return replace(self, rows=self.rows.filter(keep))

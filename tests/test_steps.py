@@ -326,6 +326,33 @@ def test_dates_follow_the_first_value(spark):
     ]
 
 
+def test_each_scope_has_its_own_date_layout(spark):
+    data = [
+        (1, "a", "2024-01-05"),
+        (2, "a", "01/06/2024"),
+        (3, "b", "13/06/2024"),
+        (4, "b", "01/06/2024"),
+        (5, "c", "garbage"),
+        (6, "c", "01/06/2024"),
+        (7, None, None),
+    ]
+    df = spark.createDataFrame(data, "i int, s string, v string")
+    steps = [one("validation.coerce_datetime", columns=["v"]), "dedupe.drop_duplicates"]
+    result = clean(df, steps, order_by="i", scope="s")
+    found = {r["i"]: r["v"] and str(r["v"])[:10] for r in result.df.collect()}
+    assert found == {
+        1: "2024-01-05",
+        2: None,
+        3: "2024-06-13",
+        4: "2024-06-01",
+        5: None,
+        6: "2024-01-06",
+        7: None,
+    }
+    totals = {r["s"]: r["__n_0_values_failed"] for r in result.totals().collect()}
+    assert totals == {"a": 1, "b": 0, "c": 1, None: 0}
+
+
 def test_zip_and_state_counts(spark):
     found, stats = values(spark, [" 123 ", " 12345 "], one("validation.standardize_zip", columns=["v"]))
     assert found == ["123", "12345"]
