@@ -36,7 +36,7 @@ def steps_query(name: str, source: Query, steps: list, order_by: str | None = No
     """A query that is one list of steps over one source."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return clean(source(spark, folder), steps, order_by, metrics=False).df
+        return clean(source(spark, folder), steps, order_by).df
 
     run.__name__ = name
     QUERIES[name] = run
@@ -218,26 +218,16 @@ CONTACTS = [
 ]
 
 
-def counted_query(name: str, source: Query, steps: list) -> None:
-    """A list of steps with its report counted in the same pass, as in a real run."""
-
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return clean(source(spark, folder), steps).df
-
-    run.__name__ = name
-    QUERIES[name] = run
-
-
 def contents(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).drop("doc_id")
 
 
-counted_query("config_all_modules", contacts, ALL_MODULES)
-counted_query("config_validation", unnumbered, VALIDATION)
-counted_query("config_contacts", contacts, CONTACTS)
-counted_query("preset_crm", unnumbered, preset("crm"))
-counted_query("preset_leads", unnumbered, preset("leads"))
-counted_query("preset_scrape", contents, preset("scrape"))
+steps_query("config_all_modules", contacts, ALL_MODULES)
+steps_query("config_validation", unnumbered, VALIDATION)
+steps_query("config_contacts", contacts, CONTACTS)
+steps_query("preset_crm", unnumbered, preset("crm"))
+steps_query("preset_leads", unnumbered, preset("leads"))
+steps_query("preset_scrape", contents, preset("scrape"))
 
 
 @step("custom.area_code")
@@ -377,7 +367,7 @@ QUERIES["run_module_stats"] = lambda spark, folder: module_totals(_written_repor
 @query
 def chunked_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     steps = one("dedupe.drop_duplicates", subset=["state", "status"])
-    return clean_chunks(contacts(spark, folder), steps, 1000, F.col("row_id"), "row_id", metrics=False).df
+    return clean_chunks(contacts(spark, folder), steps, 1000, F.col("row_id"), "row_id").df
 
 
 @query
@@ -387,7 +377,7 @@ def chunked_empty_columns(spark: SparkSession, folder: str) -> DataFrame:
     filled = F.floor(F.col("row_id") / 1000) % 2 == 0
     df = df.withColumn("note", F.when(filled, F.col("status")).otherwise(F.lit(" ")))
     steps = [*one("core.drop_empty_columns"), *one("core.fill_nulls", value="none", columns=["note"])]
-    return clean_chunks(df, steps, 1000, F.col("row_id"), metrics=False).df
+    return clean_chunks(df, steps, 1000, F.col("row_id")).df
 
 
 @query
@@ -494,7 +484,6 @@ def scan_csv_chunked(spark: SparkSession, folder: str) -> DataFrame:
         read_table(spark, path),
         one("dedupe.drop_duplicates", subset=["o_orderstatus", "o_orderpriority"]),
         500,
-        metrics=False,
     )
     return result.df
 

@@ -48,7 +48,6 @@ def clean_chunks(
     chunk_size: int,
     row_number: Column | None = None,
     order_by: str | list[str] | None = None,
-    metrics: bool = True,
 ) -> CleanResult:
     """Clean each chunk of ``chunk_size`` rows separately and put the results together.
 
@@ -60,7 +59,7 @@ def clean_chunks(
             raise ValueError("clean_chunks: give row_number, or a table read by read_table")
         df = number_rows(df, CHUNK_COLUMN)
         row_number = F.col(CHUNK_COLUMN)
-    return clean(df, steps, order_by, {"chunk": chunk_of(row_number, chunk_size)}, metrics)
+    return clean(df, steps, order_by, {"chunk": chunk_of(row_number, chunk_size)})
 
 
 def union_chunks(parts: list[DataFrame]) -> DataFrame:

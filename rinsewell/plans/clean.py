@@ -6,11 +6,12 @@ import time
 import warnings
 from collections.abc import Iterable
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from ..operators import find_step
+from ..operators import Plan, find_step
 from ..sources.order import ORDER_COLUMN
 from .frame import Frame
 
@@ -48,35 +49,58 @@ class Entry:
     removed_as: str = ""
 
 
+@dataclass
+class Segment:
+    """Steps between two steps of the user's own: the same plans, applied without and with counters."""
+
+    source: DataFrame
+    names: list[str]
+    order: Column | None
+    scope: list[Column]
+    plans: list[tuple[int, Plan]] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.plain = self._start(counted=False)
+
+    def _start(self, counted: bool) -> Frame:
+        return Frame.start(self.source, self.names, self.order, self.scope, counted)
+
+    def add(self, position: int, plan: Plan) -> None:
+        self.plans.append((position, plan))
+        self.plain = self.plain.apply(plan, position)
+
+    @cached_property
+    def counted(self) -> Frame:
+        frame = self._start(counted=True)
+        for position, plan in self.plans:
+            frame = frame.apply(plan, position)
+        return frame
+
+
 class CleanResult:
     """The cleaned table and its metrics.
 
-    ``df`` is lazy. ``totals()`` is a one-row (or one row per scope) DataFrame of raw counters.
-    ``report()`` is the finished report; after ``write()`` it costs no further job.
+    ``df`` is lazy and counts nothing. ``write()`` writes it and counts in the same pass.
+    ``totals()`` is a one-row (or one row per scope) DataFrame of raw counters, ``report()`` the
+    finished report; after ``write()`` it costs no further job.
     """
 
-    def __init__(self, segments: list[Frame], entries: list[Entry], scope: list[str], started: float):
+    def __init__(self, segments: list[Segment], entries: list[Entry], scope: list[str], started: float):
         self._segments = segments
         self._entries = entries
         self._scope = scope
         self._started = started
-        self._observed: list[Observation] = []
-        self._measured: dict | None = None
-        self.df = self._observe()
-
-    def _observe(self) -> DataFrame:
-        last = self._segments[-1]
-        if not last.counted:
-            return last.result()
-        watch = Observation()
-        self._observed.append(watch)
-        return last.result(last.rows.observe(watch, *last.sums()))
+        self._measured: dict[int, dict] = {}
+        self.df = segments[-1].plain.result()
+
+    def counted(self) -> tuple[DataFrame, Observation]:
+        """The cleaned table again, with an observation that one complete action fills."""
+        last, watch = self._segments[-1].counted, Observation()
+        return last.result(last.rows.observe(watch, *last.sums())), watch
 
     def totals(self, segment: int = -1) -> DataFrame:
         """Counters summed over all rows, by scope where the run has one."""
-        frame = self._segments[segment]
-        if not frame.counted:
-            raise ValueError("the run was started with metrics=False")
+        frame = self._segments[segment].counted
         if not frame.scope:
             return frame.rows.agg(*frame.sums())
         named = [F.col(hidden).alias(name) for hidden, name in zip(frame.scope, self._scope)]
@@ -85,7 +109,7 @@ class CleanResult:
     def metrics(self) -> DataFrame:
         """All counters in long form: scope columns, position, step, metric, value."""
         parts = []
-        for segment, frame in enumerate(self._segments):
+        for segment, frame in enumerate(s.counted for s in self._segments):
             wanted = [
                 (i, entry.step, counter)
                 for i, entry in enumerate(self._entries)
@@ -116,21 +140,18 @@ class CleanResult:
         """Write the cleaned rows, and return the report measured in the same pass."""
         from ..sources import write_table
 
-        with _compiled_methods(self.df.sparkSession):
-            write_table(self.df, path, format, **options)
-        if self._segments[-1].counted and self._measured is None:
-            self._measured = {len(self._segments) - 1: dict(self._observed[0].get)}
+        rows, watch = self.counted()
+        with _compiled_methods(rows.sparkSession):
+            write_table(rows, path, format, **options)
+        self._measured[len(self._segments) - 1] = dict(watch.get)
         return {**self.report(), "output_path": path}
 
     def report(self) -> dict:
         """The report of the whole run, over all scopes."""
-        measured = dict(self._measured or {})
-        for segment, frame in enumerate(self._segments):
+        measured = self._measured
+        for segment, frame in enumerate(s.counted for s in self._segments):
             if segment not in measured:
-                if not frame.counted:
-                    raise ValueError("the run was started with metrics=False")
                 measured[segment] = frame.rows.agg(*frame.sums()).first().asDict()
-        self._measured = measured
         counts = {name: value or 0 for part in measured.values() for name, value in part.items()}
         loaded = [measured[i]["__n_loaded"] or 0 for i in range(len(measured))]
         output = [measured[i]["__n_output"] or 0 for i in range(len(measured))]
@@ -193,14 +214,12 @@ def clean(
     steps: Iterable[STEP],
     order_by: str | list[str] | None = None,
     scope: str | dict[str, Column] | list[str] | None = None,
-    metrics: bool = True,
 ) -> CleanResult:
     """Apply the steps in order.
 
     ``order_by`` names the columns that define first and last; tables from ``read_table`` bring
     their own order. ``scope`` names columns (or gives named expressions) whose groups are cleaned
-    as separate tables: duplicates, empty columns and reports are per group. ``metrics=False`` skips
-    all counting.
+    as separate tables: duplicates, empty columns and reports are per group.
     """
     started = time.perf_counter()
     specs = [spec for spec in map(read_spec, steps) if spec is not None]
@@ -216,21 +235,19 @@ def clean(
             order = F.struct(*["`" + name.replace("`", "``") + "`" for name in by])
         elif ORDER_COLUMN in df.columns:
             order = F.col(ORDER_COLUMN)
-    frame = Frame.start(df, names, order, list(scope.values()), metrics)
-    segments, entries = [], []
+    segments, entries = [Segment(df, names, order, list(scope.values()))], []
     for position, (step_id, options) in enumerate(specs):
-        plan = find_step(step_id)(frame.table(), options)
-        if plan.custom is not None:
-            if scope or frame.ordered:
-                raise ValueError(f"{step_id}: steps of your own work on whole, unordered tables only")
-            segments.append(frame)
-            after, stats = _call(plan.custom, frame.result(), options)
-            frame = Frame.start(after, after.columns, None, [], metrics)
-            entries.append(Entry(step_id, stats, len(segments)))
-        else:
-            frame = frame.apply(plan, position)
-            entries.append(Entry(step_id, plan.stats, len(segments), plan.removed_as))
-    segments.append(frame)
+        segment = segments[-1]
+        plan = find_step(step_id)(segment.plain.table(), options)
+        if plan.custom is None:
+            segment.add(position, plan)
+            entries.append(Entry(step_id, plan.stats, len(segments) - 1, plan.removed_as))
+            continue
+        if scope or order is not None:
+            raise ValueError(f"{step_id}: steps of your own work on whole, unordered tables only")
+        after, stats = _call(plan.custom, segment.plain.result(), options)
+        segments.append(Segment(after, after.columns, None, []))
+        entries.append(Entry(step_id, stats, len(segments) - 1))
     return CleanResult(segments, entries, list(scope), started)
 
 

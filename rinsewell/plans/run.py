@@ -33,7 +33,7 @@ def clean_file(
     table = read_table(spark, path, format, **(read or {}))
     kind = format or format_of(path)
     if chunk_size and kind == "csv":
-        result = clean_chunks(table, list(steps), chunk_size, metrics=True)
+        result = clean_chunks(table, list(steps), chunk_size)
     else:
         result = clean(table, steps)
     name = f"{out.rstrip('/')}/{stem(path)}"

@@ -30,7 +30,7 @@ def clean_stream(stream: DataFrame, steps: Iterable[STEP]) -> DataFrame:
     steps = list(steps)
     if not is_stateless(steps):
         raise ValueError("steps that compare rows need clean_stream_batches")
-    return clean(stream, steps, metrics=False).df
+    return clean(stream, steps).df
 
 
 def clean_stream_batches(

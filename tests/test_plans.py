@@ -22,14 +22,15 @@ def one(step_id, **options):
 
 def test_rowwise_steps_do_not_shuffle(spark):
     steps = [s for s in preset("crm") if s["id"] != "dedupe.drop_duplicates"]
-    for metrics in (True, False):
-        text = plan(clean(contacts(spark, TABLES), steps, metrics=metrics).df)
+    result = clean(contacts(spark, TABLES), steps)
+    for text in (plan(result.df), plan(result.counted()[0])):
         assert "Exchange" not in text and "Python" not in text
 
 
 def test_counting_adds_no_shuffle_and_no_pass(spark):
     df = contacts(spark, TABLES).drop("row_id")
-    counted, plain = (plan(clean(df, preset("crm"), metrics=m).df) for m in (True, False))
+    result = clean(df, preset("crm"))
+    counted, plain = plan(result.counted()[0]), plan(result.df)
     assert counted.count("Exchange") == plain.count("Exchange") == 1
     assert counted.count("FileScan") == plain.count("FileScan")
 
@@ -37,7 +38,7 @@ def test_counting_adds_no_shuffle_and_no_pass(spark):
 @pytest.mark.parametrize("keep", ["first", "last", False])
 def test_dedupe_merges_before_the_shuffle(spark, keep):
     steps = [one("dedupe.drop_duplicates", subset=["o_orderstatus"], keep=keep)]
-    text = plan(clean(parquet(spark, "orders"), steps, "o_orderkey", metrics=False).df)
+    text = plan(clean(parquet(spark, "orders"), steps, "o_orderkey").df)
     assert text.count("Exchange") == 1 and "partial_" in text.split("Exchange")[1]
     assert "Window" not in text
 
@@ -47,7 +48,7 @@ def test_filters_and_columns_reach_the_scan(spark):
         one("core.select_columns", columns=["o_orderkey", "o_custkey"]),
         one("core.drop_rows_missing_required", columns=["o_custkey"]),
     ]
-    text = plan(clean(parquet(spark, "orders"), steps, metrics=False).df)
+    text = plan(clean(parquet(spark, "orders"), steps).df)
     assert "PushedFilters: [IsNotNull(o_custkey)]" in text
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in text
 
@@ -55,7 +56,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_work_is_done_once_when_counted(spark):
     steps = [one("validation.standardize_phone", columns=["phone"])]
     result = clean(contacts(spark, TABLES), steps)
-    text = result.df._jdf.queryExecution().optimizedPlan().toString()
+    text = result.counted()[0]._jdf.queryExecution().optimizedPlan().toString()
     branches = text.count("Union") + 1
     assert text.count("RLIKE(") == branches
 
@@ -76,3 +77,10 @@ def test_observed_equals_aggregated(spark, tmp_path):
     aggregated = clean(df, steps).report()
     for key in ("rows_loaded", "rows_output", "rows_dropped", "duplicates_removed", "module_stats"):
         assert written[key] == aggregated[key]
+
+
+def test_a_look_at_the_result_does_not_spoil_the_report(spark, tmp_path):
+    result = clean(contacts(spark, TABLES), preset("leads"))
+    result.df.limit(3).collect()
+    assert result.write(str(tmp_path / "a.parquet"))["rows_loaded"] == 1541
+    assert result.write(str(tmp_path / "b.parquet"))["rows_output"] == 1541
