@@ -29,6 +29,7 @@ class Frame:
     scope: list[str] = field(default_factory=list)  # hidden columns: runs kept apart
     counters: list[str] = field(default_factory=list)
     shuffled: bool = False
+    computed: bool = False  # some cells are results of work
     before: Frame | None = None  # the frame that the latest changes were made to
     latest: list[tuple[int, Change]] = field(default_factory=list)
     kept: dict[str, str] = field(default_factory=dict)  # column -> hidden "not blanked here" flag
@@ -121,7 +122,12 @@ class Frame:
         gated = {name: F.when(F.col(LIVE), n).otherwise(0) for name, n in counts.items()}
         rows = rows.withColumns({**new, **gated}).drop(*work)
         return replace(
-            self, rows=rows, counters=[*self.counters, *counts], before=self, latest=changes
+            self,
+            rows=rows,
+            counters=[*self.counters, *counts],
+            computed=True,
+            before=self,
+            latest=changes,
         )
 
     def _quoted(self) -> list[str]:
@@ -168,7 +174,12 @@ class Frame:
 
     def _filter(self, keep: Column, counter: str) -> Frame:
         if not self.counted:
-            return replace(self, rows=self.rows.filter(keep))
+            # A filter on computed cells would be pushed below the work and repeat all of it for its
+            # condition. Observing the rows keeps it here; filters on given cells reach the scan.
+            rows = self.rows
+            if self.computed:
+                rows = rows.observe(f"rows_before{counter}", F.count(F.lit(1)).alias("rows"))
+            return replace(self, rows=rows.filter(keep))
         stays, lived = F.col("__stays"), F.col(LIVE)
         rows = self.rows.select("*", (lived & keep).alias("__stays"))
         hidden = [col(name) for name in self._hidden() if name != LIVE]
