@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, substring_dedup, token_counts
+from . import bpe, decontaminate, quality, simhash, substring_dedup, token_counts
 from .tables import only, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -43,10 +43,29 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
+    return quality.classify(docs, read(spark, sf_dir, "labels")).drop("text")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    found = simhash.groups(docs, max_distance=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_quality": op7_quality,
+    "op8_simhash": op8_simhash,
 }
 
 #: Where DuckDB can express a query; the others are tested against brute force in tests/llm.
