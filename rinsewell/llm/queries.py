@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, simhash, substring_dedup, token_counts
+from . import bpe, decontaminate, quality, simhash, substring_dedup, suffix_tree_lm, token_counts
 from .tables import only, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -48,6 +48,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10))
+    scored = suffix_tree_lm.score(docs, docs.where(remainder != 0))
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), *scored.columns[1:])
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     return quality.classify(docs, read(spark, sf_dir, "labels")).drop("text")
@@ -64,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
 }
