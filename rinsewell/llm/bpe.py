@@ -18,8 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rinsewell.functions.names import col
-
+from .rows import added
 from .tables import without
 from .words import slices
 
@@ -205,23 +204,6 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def added(df: DataFrame, text: str, new: dict[str, tuple[T.DataType, pa.DataType]], rows) -> DataFrame:
-    """``df`` with columns computed from its text column by ``rows(list of values) -> list of tuples``."""
-    base = without(df, *new)
-    schema = T.StructType([*base.schema.fields, *(T.StructField(name, kind[0]) for name, kind in new.items())])
-    names, width = list(schema.names), len(base.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            source = batch.schema.get_field_index("__rw_text")
-            for part in slices(batch, "__rw_text"):
-                got = list(zip(*rows(part.column(source).to_pylist()), strict=True))
-                columns = [pa.array(values, kind[1]) for values, kind in zip(got, new.values(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *columns], names)
-
-    return df.select(*(col(c) for c in base.columns), col(text).cast("string").alias("__rw_text")).mapInArrow(run, schema)
-
-
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids``: the token ids of the whole text, packed as little-endian unsigned 32-bit integers.
 
