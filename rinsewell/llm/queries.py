@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, quality, simhash, substring_dedup, suffix_tree_lm, token_counts
+from . import bpe, chat, decontaminate, html_text, impact_index, quality, simhash, substring_dedup, suffix_tree_lm, token_counts
 from .tables import only, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(docs, _ranks(), public_tokenizers.PATTERN))
 
 
+def op2_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = impact_index.quantised(only(read(spark, sf_dir, "embeddings"), vec_id="vec_id", embedding="embedding"))
+    return impact_index.top_k(vectors, vectors.where(F.pmod("id", F.lit(100)) == 0), k=10)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     encoded = bpe.encode(docs, _ranks(), public_tokenizers.PATTERN).drop("text")
@@ -90,8 +95,15 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = only(read(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
+    found = html_text.extract(pages)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_impact_top_k": op2_impact_top_k,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_decontamination": op4_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
@@ -99,10 +111,25 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 #: Where DuckDB can express a query; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
+    "op2_impact_top_k": """
+        WITH vectors AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS BIGINT) AS score
+            FROM vectors q JOIN vectors c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores
+        ) WHERE rank <= 10
+    """,
     "op9_chat_formatting": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
