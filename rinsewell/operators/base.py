@@ -46,12 +46,22 @@ class Change:
     The ``work`` is computed once per row; ``value`` and ``counts`` are derived from the old cell
     and from it, so counting changes does not repeat the work. Several results of work are several
     columns, not one struct: the optimizer takes structs apart and would compute each use anew.
+    ``keeps_null``: the new cell is null exactly where the old one is.
     """
 
     name: str
     work: list[Column]
     value: Callable[..., Column] = lambda old, work: work
     counts: Callable[..., dict[str, Column]] = lambda old, *work: {}
+    keeps_null: bool = False
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Rows go that are null in any, or in all, of the columns."""
+
+    columns: list[str]
+    how: str
 
 
 @dataclass(frozen=True)
@@ -71,7 +81,8 @@ class Plan:
     stats: dict = field(default_factory=dict)
     changes: list[Change] = field(default_factory=list)
     columns: list[tuple[str, str]] | None = None  # (name now, name after)
-    keep: Column | None = None
+    keep: Filter | None = None
+    raises: bool = False  # the changes may end the run, so no later filter may come before them
     dedupe: Dedupe | None = None
     removed_as: str = ""
     emptied: DataFrame | None = None  # per scope: which columns to blank out
@@ -97,7 +108,9 @@ def step(step_id: str):
     """Register a step of your own: ``function(df, options) -> DataFrame``.
 
     Use DataFrame operations, or ``pandas_udf`` / ``mapInPandas`` where per-row Python is needed.
-    The function gets the visible columns only. Its report entry holds the row counts around it;
+    The function gets the visible columns. Where the run has a scope, or a later step needs the order of
+    rows, it also gets hidden columns (``__scope_0``, ``__order``) and must hand them on: ``withColumn``,
+    ``filter`` and joins do, a ``select`` has to name them. Its report entry holds the row counts around it;
     a function that returns ``(DataFrame, dict)`` reports that dictionary instead.
     """
     if "." not in step_id:
@@ -118,14 +131,6 @@ def find_step(step_id: str) -> Planner:
     return _STEPS[step_id]
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def small(per_scope: DataFrame, scopes: int) -> DataFrame:
-    """A table with one row per scope, to be broadcast where its counted size allows it."""
-    return F.broadcast(per_scope) if scopes <= MAX_BROADCAST_ROWS else per_scope
-
-
 def differs(old: Column, new: Column) -> Column:
     """1 where a cell that is not null has changed."""
     return F.when(old != new, 1).otherwise(0)
@@ -136,15 +141,9 @@ def when_set(old: Column, condition: Column) -> Column:
     return F.when(old.isNotNull() & condition, 1).otherwise(0)
 
 
-def any_null(names: list[str]) -> Column:
-    condition = F.lit(False)
-    for name in names:
-        condition = condition | col(name).isNull()
-    return condition
-
-
-def all_null(names: list[str]) -> Column:
-    condition = F.lit(True)
+def is_kept(names: list[str], how: str) -> Column:
+    """Whether a row stays under a filter on nulls in any or all of the columns."""
+    kept = F.lit(how == "any")
     for name in names:
-        condition = condition & col(name).isNull()
-    return condition
+        kept = kept & col(name).isNotNull() if how == "any" else kept | col(name).isNotNull()
+    return kept

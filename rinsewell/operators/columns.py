@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import col, is_blank, is_text
-from .base import Plan, Table, planner, small
+from .base import Plan, Table, planner
 
 FIRST_ROWS = 1_000
 
@@ -105,8 +105,8 @@ def _drop_by_scope(table: Table, filled: dict[str, Column]) -> Plan:
     any_value = [F.coalesce(F.bool_or(f), F.lit(False)).alias(flags[n]) for n, f in filled.items()]
     per_scope = table.rows.groupBy(*table.scope).agg(*any_value)
     overall = per_scope.agg(
-        *[F.bool_or(col(flag)).alias(flag) for flag in flags.values()], F.count("*").alias("scopes")
+        *[F.bool_or(col(flag)).alias(flag) for flag in flags.values()]
     ).first()
     dropped = [name for name, flag in flags.items() if not overall[flag]]
     emptied = per_scope.drop(*[flags[name] for name in dropped])
-    return _without(table, dropped, small(emptied, overall["scopes"]))
+    return _without(table, dropped, emptied)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import Dedupe, Plan, Table, all_null, any_null, planner
+from .base import Dedupe, Filter, Plan, Table, planner
 
 
 @planner("core.drop_empty")
@@ -14,7 +14,7 @@ def drop_empty(table: Table, options: dict) -> Plan:
         if missing:
             raise KeyError(f"drop_empty: missing columns {missing}")
     checked = table.names if subset is None else subset
-    return Plan(keep=~all_null(checked), removed_as="dropped_empty")
+    return Plan(keep=Filter(list(checked), "all"), removed_as="dropped_empty")
 
 
 @planner("core.drop_rows_missing_required")
@@ -25,10 +25,9 @@ def drop_rows_missing_required(table: Table, options: dict) -> Plan:
     required = table.present(options.get("columns"))
     if not required:
         return Plan({"rows_dropped": 0})
-    missing = any_null(required) if how == "any" else all_null(required)
     return Plan(
         {"rows_dropped": 0, "required_columns": required, "how": how},
-        keep=~missing,
+        keep=Filter(required, how),
         removed_as="rows_dropped",
     )
 

@@ -19,6 +19,7 @@ def trim_whitespace(table: Table, options: dict) -> Plan:
             name,
             [fn.strip(fn.col(name))],
             counts=lambda old, work: {"cells_changed": differs(old, work)},
+            keeps_null=True,
         )
         for name in columns
         if fn.is_text(types[name])  # the text of any other type has no outer whitespace
@@ -36,7 +37,9 @@ def normalize_case(table: Table, options: dict) -> Plan:
     if not columns:
         return Plan({"columns_normalized": 0})
     types = table.types()
-    changes = [Change(name, [convert(fn.as_text(fn.col(name), types[name]))]) for name in columns]
+    changes = [
+        Change(name, [convert(fn.as_text(fn.col(name), types[name]))], keeps_null=True) for name in columns
+    ]
     return Plan({"columns_normalized": len(columns), "case": case}, changes)
 
 
@@ -49,6 +52,7 @@ def _counted(table: Table, columns: list[str], convert) -> Plan:
             counts=lambda old, work, dtype=types[name]: {
                 "values_changed": differs(fn.as_text(old, dtype), work)
             },
+            keeps_null=True,
         )
         for name in columns
     ]

@@ -9,7 +9,11 @@ from pyspark.sql import Column, functions as F
 
 from .. import functions as fn
 from ..functions.parse import guess_layout, number_text, swap_day_month
-from .base import Change, Plan, Table, differs, planner, small, when_set
+from .base import Change, Plan, Table, differs, planner, when_set
+
+
+# Fixed value: how far a number may move to become a float.
+FLOAT_TOLERANCE = 5e-4
 
 
 def _coerced(table: Table, columns: list[str], errors: str, text, parse, refine=None) -> Plan:
@@ -49,14 +53,23 @@ def _coerced(table: Table, columns: list[str], errors: str, text, parse, refine=
             )
         )
     return Plan(
-        {"columns_processed": len(columns), "values_converted": 0, "values_failed": 0}, changes
+        {"columns_processed": len(columns), "values_converted": 0, "values_failed": 0},
+        changes,
+        raises=errors == "raise",
     )
 
 
 def _downcast(table: Table, parsed: dict[str, Column], to: str) -> dict[str, Column]:
-    """Smallest type that holds every value: one aggregation over all columns finds the ranges."""
+    """Smallest type that holds every value: one aggregation over all columns finds the ranges.
+
+    A float holds a column if no value moves by more than ``FLOAT_TOLERANCE``.
+    """
     if to == "float":
-        return {name: value.cast("float") for name, value in parsed.items()}
+        infinite = [F.abs(value) == float("inf") for value in parsed.values()]
+        moved = [F.max(F.when(~i, F.abs(v - v.cast("float")))) for v, i in zip(parsed.values(), infinite)]
+        found = table.rows.agg(*moved).first()
+        fits = {name: (d or 0) <= FLOAT_TOLERANCE for name, d in zip(parsed, found)}
+        return {name: value.cast("float") if fits[name] else value for name, value in parsed.items()}
     aggregates = []
     for value in parsed.values():
         whole = F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False))
@@ -116,9 +129,9 @@ def _layouts_by_scope(table: Table, columns: list[str], dayfirst: bool):
     names = [f"__layout_{i}" for i in range(len(columns))]
     firsts = table.rows.groupBy(*table.scope).agg(*_first_values(table, columns))
     layouts = firsts.withColumns({name: guess(F.col(name)) for name in names})
-    met = layouts.agg(F.count("*").alias("scopes"), *[F.collect_set(n).alias(n) for n in names]).first()
+    met = layouts.agg(*[F.collect_set(n).alias(n) for n in names]).first()
     found = {name: sorted(met[hidden]) for name, hidden in zip(columns, names)}
-    return small(layouts, met["scopes"]), found
+    return layouts, found
 
 
 @planner("validation.coerce_datetime")
@@ -187,6 +200,7 @@ def _standardized(
                     "values_changed": changed(raw, new),
                     bad: when_set(old, new.isNull()),
                 },
+                keeps_null=True,
             )
         )
     return Plan({"columns_processed": len(columns), "values_changed": 0, bad: 0}, changes)

@@ -54,9 +54,13 @@ def fill_nulls(table: Table, options: dict) -> Plan:
     if not fill:
         return Plan({"columns_filled": 0, "nulls_filled": 0})
     types = table.types()
+    # A column without nulls keeps its type: one aggregation looks at those that would get another.
+    other = [n for n, v in fill.items() if v is not None and _widen(col(n), types[n], [v])[1] != types[n]]
+    holes = table.rows.agg(*[F.bool_or(col(n).isNull()) for n in other]).first() if other else []
+    full = {name for name, hole in zip(other, holes) if not hole}
     changes = []
     for name, value in fill.items():
-        if value is None:
+        if value is None or name in full:
             continue
         old, dtype = _widen(col(name), types[name], [value])
         value = str(value) if is_text(dtype) else value

@@ -10,8 +10,6 @@ from ..functions import col
 from ..sources.order import ORDER_COLUMN
 from .clean import CHUNK_COLUMN, STEP, CleanResult, clean
 
-MAX_BROADCAST_ROWS = 100_000
-
 
 def chunk_of(row_number: Column, chunk_size: int) -> Column:
     """The chunk of a row numbered from 0."""
@@ -22,20 +20,23 @@ def number_rows(df: DataFrame, into: str) -> DataFrame:
     """Number rows from 0 in table order, without a global sort.
 
     One pass counts the rows of each file split, which is a small table; each row then adds the
-    rows of all splits before its own to its number within the split.
+    rows of all splits before its own to its number within the split. As long as the rows are as the
+    scan dealt them, filtered or not, a task numbers the rows of its splits without gaps; after a
+    shuffle they are ranked by position within their split.
     """
     place = F.col(ORDER_COLUMN)
     fields = df.schema[ORDER_COLUMN].dataType.fieldNames()
     split = [place[name].alias(f"__{name}") for name in fields[:-1]]
     keys = [f"__{name}" for name in fields[:-1]]
-    rows = df.select("*", *split, place["row"].alias("__row"))
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        row = F.row_number().over(Window.partitionBy(*[place[n] for n in fields[:-1]]).orderBy(place["row"]))
+    else:
+        row = F.monotonically_increasing_id()
+    rows = df.select("*", *split, row.cast("long").alias("__row"))
     splits = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.min("__row").alias("start"))
     earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(earlier), F.lit(0))
     offsets = splits.select(*keys, (before - F.col("start")).alias("__offset"))
-    # Known without a job: every split is a file, or one more partition of a large file.
-    if df.rdd.getNumPartitions() + len(df.inputFiles()) <= MAX_BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     numbered = rows.join(offsets, keys, "left")
     return numbered.select(
         *map(col, df.columns), (F.col("__row") + F.col("__offset")).alias(into)

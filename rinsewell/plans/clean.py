@@ -5,19 +5,18 @@ from __future__ import annotations
 import time
 import warnings
 from collections.abc import Iterable
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from ..functions import col
 from ..operators import Plan, find_step
 from ..sources.order import ORDER_COLUMN
-from .frame import Frame
+from .frame import ORDER, Frame
 
 STEP = str | dict
 CHUNK_COLUMN = "__row_number"
-_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
 def read_spec(spec: STEP) -> tuple[str, dict] | None:
@@ -136,13 +135,18 @@ class CleanResult:
             result = result.unionByName(part)
         return result
 
-    def write(self, path: str, format: str | None = None, **options) -> dict:
-        """Write the cleaned rows, and return the report measured in the same pass."""
+    def write(self, path: str, format: str | None = None, report: bool = True, **options) -> dict:
+        """Write the cleaned rows, and return the report measured in the same pass.
+
+        ``report=False`` writes the plain table, counts nothing and returns the path alone.
+        """
         from ..sources import write_table
 
+        if not report:
+            write_table(self.df, path, format, **options)
+            return {"output_path": path}
         rows, watch = self.counted()
-        with _compiled_methods(rows.sparkSession):
-            write_table(rows, path, format, **options)
+        write_table(rows, path, format, **options)
         self._measured[len(self._segments) - 1] = dict(watch.get)
         return {**self.report(), "output_path": path}
 
@@ -181,24 +185,6 @@ class CleanResult:
         }
 
 
-@contextmanager
-def _compiled_methods(spark: SparkSession):
-    """For the time of one write, keep Spark from generating methods that HotSpot never compiles.
-
-    Many steps over many columns make one method of more than 8,000 bytes, which would be
-    interpreted. With this limit Spark falls back to one projection per step, cut into small methods.
-    """
-    before = spark.conf.get(_METHOD_LIMIT, None)
-    spark.conf.set(_METHOD_LIMIT, "8000")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_METHOD_LIMIT)
-        else:
-            spark.conf.set(_METHOD_LIMIT, before)
-
-
 def _needs_order(specs: list[tuple[str, dict]]) -> bool:
     for step_id, options in specs:
         if step_id == "dedupe.drop_duplicates":
@@ -226,13 +212,13 @@ def clean(
     if isinstance(scope, str):
         scope = [scope]
     if not isinstance(scope, dict):
-        scope = {name: F.col("`" + name.replace("`", "``") + "`") for name in scope or []}
+        scope = {name: col(name) for name in scope or []}
     names = [name for name in df.columns if name not in (ORDER_COLUMN, CHUNK_COLUMN)]
     order = None
     if _needs_order(specs):
         by = [order_by] if isinstance(order_by, str) else order_by
         if by:
-            order = F.struct(*["`" + name.replace("`", "``") + "`" for name in by])
+            order = F.struct(*map(col, by))
         elif ORDER_COLUMN in df.columns:
             order = F.col(ORDER_COLUMN)
     segments, entries = [Segment(df, names, order, list(scope.values()))], []
@@ -243,10 +229,15 @@ def clean(
             segment.add(position, plan)
             entries.append(Entry(step_id, plan.stats, len(segments) - 1, plan.removed_as))
             continue
-        if scope or order is not None:
-            raise ValueError(f"{step_id}: steps of your own work on whole, unordered tables only")
-        after, stats = _call(plan.custom, segment.plain.result(), options)
-        segments.append(Segment(after, after.columns, None, []))
+        frame = segment.plain
+        ordered = frame.ordered and _needs_order(specs[position + 1 :])
+        hidden = [*frame.scope, *([ORDER] if ordered else [])]
+        after, stats = _call(plan.custom, frame.result(hidden=hidden), options)
+        lost = [name for name in hidden if name not in after.columns]
+        if lost:
+            raise ValueError(f"{step_id}: the step dropped {lost}, which keep order or scope for later steps")
+        names = [name for name in after.columns if name not in hidden]
+        segments.append(Segment(after, names, F.col(ORDER) if ordered else None, [F.col(s) for s in frame.scope]))
         entries.append(Entry(step_id, stats, len(segments) - 1))
     return CleanResult(segments, entries, list(scope), started)
 

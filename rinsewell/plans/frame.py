@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import col
-from ..operators.base import Change, Dedupe, Plan, Table
+from ..operators.base import Change, Dedupe, Filter, Plan, Table, is_kept
 
 LIVE, ORDER, LOADED = "__live", "__order", "__n_loaded"
 
@@ -29,7 +29,8 @@ class Frame:
     scope: list[str] = field(default_factory=list)  # hidden columns: runs kept apart
     counters: list[str] = field(default_factory=list)
     shuffled: bool = False
-    computed: bool = False  # some cells are results of work
+    root: Frame | None = None  # the frame before the changes in ``history``, uncounted runs only
+    history: list[tuple[int, Plan]] = field(default_factory=list)
     before: Frame | None = None  # the frame that the latest changes were made to
     latest: list[tuple[int, Change]] = field(default_factory=list)
     kept: dict[str, str] = field(default_factory=dict)  # column -> hidden "not blanked here" flag
@@ -45,8 +46,11 @@ class Frame:
             hidden.append(order.alias(ORDER))
         if counted:
             hidden += [F.lit(True).alias(LIVE), F.lit(1).alias(LOADED)]
+        floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+        # NaN means null, wherever a table comes from.
+        cells = [F.when(~F.isnan(col(n)), col(n)).alias(n) if n in floating else col(n) for n in names]
         return Frame(
-            df.select(*map(col, names), *hidden),
+            df.select(*cells, *hidden),
             names,
             names,
             counted,
@@ -59,12 +63,12 @@ class Frame:
         order = F.col(ORDER) if self.ordered else None
         return Table(self.rows, self.names, order, self.scope, self.shuffled)
 
-    def result(self, rows: DataFrame | None = None) -> DataFrame:
-        """The visible columns of the rows that are left."""
+    def result(self, rows: DataFrame | None = None, hidden: list[str] | tuple = ()) -> DataFrame:
+        """The visible columns of the rows that are left, and those hidden ones that are asked for."""
         rows = self.rows if rows is None else rows
         if self.counted:
             rows = rows.filter(LIVE)
-        return rows.select(*map(col, self.shown))
+        return rows.select(*map(col, [*self.shown, *hidden]))
 
     def sums(self) -> list[Column]:
         """The counters as aggregates, plus the number of rows left."""
@@ -74,28 +78,55 @@ class Frame:
     # -- steps ---------------------------------------------------------------------------------
 
     def apply(self, plan: Plan, position: int) -> Frame:
-        if plan.changes:
-            changes = [(position, change) for change in plan.changes]
-            if plan.lookup is not None:
-                known = [name for name in plan.lookup.columns if name not in self.scope]
-                found = replace(self, rows=self._join(plan.lookup))._change(changes)
-                return replace(found, rows=found.rows.drop(*known), before=None, latest=[])
-            touched = {change.name for _, change in self.latest}
-            if self.before is not None and touched.isdisjoint(c.name for c in plan.changes):
-                # Steps on different columns share one projection.
-                return self.before._change([*self.latest, *changes])
-            return self._change(changes)
-        return replace(self, before=None, latest=[])._other(plan, position)
+        if not plan.changes:
+            return replace(self, before=None, latest=[])._other(plan, position)
+        made = self._changed(plan, position)
+        if self.counted or plan.raises or plan.lookup is not None:
+            return replace(made, root=None, history=[])
+        root = self.root or replace(self, before=None, latest=[])
+        return replace(made, root=root, history=[*self.history, (position, plan)])
+
+    def _changed(self, plan: Plan, position: int) -> Frame:
+        changes = [(position, change) for change in plan.changes]
+        if plan.lookup is not None:
+            known = [name for name in plan.lookup.columns if name not in self.scope]
+            found = replace(self, rows=self._join(plan.lookup))._change(changes)
+            return replace(found, rows=found.rows.drop(*known), before=None, latest=[])
+        touched = {change.name for _, change in self.latest}
+        if self.before is not None and touched.isdisjoint(c.name for c in plan.changes):
+            # Steps on different columns share one projection.
+            return self.before._change([*self.latest, *changes])
+        return self._change(changes)
 
     def _other(self, plan: Plan, position: int) -> Frame:
+        counter = f"__n_{position}_{plan.removed_as}"
+        if plan.keep is not None and not self.counted:
+            return self._filter_early(plan.keep)
+        fresh = replace(self, root=None, history=[])
         if plan.columns is not None:
-            return self._choose(plan)
+            return fresh._choose(plan)
         if plan.keep is not None:
-            return self._filter(plan.keep, f"__n_{position}_{plan.removed_as}")
+            return fresh._filter(plan.keep, counter)
         if plan.dedupe is not None:
-            return self._dedupe(plan.dedupe, f"__n_{position}_{plan.removed_as}")
+            return fresh._dedupe(plan.dedupe, counter)
         return self
 
+    def _filter_early(self, keep: Filter) -> Frame:
+        """A filter on nulls goes before the changes that leave these nulls alone: then it reaches the
+        scan, and no work is done on rows that go."""
+        changes = [change for _, plan in self.history for change in plan.changes]
+        touched = {c.name for c in changes if not c.keeps_null or c.name in self.kept}
+        if self.root is None or not touched.isdisjoint(keep.columns):
+            # Cells as they were given come first: they often decide without any work.
+            columns = sorted(keep.columns, key=lambda name: name in {c.name for c in changes})
+            rows = self.rows.filter(is_kept(columns, keep.how))
+            return replace(self, rows=rows, root=None, history=[])
+        rows = self.root.rows.filter(is_kept(keep.columns, keep.how))
+        frame = replace(self.root, rows=rows, root=None, history=[])
+        for position, plan in self.history:
+            frame = frame.apply(plan, position)
+        return frame
+
     def _hidden(self) -> list[str]:
         live = [LIVE] if self.counted else []
         order = [ORDER] if self.ordered else []
@@ -125,14 +156,10 @@ class Frame:
             self,
             rows=rows,
             counters=[*self.counters, *counts],
-            computed=True,
             before=self,
             latest=changes,
         )
 
-    def _quoted(self) -> list[str]:
-        return ["`" + name.replace("`", "``") + "`" for name in self._hidden()]
-
     def _choose(self, plan: Plan) -> Frame:
         frame = self
         if plan.emptied is not None:
@@ -145,7 +172,7 @@ class Frame:
         kept = {after[name]: flag for name, flag in frame.kept.items() if name in after}
         frame = replace(frame, kept=kept)
         rows = frame.rows.select(
-            *[col(now).alias(new) for now, new in after.items()], *map(F.col, frame._quoted())
+            *[col(now).alias(new) for now, new in after.items()], *map(col, frame._hidden())
         )
         return replace(frame, rows=rows, names=names, shown=shown)
 
@@ -172,16 +199,10 @@ class Frame:
             matching = matching & F.col(name).eqNullSafe(F.col(key))
         return self.rows.join(per_scope.withColumnsRenamed(keys), matching, "left").drop(*keys.values())
 
-    def _filter(self, keep: Column, counter: str) -> Frame:
-        if not self.counted:
-            # A filter on computed cells would be pushed below the work and repeat all of it for its
-            # condition. Observing the rows keeps it here; filters on given cells reach the scan.
-            rows = self.rows
-            if self.computed:
-                rows = rows.observe(f"rows_before{counter}", F.count(F.lit(1)).alias("rows"))
-            return replace(self, rows=rows.filter(keep))
+    def _filter(self, keep: Filter, counter: str) -> Frame:
+        """Counted: rows that go stay on as blanks."""
         stays, lived = F.col("__stays"), F.col(LIVE)
-        rows = self.rows.select("*", (lived & keep).alias("__stays"))
+        rows = self.rows.select("*", (lived & is_kept(keep.columns, keep.how)).alias("__stays"))
         hidden = [col(name) for name in self._hidden() if name != LIVE]
         rows = rows.select(
             *[F.when(stays, col(name)).alias(name) for name in self.names],

@@ -29,7 +29,8 @@ def clean_file(
     read: dict | None = None,
 ) -> dict:
     """Clean one input. The result goes to ``<out>/<name>_cleaned`` in ``output_format`` (that of
-    the input), and the report, as one JSON line, to ``<out>/<name>_report``."""
+    the input), and the report, as one JSON line, to ``<out>/<name>_report``; ``report=False`` counts
+    nothing."""
     table = read_table(spark, path, format, **(read or {}))
     kind = format or format_of(path)
     if chunk_size and kind == "csv":
@@ -37,7 +38,7 @@ def clean_file(
     else:
         result = clean(table, steps)
     name = f"{out.rstrip('/')}/{stem(path)}"
-    summary = result.write(f"{name}_cleaned", output_format or kind, mode="overwrite")
+    summary = result.write(f"{name}_cleaned", output_format or kind, report=report, mode="overwrite")
     if report:
         summary["report_path"] = f"{name}_report"
         write_report(spark, summary, summary["report_path"])
