@@ -235,39 +235,38 @@ def contact_steps(columns: list[str], *layers: dict[str, str], select: str) -> s
 
 
 ORACLE["config_all_modules"] = contact_steps(
-    ["name", "status", "cust"],
-    each(["name", "status"], strip),
-    each(["name", "status"], lambda c: null_if(c, ["n/a", "NA", "-", "null"])),
-    each(["name", "status"], lambda c: f"lower({c})"),
-    each(["name", "status"], lambda c: replaced(c, {"o": "open", "f": "final", "y": "yes"})),
-    select="SELECT DISTINCT name, status AS remark, coalesce(cust, 0) AS customer FROM t4 "
-    "WHERE name IS NOT NULL",
-)
+    ["row_id", "name", "phone", "zip", "state", "status", "cust"],
+    {c: f"CASE WHEN {strip(c)} IN ('', '-', 'y') THEN NULL ELSE {c} END" for c in ("status", "zip")},
+    each(["name", "phone", "zip", "state", "status"], strip),
+    {"state": replaced("state", {"texas": "TX", "ny": "NY", "TX": "Texas"}), "status": "upper(coalesce(status, 'none'))"},
+    select="SELECT cust AS customer, status AS remark, state, coalesce(zip, '00000') AS zip FROM t3 "
+    "WHERE cust IS NOT NULL AND (status <> 'NONE' OR zip IS NOT NULL) "
+    "QUALIFY row_number() OVER (PARTITION BY cust, status ORDER BY row_id DESC) = 1",
+)
+_known = [c for c in UNNUMBERED if c != "mostly_empty"]
 ORACLE["config_validation"] = contact_steps(
     UNNUMBERED,
-    each(TEXT, strip),
-    each(TEXT, lambda c: strip(remove_control(c))),
-    each(TEXT, lambda c: null_if(c, ["N/A", "n/a", "none", "unknown", "-"])),
-    each(["name", "status"], lambda c: f"lower({c})"),
     {
-        "phone": keep(phone_us("phone"), "phone"),
-        "zip": keep(zip_code("zip"), strip("zip")),
-        "state": keep(state("state"), "state"),
-        "amount": number("amount", True),
+        "amount": f"CAST(CAST({number('amount', True)} AS FLOAT) AS FLOAT)",
+        "zip": number("zip", True),
         "signup_date": "try_strptime(signup_date, '%Y-%m-%d')",
+        "state": "coalesce(state, '?')",
+        "status": "coalesce(status, '?')",
+        "phone": keep(f"'+1' || {phone_digits('phone')}", "phone"),
     },
-    select="SELECT DISTINCT name, phone, zip, state, amount, signup_date, status, cust FROM t5",
+    select=f"SELECT {pick(_known)} FROM t1 WHERE zip IS NOT NULL OR phone IS NOT NULL "
+    f"GROUP BY ALL HAVING count(*) = 1",
 )
 ORACLE["config_contacts"] = contact_steps(
     COLUMNS,
-    each(TEXT, strip),
     {
-        "name": match_key("name"),
-        "phone": keep(phone_us("phone"), "phone"),
-        "zip": keep(zip_code("zip"), strip("zip")),
-        "state": keep(state("state"), "state"),
+        "state": keep(state("state", True), "state"),
+        "zip": keep(zip_code("zip", True), strip("zip")),
+        "name": collapse(remove_control("name")),
     },
-    select="SELECT * FROM t2",
+    each(["name", "state"], lambda c: strip(collapse(f"lower({strip(c)})"))),
+    {"name": title("name")},
+    select="SELECT * FROM t3",
 )
 CRM = (
     each(TEXT, strip),
@@ -308,6 +307,69 @@ ORACLE["custom_step"] = contact_steps(
     f"WHERE {digits('phone')} <> ''",
 )
 
+_code = f"substr({digits('phone')}, 1, 3)"
+_called = f"{digits('phone')} <> ''"
+ORACLE["custom_step_ordered"] = contacts(
+    f"SELECT *, {_code} AS area_code FROM contacts WHERE {_called} "
+    "QUALIFY row_number() OVER (PARTITION BY area_code, status ORDER BY row_id) = 1"
+)
+ORACLE["custom_step_scoped"] = contacts(
+    f"SELECT *, {_code} AS area_code FROM contacts WHERE {_called} "
+    "QUALIFY row_number() OVER (PARTITION BY state, status ORDER BY row_id DESC) = 1"
+)
+ORACLE["custom_step_report"] = contacts(
+    "SELECT (SELECT count(*) FROM contacts WHERE name IS NULL) AS rows_dropped, "
+    "(SELECT count(*) FROM contacts WHERE name IS NOT NULL) AS rows_before, count(*) AS rows_after, "
+    f"count(*) - count(DISTINCT {_code}) AS duplicates_removed, count(DISTINCT {_code}) AS rows_output "
+    f"FROM contacts WHERE name IS NOT NULL AND {_called}"
+)
+
+# -- results of runs together ------------------------------------------------------------------
+
+TRIMMED = (each(TEXT, strip), each(TEXT, lambda c: null_if(c, ["n/a"])))
+_both = "name IS NOT NULL AND status IS NOT NULL"
+# A blank name is not null when the first filter looks, and becomes null afterwards.
+_given = "EXISTS (SELECT 1 FROM contacts c WHERE c.row_id = t2.row_id AND c.name IS NOT NULL)"
+ORACLE["union_of_cleaned"] = contact_steps(
+    COLUMNS, *TRIMMED, select=f"SELECT * FROM t2 WHERE {_given} AND status IS NOT NULL"
+)
+ORACLE["join_of_cleaned"] = contact_steps(
+    COLUMNS,
+    *TRIMMED,
+    select=f"SELECT t2.row_id, t2.name, c.zip FROM t2 JOIN contacts c USING (row_id) "
+    f"WHERE c.name IS NOT NULL AND t2.status IS NOT NULL AND c.zip IS NOT NULL",
+)
+ORACLE["clean_twice"] = contact_steps(
+    COLUMNS, *TRIMMED, select=f"SELECT * FROM t2 WHERE {_both} AND zip IS NOT NULL"
+)
+
+# -- NaN, types ----------------------------------------------------------------------------------
+
+ORACLE["nan_is_null"] = (
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE CAST(o_totalprice AS DOUBLE) END AS price, "
+    "CAST(o_custkey AS DOUBLE) AS cust, 'double' AS price_type, 'bigint' AS cust_type FROM orders WHERE o_orderkey % 53 <> 0"
+)
+_range = "(SELECT max(o_orderkey) FROM orders)"
+ORACLE["coerce_numeric_downcast_integer"] = (
+    "SELECT o_orderkey AS id, CAST(o_orderkey % 100 AS DOUBLE) AS small, o_orderkey * 1000.0::DOUBLE AS whole, "
+    "(o_orderkey % 1000) / 4 AS quarter, 'tinyint' AS small_type, "
+    f"CASE WHEN {_range} * 1000 < 32768 THEN 'smallint' WHEN {_range} * 1000 < 2147483648 THEN 'int' ELSE 'bigint' END AS whole_type, "
+    "'double' AS quarter_type FROM orders"
+)
+ORACLE["coerce_numeric_downcast_float"] = (
+    "SELECT o_orderkey AS id, (o_orderkey % 1000) / 4 AS quarter, o_orderkey + 1e6 + CAST(0.1 AS DOUBLE) AS tenth, "
+    "'float' AS quarter_type, 'double' AS tenth_type FROM orders"
+)
+ORACLE["fill_nulls_no_nulls"] = (
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 53 <> 0 THEN CAST(o_custkey AS STRING) ELSE '?' END AS cust, "
+    "CAST(o_orderkey * 1000 AS STRING) AS whole, CAST(o_orderkey AS DOUBLE) AS full, 'string' AS cust_type, "
+    "'string' AS whole_type, 'bigint' AS full_type FROM orders"
+)
+ORACLE["infer_types_nullable_long"] = (
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 53 <> 0 THEN CAST(o_custkey AS DOUBLE) END AS cust, "
+    "(o_orderkey % 1000) / 4 AS quarter, 'bigint' AS cust_type, 'double' AS quarter_type FROM orders"
+)
+
 # -- metrics and reports -----------------------------------------------------------------------
 
 
@@ -602,3 +664,11 @@ ORACLE["sink_csv_roundtrip"] = contacts(
 )
 ORACLE["sink_json_roundtrip"] = "SELECT * REPLACE (epoch_ms(o_orderdate) AS o_orderdate) FROM orders"
 ORACLE["sink_yaml_roundtrip"] = "SELECT * FROM supplier"
+
+ORACLE["chunked_after_filter"] = (
+    "WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0) "
+    "SELECT chunk, least(100, n - 100 * chunk) AS rows_loaded FROM n, LATERAL (SELECT unnest(range((n + 99) // 100)) AS chunk)"
+)
+ORACLE["stream_of_two_batches"] = contacts(
+    "SELECT state, status FROM (SELECT DISTINCT state, status, row_id % 2 FROM contacts)"
+)
