@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rinsewell.functions.names import col
 
 from .bpe import lengths
+from .tables import keep
 
 RANGE = 1024  # lengths of one range
 
@@ -35,6 +36,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """
     part = F.floor(F.col("n_tokens") / RANGE).alias("part")
     tokens = F.sum(F.col("n_docs") * F.col("n_tokens"))
+    histogram = keep(histogram)  # small, and read twice
     ranges = histogram.groupBy(part).agg(F.sum("n_docs").alias("docs"), tokens.alias("tokens"))
     # A row per RANGE lengths: as many as the longest document has thousands of tokens.
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
