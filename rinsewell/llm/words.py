@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20  # bytes of text handled at once; a longer text is one slice of its own
+SLICE = 1 << 18  # bytes of text handled at once; a longer text is one slice of its own
 _MULTIPLIER = 0x9E3779B97F4A7C13  # odd, and one less than a multiple of four: powers never repeat early
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 _ONE = np.uint64(1)
@@ -62,7 +62,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in order, in parts of about SLICE bytes of text, one row at least."""
     _, ends = text_bytes(batch.column(column))
     row = 0
