@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..functions.us import STATES
 from .inputs import CONTACTS_SQL
-from .queries import EMPTY_VALUES, REPLACED, REPLACED_BY_COLUMN
+from ..sources.csv import NULL_TOKENS
+from .queries import CRLF_TEXT, EMPTY_VALUES, REPLACED, REPLACED_BY_COLUMN
 
 ORACLE: dict[str, str] = {}
 
@@ -672,3 +673,19 @@ ORACLE["chunked_after_filter"] = (
 ORACLE["stream_of_two_batches"] = contacts(
     "SELECT state, status FROM (SELECT DISTINCT state, status, row_id % 2 FROM contacts)"
 )
+
+ORACLE["scan_csv_crlf"] = f"SELECT doc_id, {CRLF_TEXT} AS text, source FROM documents"
+_tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+ORACLE["scan_null_tokens_all"] = contacts(
+    f"SELECT row_id, CASE WHEN row_id % 2 = 1 THEN [{_tokens}][row_id % {len(NULL_TOKENS)} + 1] || ' ' END AS cell FROM contacts"
+)
+ORACLE["scan_json_list"] = contacts("SELECT row_id, name, zip, cust FROM contacts")
+ORACLE["scan_json_objects"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+ORACLE["clean_csv_file"] = contact_steps(
+    COLUMNS,
+    each(TEXT, lambda c: f"CASE WHEN {c} NOT IN ({_tokens}) THEN {c} END"),
+    each(TEXT, strip),
+    {"state": keep(state("state"), "state")},
+    select="SELECT row_id, nullif(name, '') AS name, nullif(state, '') AS state, cust, "
+    "(SELECT count(*) FROM t3 WHERE name IS NOT NULL) AS rows_output FROM t3 WHERE name IS NOT NULL",
+)

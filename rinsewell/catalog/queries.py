@@ -11,6 +11,7 @@ from ..operators import step
 from ..plans import (
     clean,
     clean_chunks,
+    clean_file,
     module_totals,
     preset,
     read_reports,
@@ -19,6 +20,7 @@ from ..plans import (
     union_chunks,
     write_report,
 )
+from ..sources.csv import NULL_TOKENS
 from ..sources import flatten, infer_types, null_tokens, read_table, scratch_folder, write_table
 from ..streaming import clean_stream, clean_stream_batches
 from .inputs import contacts, table
@@ -584,6 +586,47 @@ def scan_null_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return null_tokens(contacts(spark, folder))
 
 
+@query
+def scan_null_tokens_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Every null token, and texts that only look like one."""
+    number = (F.col("row_id") % len(NULL_TOKENS)).cast("int")
+    token = F.element_at(F.array(*map(F.lit, NULL_TOKENS)), number + 1)
+    cell = F.when(F.col("row_id") % 2 == 0, token).otherwise(F.concat(token, F.lit(" ")))
+    return null_tokens(contacts(spark, folder).select("row_id", cell.alias("cell")))
+
+
+@query
+def scan_json_list(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of objects, one list to a file, with keys that some objects lack."""
+    out = scratch_folder(spark)
+    rows = contacts(spark, folder).select("row_id", F.pmod("row_id", F.lit(4)).alias("part"), F.to_json(F.struct("row_id", "name", "zip", "cust")).alias("o"))
+    lists = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row_id", "o"))).alias("os"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("os", lambda x: x["o"]), ",\n"), F.lit("]"))
+    lists.select("part", text.alias("value")).repartition("part").write.partitionBy("part").text(out)
+    return read_table(spark, f"{out}/part=*", "json").drop("__position")
+
+
+@query
+def scan_json_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Single objects, one to a file, as flat rows."""
+    out = scratch_folder(spark)
+    nations = table(spark, folder, "nation")
+    one_each = nations.select("n_nationkey", F.to_json(F.struct("n_nationkey", F.struct("n_name", "n_regionkey").alias("n"))).alias("value"))
+    one_each.repartition("n_nationkey").write.partitionBy("n_nationkey").text(out)
+    flat = read_table(spark, f"{out}/n_nationkey=*", "json").drop("__position")
+    return flat.select("n_nationkey", F.col("`n.n_name`").alias("n_name"), F.col("`n.n_regionkey`").alias("n_regionkey"))
+
+
+@query
+def clean_csv_file(spark: SparkSession, folder: str) -> DataFrame:
+    """From a CSV folder to a cleaned CSV folder and its report."""
+    out = scratch_folder(spark)
+    write_table(contacts(spark, folder), f"{out}/people.csv")
+    steps = ["text.trim_whitespace", *one("validation.standardize_state", columns=["state"]), *one("core.drop_rows_missing_required", columns=["name"])]
+    report = clean_file(spark, f"{out}/people.csv", out, steps)
+    rows = read_table(spark, report["output_path"], "csv").select("row_id", "name", "state", F.col("cust").cast("double"))
+    return rows.withColumn("rows_output", F.lit(report["rows_output"]))
+
 @query
 def infer_types_contacts(spark: SparkSession, folder: str) -> DataFrame:
     """Columns given as text, typed by what they hold."""
@@ -616,6 +659,26 @@ def scan_csv_multiline(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, path).drop("__position")
 
 
+CRLF_TEXT = """CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), concat(chr(13), chr(10)))
+  WHEN 1 THEN replace(text, ' ', concat(chr(13), '"')) ELSE concat(text, chr(13), chr(10)) END"""
+
+
+@query
+def scan_csv_crlf(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields with line ends of all kinds, and quotes, in files whose lines end in CR LF."""
+    out = scratch_folder(spark)
+    text = F.concat(F.lit('"'), F.replace(F.expr(CRLF_TEXT), F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = documents(spark, folder).select(
+        (F.col("doc_id") % 3).alias("part"),
+        "doc_id",
+        F.concat_ws(",", F.col("doc_id").cast("string"), text, F.concat("source", F.lit("\r"))).alias("value"),
+    )
+    header = spark.range(3).select(F.col("id").alias("part"), F.lit(-1).alias("doc_id"), F.lit("doc_id,text,source\r").alias("value"))
+    lines = docs.unionByName(header).repartition("part").sortWithinPartitions("part", "doc_id")
+    lines.select("part", "value").write.partitionBy("part").text(out)
+    return read_table(spark, f"{out}/part=*", "csv").drop("__position")
+
+
 @query
 def scan_csv_chunked(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of a CSV table numbered in input order and cleaned in chunks of 500."""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import col, is_text
-from .order import with_position
+from .order import ORDER_COLUMN, with_position
 
 # Texts read as null.
 NULL_TOKENS = [
@@ -70,14 +73,14 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_text(f.dataType)]
-    if not columns:
-        return df
-    # A text among the first rows settles a column; only the others are looked at throughout.
-    first = df.select(*[_class_of(col(n)) for n in columns]).take(1_000)
-    columns = [n for i, n in enumerate(columns) if not any(row[i] == _TEXT for row in first)]
     if not columns:
         return df
     found = df.agg(*[F.bit_or(_class_of(col(n))) for n in columns]).first()
+    return _typed(df, dict(zip(columns, found)))
+
+
+def _typed(df: DataFrame, classes: dict[str, int | None]) -> DataFrame:
+    """The columns in the types that the classes met in them allow."""
 
     def typed(met: int | None, name: str) -> Column:
         values = (met or 0) & ~_NULL
@@ -91,32 +94,46 @@ def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             return col(name)
         return col(name).try_cast(dtype).alias(name)
 
-    typed_columns = {name: typed(met, name) for name, met in zip(columns, found)}
+    typed_columns = {name: typed(met, name) for name, met in classes.items()}
     return df.select(*[typed_columns.get(name, col(name)) for name in df.columns])
 
 
 _BAD = "__bad_record"
+_OPTIONS = {"quote": '"', "escape": '"'}
+# With a digit after it, a character of the private use area stands for itself (0), a carriage return (1)
+# and a line feed (2) in a field, and for the end of a record (3).
+_MARK = "\ue000"
+_MARKED = [("\n", _MARK + "2"), ("\r", _MARK + "1"), (_MARK, _MARK + "0")]
 
 
-def _header(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Column names from the first record of the first file; repeats become ``a``, ``a.1``."""
+def _header(spark: SparkSession, paths: list[str]) -> tuple[list[str], str]:
+    """Column names from the first record of the first file (repeats become ``a``, ``a.1``), and its
+    first line as it is."""
     files = spark.read.text(paths).inputFiles()
     if not files:
         raise ValueError(f"no CSV file in {paths}")
-    # multiLine keeps the file in one piece: the task stops after its first record.
-    first = spark.read.options(multiLine=True, quote='"', escape='"').csv(unquote(min(files))).first()
-    if first is None:
-        raise ValueError(f"empty CSV file: {min(files)}")
+    file = unquote(min(files))
+    lines = spark.read.option("lineSep", "\n").text(file).filter("trim(value) NOT IN ('', '\r')")
+    wanted, record = 1, None
+    while record is None:
+        found = [row[0] for row in lines.take(wanted)]
+        if not found:
+            raise ValueError(f"empty CSV file: {file}")
+        whole = [n for n in range(1, len(found) + 1) if "\n".join(found[:n]).count('"') % 2 == 0]
+        if whole or len(found) < wanted:
+            record = "\n".join(found[: whole[0] if whole else None])
+        wanted *= 2
+    first = next(csv.reader(io.StringIO(record, newline=""), strict=False))
     names, seen = [], set()
     for i, name in enumerate(first):
-        name = base = f"Unnamed: {i}" if name is None else name
+        name = base = name or f"Unnamed: {i}"
         repeat = 0
         while name in seen:
             repeat += 1
             name = f"{base}.{repeat}"
         seen.add(name)
         names.append(name)
-    return names
+    return names, re.split("[\r\n]", record)[0]
 
 
 def read_csv(
@@ -128,52 +145,154 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV files with a header row; all files share the columns of the first.
 
-    Fields may hold line ends inside quotes. A file with such fields has to be read by one task,
-    all others are split. ``multiline=None`` finds out which files these are by one pass over the
-    lines; pass True or False where the answer is known. A row with more fields than the header is
-    an error. The result has a hidden position for first and last.
+    Fields may hold line ends of any kind inside quotes, and keep them. ``multiline=None`` finds out
+    whether some do, in the pass that also finds the types; pass True or False where the answer is
+    known. Files are split either way. A row with more fields than the header is an error. The result
+    has a hidden position for first and last.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    header = _header(spark, paths)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _BAD]])
-
-    def scan(across_lines: bool, files: Column | None = None) -> DataFrame:
-        rows = (
-            spark.read.options(header=True, quote='"', escape='"', multiLine=across_lines)
-            .option("columnNameOfCorruptRecord", _BAD)
-            .option("columnPruning", False)  # a pruned scan does not notice long rows
-            .schema(schema)
-            .csv(paths)
-        )
-        return with_position(rows if files is None else rows.filter(files), row_index=False)
-
-    uneven = _uneven_files(spark, paths) if multiline is None else []
-    if not uneven or len(uneven) > 1000:
-        rows = scan(bool(multiline or uneven))
-    else:
-        # A filter on the file path prunes the file listing, so each file is read once.
-        across = F.col("_metadata.file_path").isin(uneven)
-        rows = scan(False, ~across).unionByName(scan(True, across))
-    rows = rows.filter(_not_too_long(header)).drop(_BAD)
+    header, header_line = _header(spark, paths)
+    classes = None
+    if multiline is None:
+        multiline, classes = _first_look(spark, paths, header, header_line, types, nulls)
+    rows = _across_lines(spark, paths, header) if multiline else _line_by_line(spark, paths, header)
     if nulls:
         rows = null_tokens(rows)
-    return infer_types(rows, header) if types else rows
+    if not types:
+        return rows
+    return _typed(rows, classes) if classes else infer_types(rows, header)
+
+
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
 
 
-def _uneven_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files in which some line holds an odd number of quotes. In all others no quoted field can
-    contain a line end, so they may be split at any line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+def _fields(record: Column, names: list[str]) -> Column:
+    """The fields of a record as a struct with one more, which is null unless there are too many."""
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)]
+    return F.from_csv(record, ", ".join(f"{f.name} string" for f in fields), _OPTIONS)
+
+
+def _first_look(spark, paths, header, header_line, types, nulls) -> tuple[bool, dict | None]:
+    """Whether a field holds a line end, and if none does, the classes of values in each column.
+
+    If every line has an even number of quotes, no quoted field goes on in the next line, and each line
+    is a record. The lines equal to the header line must be as many as the files, or else some of them
+    are data, and the classes are left for another pass.
+    """
+    line = F.col("value")
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    return [row["file"] for row in lines.filter(quotes % 2 == 1).select("file").distinct().collect()]
+    is_header = line == F.lit(header_line)
+    facts = [
+        F.count_if(_quotes(line) % 2 == 1).alias("odd"),
+        F.count_if(is_header).alias("headers"),
+        F.count_distinct("file").alias("files"),
+    ]
+    wanted = header if types else []
+    if wanted:
+        record = F.when(~is_header & (F.trim(line) != ""), line)
+        lines = lines.select("value", "file", _fields(record, header).alias("r"))
+        for i in range(len(wanted)):
+            cell = F.col("r").getField(f"c{i}")
+            cell = F.when(~cell.isin(NULL_TOKENS), cell) if nulls else cell
+            facts.append(F.bit_or(F.when(F.col("r").isNotNull(), _class_of(cell))).alias(f"k{i}"))
+    found = lines.agg(*facts).first()
+    if found["odd"]:
+        return True, None
+    if not wanted or found["headers"] != found["files"]:
+        return False, None
+    return False, {name: found[f"k{i}"] for i, name in enumerate(header)}
 
 
-def _not_too_long(header: list[str]) -> Column:
-    """Fail on rows with more fields than the header; missing fields are nulls."""
-    width = len(header)
-    fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)])
-    record = F.from_csv(F.col(_BAD), fields.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
+def _line_by_line(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
+    """Every line is a record."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _BAD]])
+    rows = (
+        spark.read.options(header=True, **_OPTIONS)
+        .option("columnNameOfCorruptRecord", _BAD)
+        .option("columnPruning", False)  # a pruned scan does not notice long rows
+        .schema(schema)
+        .csv(paths)
+    )
+    extra = _fields(F.col(_BAD), header).getField(f"c{len(header)}")
     # Naming a data column keeps one in the scan: Spark refuses to read the bad records alone.
-    message = F.concat_ws(" ", F.lit(f"CSV row with more than {width} fields:"), _BAD, col(header[0]))
-    too_long = F.col(_BAD).isNotNull() & record.getField(f"c{width}").isNotNull()
+    text = F.concat_ws(" ", _BAD, col(header[0]))
+    fits = _not_too_long(F.col(_BAD).isNotNull() & extra.isNotNull(), text, header)
+    return with_position(rows, row_index=False).filter(fits).drop(_BAD)
+
+
+def _across_lines(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
+    """Records that may go on over line ends, and over the ends of file splits.
+
+    A line begins a record where the quotes before it in the file are even in number. The parity at the
+    start of a split comes from a small table with a row per split; within a split it is a running sum.
+    Lines with all quotes closed are records as they are; only the others are gathered by record.
+    """
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        _quotes(value).alias("quotes"),
+    )
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "block").agg(F.sum("quotes").alias("all"), F.min("row").alias("first"))
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("open"))
+    before = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    quoted = F.col("open") + F.coalesce(F.sum("quotes").over(before), F.lit(0))
+    lines = lines.join(splits, ["file", "block"]).withColumn("begins", quoted % 2 == 0)
+    lines = lines.withColumn("start", F.last(F.when(F.col("begins"), F.col("row")), True).over(so_far))
+    alone = F.col("begins") & (F.col("quotes") % 2 == 0)
+    whole = lines.filter(alone).select("file", "block", "row", "first", value.alias("record"))
+
+    # The record that is open at the start of a split began in the last split before in which any did.
+    parts = lines.filter(~alone)
+    last = lines.filter("begins").groupBy("file", "block").agg(F.max("row").alias("last"))
+    place = F.when(F.col("last").isNotNull(), F.struct("block", "last", "first"))
+    owners = splits.join(last, ["file", "block"], "left").select(
+        "file", F.col("block").alias("at"), F.last(place, True).over(earlier).alias("owner")
+    )
+    parts = parts.join(owners, (parts["file"] == owners["file"]) & (parts["block"] == owners["at"])).select(
+        parts["file"],
+        F.when(F.col("start").isNotNull(), F.struct("block", F.col("start").alias("last"), "first"))
+        .otherwise(F.col("owner"))
+        .alias("place"),
+        F.struct("block", "row", "value").alias("line"),
+    )
+    gathered = F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["value"]), "\n")
+    joined = parts.groupBy("file", "place").agg(gathered.alias("record"))
+    joined = joined.select(
+        "file", "place.block", F.col("place.last").alias("row"), "place.first", "record"
+    )
+    records = whole.unionByName(joined).filter(~((F.col("block") == 0) & (F.col("row") == F.col("first"))))
+
+    # A carriage return ends a record too, outside of quotes: there, between every other two quotes.
+    safe = F.replace(F.regexp_replace("record", r"\r\z", ""), F.lit(_MARK), F.lit(_MARK + "0"))
+    outer = lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit("\r"), F.lit(_MARK + "3"))).otherwise(x)
+    ends = F.split(F.array_join(F.transform(F.split(safe, '"', -1), outer), '"'), _MARK + "3", -1)
+    pieces = F.when(safe.contains("\r"), ends).otherwise(F.array(safe))
+    records = records.select("file", "block", "row", F.posexplode(pieces).alias("part", "record"))
+    safe = F.replace(F.replace("record", F.lit("\r"), F.lit(_MARK + "1")), F.lit("\n"), F.lit(_MARK + "2"))
+    rows = records.filter(F.trim("record") != "").select(
+        F.struct("file", "block", "row", "part").alias(ORDER_COLUMN), "record", _fields(safe, header).alias("r")
+    )
+    extra = F.col("r").getField(f"c{len(header)}")
+    rows = rows.filter(_not_too_long(extra.isNotNull(), F.col("record"), header))
+    cells = []
+    for i, name in enumerate(header):
+        cell = F.col("r").getField(f"c{i}")
+        for text, mark in _MARKED:
+            cell = F.replace(cell, F.lit(mark), F.lit(text))
+        cells.append(cell.alias(name))
+    # The rows of a split together and in order, as a scan would give them.
+    place = F.col(ORDER_COLUMN)
+    dealt = rows.repartition(place["file"], place["block"]).sortWithinPartitions(place)
+    return dealt.select(*cells, ORDER_COLUMN)
+
+
+def _not_too_long(too_long: Column, record: Column, header: list[str]) -> Column:
+    """Fail on rows with more fields than the header; missing fields are nulls."""
+    message = F.concat_ws(" ", F.lit(f"CSV row with more than {len(header)} fields:"), record)
     return F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))

@@ -1,5 +1,7 @@
 """Reading and writing: record boundaries, null tokens, types, shapes of JSON and YAML."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,28 @@ def test_csv_files_with_and_without_line_ends_in_fields(spark, tmp_path, put):
     assert last.df.count() == 4
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_csv_records_across_line_ends_and_splits(spark, tmp_path, seed):
+    random.seed(seed)
+    parts = ["a", "b", " ", '"', "\r\n", "\n", "\r", ",", "", "é", "\ue000", "\ue0001"]
+    table = [["x", "y", "z\r\nz" if seed % 2 else "z"]]
+    table += [["".join(random.choices(parts, k=random.randint(0, 8))) for _ in range(3)] for _ in range(30)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(k in c for k in '",\r\n') else c
+    end = random.choice(["\n", "\r\n"])
+    path = str(tmp_path / "t.csv")
+    with open(path, "w", newline="") as file:
+        file.write(end.join(",".join(map(quoted, row)) for row in table) + end * (seed % 3))
+    expected = pd.read_csv(path, dtype=str)
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    own.conf.set("spark.sql.files.openCostInBytes", "10")
+    df = read_table(own, path, types=False)
+    assert "multiLine" not in df._jdf.queryExecution().toString()
+    assert df.columns[:-1] == list(expected.columns)
+    found = [tuple(r)[:3] for r in df.orderBy(ORDER_COLUMN).collect()]
+    assert found == [tuple(None if pd.isna(v) else v for v in r) for r in expected.itertuples(index=False, name=None)]
+
+
 COLUMNS = [
     (["1", "+5", " 7 "], "bigint"),
     (["1", None], "bigint"),
