@@ -157,3 +157,20 @@ def guess_layout(value: str, dayfirst: bool = False) -> str | None:
     except ValueError:
         return None
     return layout
+
+
+def layout_of(text: Column, dayfirst: bool = False) -> Column:
+    """The same as an expression, among ``DATE_LAYOUTS`` with and without an offset: the first layout that the
+    text is a possible date of. Where day and month can be told apart neither way, ``dayfirst`` decides."""
+    clear = [layout for layout in DATE_LAYOUTS if "%y" not in layout and "%p" not in layout]
+    clear += [layout + "%z" for layout in clear if "%M" in layout]
+    clear.sort(key=lambda layout: "%b" in layout)  # May is a full name
+    other = [re.sub("%m(.)%d", r"%d\1%m", layout) for layout in clear]
+    if dayfirst:
+        tried = [*other, *clear]
+        tried.remove("%Y%m%d")
+        tried.remove("%Y%m%d")
+    else:
+        tried = [*clear, *map(swap_day_month, clear)]
+    fits = [F.when(parse_datetime(text, layout, True).isNotNull(), layout) for layout in dict.fromkeys(tried)]
+    return F.coalesce(*fits)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .. import functions as fn
-from ..functions.parse import guess_layout, number_text, swap_day_month
+from ..functions.parse import guess_layout, layout_of, number_text, swap_day_month
 from .base import Change, Plan, Table, differs, planner, when_set
 
 
@@ -122,13 +121,9 @@ def _first_values(table: Table, columns: list[str]) -> list[Column]:
 def _layouts_by_scope(table: Table, columns: list[str], dayfirst: bool):
     """The layout of each column in each scope, as a table, and all layouts met in each column."""
 
-    @F.pandas_udf("string")
-    def guess(firsts: pd.Series) -> pd.Series:
-        return firsts.map(lambda first: first and guess_layout(first, dayfirst))
-
     names = [f"__layout_{i}" for i in range(len(columns))]
     firsts = table.rows.groupBy(*table.scope).agg(*_first_values(table, columns))
-    layouts = firsts.withColumns({name: guess(F.col(name)) for name in names})
+    layouts = firsts.withColumns({name: layout_of(F.col(name), dayfirst) for name in names})
     met = layouts.agg(*[F.collect_set(n).alias(n) for n in names]).first()
     found = {name: sorted(met[hidden]) for name, hidden in zip(columns, names)}
     return layouts, found

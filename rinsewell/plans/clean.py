@@ -56,7 +56,7 @@ class Segment:
     names: list[str]
     order: Column | None
     scope: list[Column]
-    plans: list[tuple[int, Plan]] = field(default_factory=list)
+    plans: list[tuple[int, Plan, bool]] = field(default_factory=list)
 
     def __post_init__(self):
         self.plain = self._start(counted=False)
@@ -64,15 +64,19 @@ class Segment:
     def _start(self, counted: bool) -> Frame:
         return Frame.start(self.source, self.names, self.order, self.scope, counted)
 
-    def add(self, position: int, plan: Plan) -> None:
-        self.plans.append((position, plan))
-        self.plain = self.plain.apply(plan, position)
+    def add(self, position: int, plan: Plan, ordered: bool) -> None:
+        """``ordered``: whether this step or a later one needs the order of rows."""
+        self.plans.append((position, plan, ordered))
+        self.plain = self._apply(self.plain, position, plan, ordered)
+
+    def _apply(self, frame: Frame, position: int, plan: Plan, ordered: bool) -> Frame:
+        return (frame if ordered else frame.unordered()).apply(plan, position)
 
     @cached_property
     def counted(self) -> Frame:
         frame = self._start(counted=True)
-        for position, plan in self.plans:
-            frame = frame.apply(plan, position)
+        for step in self.plans:
+            frame = self._apply(frame, *step)
         return frame
 
 
@@ -226,7 +230,7 @@ def clean(
         segment = segments[-1]
         plan = find_step(step_id)(segment.plain.table(), options)
         if plan.custom is None:
-            segment.add(position, plan)
+            segment.add(position, plan, _needs_order(specs[position:]))
             entries.append(Entry(step_id, plan.stats, len(segments) - 1, plan.removed_as))
             continue
         frame = segment.plain

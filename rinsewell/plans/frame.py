@@ -70,6 +70,12 @@ class Frame:
             rows = rows.filter(LIVE)
         return rows.select(*map(col, [*self.shown, *hidden]))
 
+    def unordered(self) -> Frame:
+        """Without the order of rows, once no step needs it: de-duplication is cheaper then."""
+        if not self.ordered:
+            return self
+        return replace(self, rows=self.rows.drop(ORDER), ordered=False, root=None, history=[], before=None, latest=[])
+
     def sums(self) -> list[Column]:
         """The counters as aggregates, plus the number of rows left."""
         sums = [F.sum(name).alias(name) for name in self.counters]
