@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .tables import keep
 BLOCK = 16_384  # vectors of an index block
 QUERIES = 256  # of a query block
 LEVELS = 64  # quantised values of a dimension
-ROUNDS = 16  # impact levels
+ROUNDS = (8, 5, 3, 2, 1, 0)  # impact levels at which it may be proven that enough was seen, of twice the first
 RESCORED = 64
 SCALE = 1024
 
@@ -42,11 +43,9 @@ def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding"
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A row per vector; shorter ones are filled up with zeros."""
-    lists = column.to_pylist()
-    width = max(map(len, lists), default=0)
-    out = np.zeros((len(lists), width), np.int64)
-    for i, values in enumerate(lists):
-        out[i, : len(values)] = values
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), int(sizes.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -108,49 +107,42 @@ class Block:
         query = np.concatenate([query, np.zeros(max(0, dims - len(query)), np.int64)])[:dims]
         impacts = self._impacts(query)
         least = np.minimum(self.low * query, self.high * query)
+        gains = self.sorted * query[:, None] - least[:, None]
         others = self.ids != own
+        possible = np.flatnonzero(others)
         total = np.zeros(n, np.int64)
         used = np.flatnonzero(query)
         up = query > 0  # the highest impacts stand at the end of the postings
+        rows = np.arange(dims)
         done = np.where(up, n, 0)  # postings met so far: from here on, or up to here
-        level = np.where(up, LEVELS, 0)
         highest = int(impacts.max(initial=0))
-        possible = np.flatnonzero(others)
-        for turn in range(1, ROUNDS + 1):
+        for part in ROUNDS:
             if len(possible) <= max(k, RESCORED):
                 break
-            floor = highest * (ROUNDS - turn) // ROUNDS
+            floor = highest * part // ROUNDS[0] // 2
+            # Impacts rise with the value if the component is positive, and fall otherwise.
+            below = (impacts < floor).sum(axis=1)
+            level = np.where(up, below, LEVELS - below)
+            place = self.edges[rows, level]
+            low, high = np.minimum(place, done).tolist(), np.maximum(place, done).tolist()
             for d in used.tolist():
-                # Impacts rise with the value if the component is positive, and fall otherwise.
-                own_level = level[d]
-                if up[d]:
-                    while own_level > 0 and (impacts[d, own_level - 1] >= floor):
-                        own_level -= 1
-                    a, b = self.edges[d, own_level], done[d]
-                    done[d] = a
-                else:
-                    while own_level < LEVELS and (impacts[d, own_level] >= floor):
-                        own_level += 1
-                    a, b = done[d], self.edges[d, own_level]
-                    done[d] = b
-                level[d] = own_level
-                if a < b:
-                    total[self.order[d, a:b]] += self.sorted[d, a:b] * query[d] - least[d]
-            if 2 * turn < ROUNDS:
-                continue
+                if low[d] < high[d]:
+                    total[self.order[d, low[d] : high[d]]] += gains[d, low[d] : high[d]]
+            done = place
             # What is left per dimension, and so per vector that has not been met there.
             rest = np.zeros(dims, np.int64)
-            open_up, open_down = up & (level > 0), ~up & (level < LEVELS) & (query != 0)
-            rest[open_up] = impacts[open_up, level[open_up] - 1]
-            rest[open_down] = impacts[open_down, level[open_down]]
-            own_total = total[possible]
-            kth = np.partition(total[others], -k)[-k] if others.sum() >= k else np.iinfo(np.int64).min
-            near = own_total + rest.sum() >= kth
-            possible, own_total = possible[near], own_total[near]
-            bound = np.where(up, self.sorted[np.arange(dims), np.minimum(done, n - 1)], self.sorted[np.arange(dims), np.maximum(done - 1, 0)])
+            more = used[np.where(up, level > 0, level < LEVELS)[used]]
+            rest[more] = impacts[more, np.where(up, level - 1, level)[more]]
+            candidates = total[possible]
+            kth = np.partition(candidates, -k)[-k] if len(candidates) >= k else np.iinfo(np.int64).min
+            near = candidates + rest.sum() >= kth
+            possible, candidates = possible[near], candidates[near]
+            if 4 * len(possible) > n:
+                continue  # too many for a closer look to pay
             values = self.vectors[possible]
-            unseen = np.where(up, (values < bound) | (done == n), (values > bound) | (done == 0)) & (query != 0)
-            possible = possible[own_total + unseen @ rest >= kth]
+            edge = self.sorted[rows, np.where(up, np.minimum(done, n - 1), np.maximum(done - 1, 0))]
+            unseen = np.where(up, (values < edge) | (done == n), (values > edge) | (done == 0))
+            possible = possible[candidates + unseen @ rest >= kth]
         scores = self.vectors[possible] @ query
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible][best], scores[best]

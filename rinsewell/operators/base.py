@@ -54,6 +54,11 @@ class Change:
     value: Callable[..., Column] = lambda old, work: work
     counts: Callable[..., dict[str, Column]] = lambda old, *work: {}
     keeps_null: bool = False
+    dates: bool = False  # the new cells are timestamps without a time of day
+
+
+#: Metadata of columns whose timestamps have no time of day by construction.
+DATES = {"rinsewell.dates": True}
 
 
 @dataclass(frozen=True)

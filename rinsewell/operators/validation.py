@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import Column, functions as F
@@ -149,7 +150,7 @@ def coerce_datetime(table: Table, options: dict) -> Plan:
         tried = list(dict.fromkeys([*common, *swapped]))
         return F.coalesce(*[fn.parse_datetime(fn.strip(text), layout, instants) for layout in tried])
 
-    lookup = None
+    lookup, layouts = None, dict.fromkeys(columns, options.get("format"))
     if options.get("format") or not columns:
 
         def parse(name: str, text: Column) -> Column:
@@ -175,7 +176,9 @@ def coerce_datetime(table: Table, options: dict) -> Plan:
             return fn.parse_datetime(text, known, utc) if known else any_layout(text)
 
     plan = _coerced(table, columns, errors, lambda value: value, parse)
-    return replace(plan, lookup=lookup)
+    whole_days = {n for n, known in layouts.items() if known and not utc and not re.search("%[HIMSfpz]", known)}
+    changes = [replace(change, dates=change.name in whole_days) for change in plan.changes]
+    return replace(plan, changes=changes, lookup=lookup)
 
 
 def _standardized(

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import col
-from ..operators.base import Change, Dedupe, Filter, Plan, Table, is_kept
+from ..operators.base import DATES, Change, Dedupe, Filter, Plan, Table, is_kept
 
 LIVE, ORDER, LOADED = "__live", "__order", "__n_loaded"
 
@@ -152,7 +152,7 @@ class Frame:
             value = change.value(old, *done)
             if change.name in self.kept:
                 value = F.when(F.col(self.kept[change.name]), value)
-            new[change.name] = value
+            new[change.name] = value.alias(change.name, metadata=DATES) if change.dates else value
             for metric, count in change.counts(old, *done).items() if self.counted else ():
                 name = f"__n_{position}_{metric}"
                 counts[name] = counts[name] + count if name in counts else count

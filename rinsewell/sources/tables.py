@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import col
 from .csv import read_csv
@@ -68,13 +68,17 @@ def _of_type(df: DataFrame, dtype: type) -> list[str]:
 def _csv_text(df: DataFrame) -> DataFrame:
     """Cells as CSV shows them, whatever the session's time zone: ``True``; times as a date where the
     whole column is at midnight; instants in UTC with their offset."""
-    local = _of_type(df, T.TimestampNTZType)
+    cells: dict[str, Column] = {}
+    for name in _of_type(df, T.TimestampNTZType):
+        if "rinsewell.dates" in df.schema[name].metadata:  # known without looking at the rows
+            cells[name] = col(name).cast("date").cast("string")
+    local = [name for name in _of_type(df, T.TimestampNTZType) if name not in cells]
     dates: set[str] = set()
     if local:
         midnight = [col(n) == col(n).cast("date").cast("timestamp_ntz") for n in local]
         all_day = df.agg(*[F.coalesce(F.bool_and(m), F.lit(True)) for m in midnight]).first()
         dates = {name for name, found in zip(local, all_day) if found}
-    cells = {n: col(n).cast("date" if n in dates else "string").cast("string") for n in local}
+    cells |= {n: col(n).cast("date" if n in dates else "string").cast("string") for n in local}
     for name in _of_type(df, T.TimestampType):
         utc = F.timestamp_add("MICROSECOND", F.unix_micros(col(name)), F.expr(_EPOCH))
         cells[name] = F.concat(utc.cast("string"), F.lit("+00:00"))

@@ -158,6 +158,18 @@ def test_csv_sink_shows_dates(spark, tmp_path):
     )
 
 
+def test_dates_are_known_without_a_job(spark, tmp_path):
+    df = spark.sql("SELECT id, '2024-01-05' d, concat('2024-01-05 1', id, ':00') t FROM range(2)")
+    dates = {"id": "validation.coerce_datetime", "options": {"columns": ["d"], "format": "%Y-%m-%d"}}
+    times = {"id": "validation.coerce_datetime", "options": {"columns": ["t"], "format": "%Y-%m-%d %H:%M"}}
+    steps = [dates, times, {"id": "core.rename_columns", "options": {"mapping": {"d": "day"}}}, "dedupe.drop_duplicates"]
+    cleaned = clean(df, steps).df
+    assert cleaned.schema["day"].metadata and not cleaned.schema["t"].metadata
+    write_table(cleaned.coalesce(1).sort("id"), str(tmp_path / "x.csv"))
+    text = next((tmp_path / "x.csv").glob("*.csv")).read_text()
+    assert text == "id,day,t\n0,2024-01-05,2024-01-05 10:00:00\n1,2024-01-05,2024-01-05 11:00:00\n"
+
+
 def test_tables_without_rows_or_columns(spark, tmp_path):
     df = spark.createDataFrame([], "a string, b long")
     write_table(df, str(tmp_path / "x.parquet"))
