@@ -7,14 +7,15 @@ windows. A window that repeats does so within two sites of one anchor, and every
 
 - An anchor seen once: nothing in its site repeats.
 - An anchor whose sites are all equal: each window in them repeats.
-- Other anchors are reference shards. The segments of a shard are fed into a suffix automaton over words with
-  the number of occurrences of each state; the same segments stream past it, and at each place the longest
-  suffix with a second occurrence is the matching statistic. Spans of ``min_words`` or more are removed.
-
-A shard is a run of whole anchors of bounded size, dealt by hash: an automaton of the whole corpus could be
-neither built nor broadcast. An anchor with more than ``HOT`` sites is split further, into its windows,
-which are counted with partial sums. Only anchors, not texts, decide which words are compared; whether they
-are equal is decided on all words of a window.
+- Other anchors are dealt to reference shards, each distinct segment once, with its number of sites. The
+  segments of a shard are fed into a suffix automaton over words that counts the occurrences of each state;
+  the segments stream past it, and at each place the longest suffix with a second occurrence is the matching
+  statistic. Spans of ``min_words`` or more are removed, at every site of the segment.
+
+A shard is a run of whole anchors of bounded size: an automaton of the whole corpus could be neither built nor
+broadcast. An anchor with more than ``HOT`` distinct segments is split further, into their windows, which are
+counted with partial sums. Only which words are compared is decided by anchors; whether they are equal is decided
+on all words of a window.
 """
 
 from __future__ import annotations
@@ -29,16 +30,16 @@ from pyspark.sql import types as T
 
 from rinsewell.functions.names import col
 
-from .tables import text_key, without
-from .words import grams, mix, ranges, slices, words
+from .tables import keep, without
+from .words import grams, mix, ranges, slices, text_bytes, words
 
-ANCHOR = 12  # words of an anchor; the denser the longer
-HOT = 1_000  # sites of an anchor that one shard may hold
+ANCHOR = 8  # words of an anchor; the denser the longer
+HOT = 4_000  # distinct segments of an anchor that one shard may hold
 SHARD_WORDS = 50_000  # words in an automaton
 
-_SITES = "fp long, seg long, key binary, start int, length int"
-_SEGMENTS = "fp long, key binary, start int, words binary"
-_SPANS = "key binary, first int, last int"
+_SITES = "fp long, seg long, key long, place long"
+_SEGMENTS = "fp long, seg long, n long, hot boolean, words binary"
+_SPANS = "fp long, seg long, first int, last int"
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +76,9 @@ def _sites(hashes: np.ndarray, doc: np.ndarray, min_words: int):
 
 
 def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
-    names = ["fp", "seg", "key", "start", "length"]
+    """A row per site. ``place`` packs the text's tag, the first word and the number of words (16, 32 and 16 bits):
+    these rows are the bulk of what is shuffled."""
+    names = ["fp", "seg", "key", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,16 +88,12 @@ def _anchors(docs: DataFrame, min_words: int) -> DataFrame:
                 if sites is None:
                     continue
                 fp, seg, first, length, row = sites
-                columns = [
-                    pa.array(fp.view(np.int64)),
-                    pa.array(seg.view(np.int64)),
-                    part.column("key").take(pa.array(row)),
-                    pa.array((first - found.first[row]).astype(np.int32)),
-                    pa.array(length.astype(np.int32)),
-                ]
+                tag = part.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+                place = tag << 48 | (first - found.first[row]) << 16 | length
+                columns = [pa.array(fp.view(np.int64)), pa.array(seg.view(np.int64)), part.column("key").take(pa.array(row)), pa.array(place)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("key", "text").mapInArrow(run, _SITES)
+    return docs.mapInArrow(run, _SITES)
 
 
 class Automaton:
@@ -177,49 +176,43 @@ class Automaton:
 
 
 def _matched(segments: DataFrame, min_words: int) -> DataFrame:
-    """Spans that repeat within the segments of one anchor."""
+    """Spans that repeat, within the segments of each anchor."""
 
-    def shard(rows: list[tuple[bytes, int, bytes]]):
-        copies: dict[bytes, int] = {}
-        for _, _, packed in rows:
-            copies[packed] = copies.get(packed, 0) + 1
+    def shard(held: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch:
         number: dict[int, int] = {}
-        sequences = {
-            packed: [number.setdefault(h, len(number)) for h in np.frombuffer(packed, np.int64).tolist()] for packed in copies
-        }
         automaton = Automaton()
-        for packed, times in copies.items():
-            automaton.add(sequences[packed], times)
+        sequences = {}
+        for name, (n, packed) in held.items():
+            sequences[name] = [number.setdefault(h, len(number)) for h in np.frombuffer(packed, np.int64).tolist()]
+            automaton.add(sequences[name], n)
         automaton.count()
-        spans = {packed: automaton.repeated(sequence, min_words) for packed, sequence in sequences.items()}
-        for key, start, packed in rows:
-            for low, high in spans[packed]:
-                yield key, start + low, start + high
-
-    def out(rows) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[], [], []]
-        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["key", "first", "last"])
+        rows = [(*name, *span) for name, sequence in sequences.items() for span in automaton.repeated(sequence, min_words)]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["fp", "seg", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, anchor = [], 0, None
+        held, size, anchor = {}, 0, None
         for batch in batches:
-            for fp, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for fp, seg, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if fp != anchor and size >= SHARD_WORDS:
-                    yield out(shard(held))
-                    held, size = [], 0
+                    yield shard(held)
+                    held, size = {}, 0
                 anchor = fp
-                held.append(row)
-                size += len(row[2]) // 8
+                if (fp, seg) not in held:  # rows of one text bring the same segment
+                    held[fp, seg] = n, packed
+                    size += len(packed) // 8
         if held:
-            yield out(shard(held))
+            yield shard(held)
 
-    dealt = segments.repartition("fp").sortWithinPartitions("fp")
+    dealt = segments.select("fp", "seg", "n", "words").repartition("fp").sortWithinPartitions("fp")
     return dealt.mapInArrow(run, _SPANS)
 
 
 def _segments(docs: DataFrame) -> DataFrame:
-    """The word hashes of the sites that ``hints`` (structs of fp, start, length) name in each text."""
+    """The word hashes of the sites that ``hints`` (structs of fp, seg, n, hot, place) name in each text."""
+    names = [part.split()[0] for part in _SEGMENTS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,60 +220,80 @@ def _segments(docs: DataFrame) -> DataFrame:
                 found = words(part.column("text"))
                 hashes = found.hashes()
                 rows = []
-                for i, (key, hints) in enumerate(zip(part.column("key").to_pylist(), part.column("hints").to_pylist(), strict=True)):
+                for i, hints in enumerate(part.column("hints").to_pylist()):
                     own = hashes[found.first[i] : found.first[i + 1]]
                     for hint in hints:
-                        start, stop = hint["start"], hint["start"] + hint["length"]
-                        rows.append((hint["fp"], key, start, own[start:stop].tobytes()))
+                        start = hint["place"] >> 16 & 0xFFFFFFFF
+                        segment = own[start : start + (hint["place"] & 0xFFFF)]
+                        rows.append((hint["fp"], hint["seg"], hint["n"], hint["hot"], segment.tobytes()))
                 if rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
                     arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays(arrays, ["fp", "key", "start", "words"])
+                    yield pa.RecordBatch.from_arrays(arrays, names)
 
     return docs.mapInArrow(run, _SEGMENTS)
 
 
 def _windows(segments: DataFrame, min_words: int) -> DataFrame:
-    """Spans that repeat, for anchors with very many sites: every window of theirs is counted by content."""
+    """Spans that repeat, for anchors with very many segments: every window of theirs is counted by content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, key, start, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.frombuffer(packed, np.uint64)
-                one, two = grams(hashes, min_words), grams(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), min_words)
-                columns = [
-                    pa.array(one.view(np.int64)),
-                    pa.array(two.view(np.int64)),
-                    pa.array([key] * len(one), pa.binary()),
-                    pa.array((start + np.arange(len(one))).astype(np.int32)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["one", "two", "key", "first"])
-
-    rows = segments.mapInArrow(run, "one long, two long, key binary, first int")
-    twice = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two")
+            data, ends = text_bytes(batch.column("words"))
+            hashes, ends = np.frombuffer(data, np.uint64), ends // 8
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            at = np.flatnonzero(row[: max(0, len(row) - min_words + 1)] == row[min_words - 1 :])
+            if not len(at):
+                continue
+            one, two = ranges(hashes, at, at + min_words), ranges(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at, at + min_words)
+            own = pa.array(row[at])
+            columns = [
+                pa.array(one.view(np.int64)),
+                pa.array(two.view(np.int64)),
+                *(batch.column(c).take(own) for c in ("fp", "seg", "n")),
+                pa.array((at - ends[row[at]]).astype(np.int32)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["one", "two", "fp", "seg", "n", "first"])
+
+    rows = segments.dropDuplicates(["fp", "seg"]).select("fp", "seg", "n", "words")
+    rows = rows.mapInArrow(run, "one long, two long, fp long, seg long, n long, first int")
+    twice = rows.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").select("one", "two")
     found = rows.join(twice, ["one", "two"], "left_semi")
-    return found.select("key", "first", (F.col("first") + min_words).alias("last"))
+    return found.select("fp", "seg", "first", (F.col("first") + min_words).alias("last"))
+
+
+def _keys(text) -> tuple:
+    """Eighty bits that stand for a text in the tables of sites and spans."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text).bitwiseAND(F.lit(0x7FFF)).cast("int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 35, text: str = "text") -> DataFrame:
-    """key, spans: for each distinct text with words to remove, its ``text_key`` and the spans (first word, last
+    """key, tag, spans: for each distinct text with words to remove, its ``_keys`` and the spans (first word, last
     word + 1), in any order and overlapping.
 
     Every occurrence is removed, the first too. Two rows with one text are two texts. Null, empty and short
     texts have no windows; an empty table gives no rows.
     """
-    keyed = docs.select(text_key(col(text)).alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+    key, tag = _keys(col(text))
+    keyed = docs.select(key.alias("key"), tag.alias("tag"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     sites = _anchors(keyed, min_words)
     anchors = sites.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
-    anchors = anchors.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("open"), (F.col("n") > HOT).alias("hot"))
-    again = sites.select("fp", "key", "start", "length").join(anchors, "fp")
-    equal = again.where("not open").select("key", F.col("start").alias("first"), (F.col("start") + F.col("length")).alias("last"))
-    hints = again.where("open").groupBy("key").agg(F.collect_set(F.struct("fp", "start", "length", "hot")).alias("hints"))
-    asked = keyed.join(hints, "key")
-    cool = asked.select("key", "text", F.filter("hints", lambda h: ~h["hot"]).alias("hints"))
-    hot = asked.select("key", "text", F.filter("hints", lambda h: h["hot"]).alias("hints")).where(F.size("hints") > 0)
-    spans = _matched(_segments(cool), min_words).unionByName(_windows(_segments(hot), min_words)).unionByName(equal)
-    return spans.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    anchors = anchors.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("open"))
+    again = keep(sites.join(anchors, "fp"))
+    tag = F.shiftrightunsigned("place", 48).cast("int").alias("tag")
+    start = F.shiftrightunsigned("place", 16).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    stop = start + F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    equal = again.where("not open").select("key", tag, start.alias("first"), stop.alias("last"))
+    # One site stands for all equal ones.
+    chosen = again.where("open").groupBy("fp", "seg").agg(F.count(F.lit(1)).alias("n"), F.min_by("place", "key").alias("place"), F.min("key").alias("key"))
+    large = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > HOT).select("fp", F.lit(True).alias("hot"))
+    chosen = chosen.join(large, "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hints = chosen.groupBy("key", tag).agg(F.collect_list(F.struct("fp", "seg", "n", "hot", "place")).alias("hints"))
+    segments = keep(_segments(keyed.join(hints, ["key", "tag"])))
+    spans = _matched(segments.where("not hot"), min_words).unionByName(_windows(segments.where("hot"), min_words))
+    spans = again.where("open").join(spans, ["fp", "seg"])
+    spans = spans.select("key", tag, (start + F.col("first")).alias("first"), (start + F.col("last")).alias("last"))
+    return spans.unionByName(equal).groupBy("key", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
 
 def _cut(text: bytes, spans: list[dict]) -> tuple[int, int, bytes]:
@@ -308,9 +321,12 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, text: str = "text") ->
         T.StructField("kept_text", T.StringType()),
     ]
     schema = T.StructType([*base.schema.fields, *new])
-    spans = repeated_spans(docs, min_words, text).withColumnsRenamed({"key": "__rw_key", "spans": "__rw_spans"})
-    keyed = docs.select(*(col(c) for c in base.columns), col(text).cast("string").alias("__rw_text"), text_key(col(text)).alias("__rw_key"))
-    rows = keyed.join(spans, "__rw_key", "left").drop("__rw_key")
+    spans = repeated_spans(docs, min_words, text).toDF("__rw_key", "__rw_tag", "__rw_spans")
+    key, tag = _keys(col(text))
+    keyed = docs.select(
+        *(col(c) for c in base.columns), col(text).cast("string").alias("__rw_text"), key.alias("__rw_key"), tag.alias("__rw_tag")
+    )
+    rows = keyed.join(spans, ["__rw_key", "__rw_tag"], "left").drop("__rw_key", "__rw_tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
