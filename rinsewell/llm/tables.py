@@ -13,11 +13,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: later plans start here, whatever is lost."""
+def keep(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: later plans start here, whatever is lost.
+
+    ``files`` is for tables of bounded size, to be written by so few tasks.
+    """
     spark = df.sparkSession
     path = scratch_folder(spark)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
