@@ -689,3 +689,13 @@ ORACLE["clean_csv_file"] = contact_steps(
     select="SELECT row_id, nullif(name, '') AS name, nullif(state, '') AS state, cust, "
     "(SELECT count(*) FROM t3 WHERE name IS NOT NULL) AS rows_output FROM t3 WHERE name IS NOT NULL",
 )
+_emptied_rows = (
+    "emptied AS (SELECT " + pick(UNNUMBERED, **each(UNNUMBERED, lambda c: f"CASE WHEN row_id % 41 <> 0 THEN {c} END")) + " FROM contacts)",
+    chain(UNNUMBERED, "emptied", each(TEXT, strip), each(TEXT, lambda c: null_if(c, []))),
+)
+ORACLE["report_empty_rows"] = contacts(
+    f"SELECT (SELECT count(*) FROM t2) AS rows_loaded, (SELECT count(*) FROM t2 WHERE NOT ({_some})) AS rows_dropped, "
+    f"(SELECT count(*) FROM t2 WHERE {_some}) - count(*) AS duplicates_removed, count(*) AS rows_output, "
+    f"(SELECT count(*) FROM t2 WHERE NOT ({_some})) AS dropped_empty FROM (SELECT DISTINCT * FROM t2 WHERE {_some})",
+    *_emptied_rows,
+)

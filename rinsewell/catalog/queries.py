@@ -454,6 +454,16 @@ def report_row_crm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def report_empty_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What the report says of rows without any value."""
+    steps = ["text.trim_whitespace", *one("text.normalize_empty_strings"), "core.drop_empty", *one("dedupe.drop_duplicates")]
+    report = clean(with_empty_rows(spark, folder), steps).write(scratch_folder(spark), "parquet")
+    row = [report["rows_loaded"], report["rows_dropped"], report["duplicates_removed"], report["rows_output"]]
+    row.append(report["module_stats"]["core.drop_empty"]["dropped_empty"])
+    return spark.createDataFrame([row], "rows_loaded long, rows_dropped long, duplicates_removed long, rows_output long, dropped_empty long")
+
+
 @query
 def report_per_source(spark: SparkSession, folder: str) -> DataFrame:
     """Every source of the documents as a table of its own, all in one job."""

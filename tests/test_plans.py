@@ -2,7 +2,7 @@
 
 import pytest
 
-from rinsewell import clean, preset
+from rinsewell import clean, clean_chunks, preset, read_table
 from rinsewell.catalog.inputs import contacts
 
 from conftest import TABLES
@@ -84,3 +84,48 @@ def test_a_look_at_the_result_does_not_spoil_the_report(spark, tmp_path):
     result.df.limit(3).collect()
     assert result.write(str(tmp_path / "a.parquet"))["rows_loaded"] == 1541
     assert result.write(str(tmp_path / "b.parquet"))["rows_output"] == 1541
+
+
+def test_filters_reach_the_scan_past_changes(spark):
+    orders = spark.read.parquet(f"{TABLES}/orders.parquet")
+    steps = [
+        "text.trim_whitespace",
+        {"id": "text.normalize_case", "options": {"case": "upper"}},
+        {"id": "core.drop_rows_missing_required", "options": {"columns": ["o_custkey", "o_orderstatus"]}},
+    ]
+    text = plan(clean(orders, steps).df)
+    assert "IsNotNull(o_custkey)" in text and "IsNotNull(o_orderstatus)" in text
+    assert "CollectMetrics" not in text
+    emptied = [{"id": "text.normalize_empty_strings", "options": {"empty_values": ["O"]}}, steps[-1]]
+    df = clean(orders, emptied).df
+    assert df.count() == orders.filter("o_orderstatus <> 'O'").count()
+
+
+def test_order_ends_with_the_last_step_that_needs_it(spark):
+    orders = spark.read.parquet(f"{TABLES}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    first = {"id": "dedupe.drop_duplicates", "options": {"subset": ["o_orderstatus"]}}
+    text = plan(clean(orders, [first, "dedupe.drop_duplicates"], "o_orderkey").df)
+    assert text.count("SortAggregate") <= 2
+
+
+def test_write_without_report_counts_nothing(spark, tmp_path):
+    df = spark.sql("SELECT ' a ' AS v")
+    report = clean(df, ["text.trim_whitespace"]).write(str(tmp_path / "x"), "parquet", report=False)
+    assert report == {"output_path": str(tmp_path / "x")}
+    assert spark.read.parquet(str(tmp_path / "x")).first().v == "a"
+
+
+def test_nan_is_null_in_every_table(spark):
+    df = spark.sql("SELECT id, double('NaN') AS a, if(id = 0, float('NaN'), 1f) AS b FROM range(3)")
+    filled = clean(df, [{"id": "core.fill_nulls", "options": {"values": {"b": 5}}}, "core.drop_empty_columns"]).df
+    assert filled.columns == ["id", "b"] and sorted(r.b for r in filled.collect()) == [1, 1, 5]
+    missing = {"id": "core.drop_rows_missing_required", "options": {"columns": ["b"]}}
+    assert clean(df, [missing]).df.count() == 2
+
+
+def test_chunks_of_a_filtered_table(spark, tmp_path):
+    spark.range(20).repartitionByRange(3, "id").sortWithinPartitions("id").write.parquet(str(tmp_path / "t"))
+    rows = read_table(spark, str(tmp_path / "t"), "parquet").filter("id % 2 = 1")
+    for table in (rows, rows.repartition(4)):
+        totals = clean_chunks(table, ["core.drop_empty"], 5).totals().collect()
+        assert sorted((r.chunk, r["__n_loaded"]) for r in totals) == [(0, 5), (1, 5)]
