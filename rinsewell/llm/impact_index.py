@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rinsewell.functions.names import col
+
 from .tables import keep
 
 BLOCK = 16_384  # vectors of an index block
@@ -34,8 +36,8 @@ SCALE = 1024
 def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """id, v: floor(scale * x) of every component. Without rows whose id or vector is null, or whose vector holds
     null or a value that is not finite."""
-    x = F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull())
+    x = col(vector).cast("array<double>")
+    rows = vectors.select(col(key).cast("long").alias("id"), x.alias("x")).where(F.col("id").isNotNull() & F.col("x").isNotNull())
     return rows.where(~F.exists("x", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf")))).select(
         "id", F.transform("x", lambda a: F.floor(a * scale)).alias("v")
     )
