@@ -228,10 +228,9 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", decoded:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = encoder(shared.value, pattern).decode
         for batch in batches:
-            for part in slices(batch.set_column(at, "x", batch.column(at).cast(pa.large_binary())), "x"):
+            for part in slices(batch, at):
                 got = pa.array([back(packed or b"") for packed in part.column(at).to_pylist()], pa.binary())
-                columns = [part.column(i) if i != at else part.column(i).cast(pa.binary()) for i in range(part.num_columns)]
-                yield pa.RecordBatch.from_arrays([*columns, got], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, got], schema.names)
 
     at = base.columns.index(ids)
     return base.mapInArrow(run, schema)

@@ -14,18 +14,26 @@ from .tables import without
 from .words import slices
 
 
+def with_text(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``names`` of ``df``, the place of the text among them, and if it is not, one column more."""
+    own = [col(name) for name in names]
+    if text in names and isinstance(df.schema[text].dataType, T.StringType):
+        return df.select(*own), names.index(text)
+    return df.select(*own, col(text).cast("string").alias("__rw_text")), len(names)
+
+
 def added(df: DataFrame, text: str, new: dict[str, tuple[T.DataType, pa.DataType]], rows) -> DataFrame:
     """``df`` with columns computed from its text column by ``rows(list of values) -> list of tuples``."""
     base = without(df, *new)
     schema = T.StructType([*base.schema.fields, *(T.StructField(name, kind[0]) for name, kind in new.items())])
     names, width = list(schema.names), len(base.columns)
+    source_rows, source = with_text(df, base.columns, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            source = batch.schema.get_field_index("__rw_text")
-            for part in slices(batch, "__rw_text"):
+            for part in slices(batch, source):
                 got = list(zip(*rows(part.column(source).to_pylist()), strict=True))
                 columns = [pa.array(values, kind[1]) for values, kind in zip(got, new.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *columns], names)
 
-    return df.select(*(col(c) for c in base.columns), col(text).cast("string").alias("__rw_text")).mapInArrow(run, schema)
+    return source_rows.mapInArrow(run, schema)

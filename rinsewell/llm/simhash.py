@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from rinsewell.functions.names import col
 
 from .components import components
+from .rows import with_text
 from .tables import keep, text_key, without
 from .words import slices
 
@@ -62,16 +63,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", name: st
     already named like the new one is replaced; rows and other columns stay."""
     base = without(docs, name)
     schema = T.StructType([*base.schema.fields, T.StructField(name, T.LongType())])
+    width = len(base.columns)
+    rows, at = with_text(docs, base.columns, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__rw_text"):
-                at = part.num_columns - 1
+            for part in slices(batch, at):
                 texts = part.column(at).cast(pa.binary()).to_pylist()
                 found = np.fromiter((fingerprint(t or b"", shingle) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(found.view(np.int64))], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(found.view(np.int64))], schema.names)
 
-    return docs.select(*(col(c) for c in base.columns), col(text).cast("string").alias("__rw_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

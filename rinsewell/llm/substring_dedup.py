@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from rinsewell.functions.names import col
 
+from .rows import with_text
 from .tables import keep, without
 from .words import grams, mix, ranges, slices, text_bytes, words
 
@@ -322,20 +323,19 @@ def remove_repeated(docs: DataFrame, min_words: int = 35, text: str = "text") ->
     ]
     schema = T.StructType([*base.schema.fields, *new])
     spans = repeated_spans(docs, min_words, text).toDF("__rw_key", "__rw_tag", "__rw_spans")
-    key, tag = _keys(col(text))
-    keyed = docs.select(
-        *(col(c) for c in base.columns), col(text).cast("string").alias("__rw_text"), key.alias("__rw_key"), tag.alias("__rw_tag")
-    )
-    rows = keyed.join(spans, ["__rw_key", "__rw_tag"], "left").drop("__rw_key", "__rw_tag")
+    keyed, at = with_text(docs, base.columns, text)
+    key, tag = _keys(col(keyed.columns[at]))
+    rows = keyed.withColumns({"__rw_key": key, "__rw_tag": tag}).join(spans, ["__rw_key", "__rw_tag"], "left")
+    rows = rows.select(*(col(c) for c in keyed.columns), "__rw_spans")
+    width = len(base.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__rw_text"):
-                at = part.schema.get_field_index("__rw_text")
+            for part in slices(batch, at):
                 texts = part.column(at).cast(pa.binary()).to_pylist()
-                got = [_cut(x or b"", s or ()) for x, s in zip(texts, part.column(at + 1).to_pylist(), strict=True)]
+                got = [_cut(x or b"", s or ()) for x, s in zip(texts, part.columns[-1].to_pylist(), strict=True)]
                 n, gone, kept = zip(*got, strict=True)
                 new = [pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], *new], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -54,11 +54,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in one array, and the n + 1 places where they begin and end; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or not len(column):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
