@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rinsewell.functions.names import col
 
@@ -25,7 +26,7 @@ from .words import Words, grams, slices, words
 
 SEED_WORDS = 3
 RARE = 1e-7  # of all words of the corpus
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 20_000_000
 _CELLS = 1 << 19  # of alignments made at once
@@ -162,8 +163,8 @@ def _passages(found: Words, hashes: np.ndarray, items: Items):
     return out
 
 
-def _leaks(docs: DataFrame, items, threshold: float, schema: str) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(", ")]
+def _leaks(docs: DataFrame, items, threshold: float, schema: T.StructType) -> DataFrame:
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = items.value
@@ -204,8 +205,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """
     spark = docs.sparkSession
     rows = docs.select(col(key).alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    schema = f"{key} {kind}, item_id long, first_word long, n_words long, score double"
+    schema = T.StructType([T.StructField(key, rows.schema["key"].dataType)])
+    for name in ("item_id", "first_word", "n_words"):
+        schema = schema.add(name, T.LongType())
+    schema = schema.add("score", T.DoubleType())
     tests = benchmark.select(F.col("item_id").cast("long").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
@@ -225,5 +228,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item leaked. Rows that share a key share their fate; rows without
     a key are judged together."""
-    leaked = find_leaks(docs, benchmark, threshold, key, text).select(F.col(key).alias("__rw_key")).distinct()
+    leaked = find_leaks(docs, benchmark, threshold, key, text).select(col(key).alias("__rw_key")).distinct()
     return docs.join(leaked, col(key).eqNullSafe(F.col("__rw_key")), "left_anti")

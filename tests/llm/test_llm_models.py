@@ -245,7 +245,7 @@ def test_leaks(spark, monkeypatch, block):
     docs, tests, expected = leaks(spark)
     found = decontaminate.find_leaks(docs, tests).collect()
     assert {(r.doc_id, r.item_id) for r in found} == expected | {(None, 0)}
-    assert sum(r.doc_id == 0 for r in found) == 2 and all(r.score >= 0.5 for r in found)
+    assert sum(r.doc_id == 0 for r in found) == 2 and all(r.score >= decontaminate.THRESHOLD for r in found)
     left = decontaminate.without_leaks(docs, tests)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted({*range(202)} - {i for i, _ in expected})
