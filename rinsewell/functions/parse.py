@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 
 # ``1_000``, ``5d``, ``0x1A`` and non-ASCII digits are not numbers, whatever a cast may think.
 NUMBER = r"(?i)\A\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)\s*\z"
+# Fixed value: currency signs taken off either end.
 _CURRENCY = r"(?U)\A\s*[$£€]|\s*[$£€]\s*\z"
 
 

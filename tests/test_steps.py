@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rinsewell import clean, preset, step
 
+# Small tables whose results and metrics are known.
 SAMPLE = [
     ("Alice", 100.0, "first"),
     ("Bob", 200.0, "second"),
