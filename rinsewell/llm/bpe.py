@@ -22,7 +22,7 @@ from .rows import added
 from .tables import without
 from .words import slices
 
-CACHED_TEXTS = 1 << 19  # of pieces of text and their ids, per worker; older ones are encoded again
+CACHED_TEXTS = 1 << 18  # of pieces of text and their ids, per worker, and as many older ones; others are encoded again
 CACHED_CHARS = 64
 
 
@@ -63,8 +63,10 @@ class Encoder:
         for token, rank in sorted(names.items(), key=lambda x: x[1]):
             self._learn(token.decode("latin-1"), rank)
         self.fits = {}  # what was found while merges were still missing
-        self.cache: dict[str, bytes | None] = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.packed_pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _learn(self, text: str, rank: int) -> None:
         """Find the merge that makes this token out of earlier ones."""
@@ -140,7 +142,7 @@ class Encoder:
                 open_at[at] = False
                 token = out.pop()
                 at -= length[token]
-        if len(fits) > CACHED_TEXTS * 4:
+        if len(fits) > CACHED_TEXTS:
             fits.clear()
         return out
 
@@ -149,10 +151,13 @@ class Encoder:
         for piece in self.pieces(text):
             ids = known.get(piece)
             if ids is None:
-                ids = np.array(self.piece(piece), "<u4").tobytes()
+                ids = self.older_pieces.get(piece)
+                if ids is None:
+                    ids = np.array(self.piece(piece), "<u4").tobytes()
                 if len(piece) <= CACHED_CHARS:
                     if len(known) >= CACHED_TEXTS:
-                        known.clear()
+                        self.older_pieces, self.packed_pieces = known, {}
+                        known = self.packed_pieces
                     known[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -163,11 +168,12 @@ class Encoder:
         A single space between two other characters always begins a match of the pattern, so such parts
         can be encoded, and remembered, on their own.
         """
-        whole = not part or part[0].isspace() or part[-1].isspace()
-        found = None if whole else self._packed(space + part)
+        if not part or part[0].isspace() or part[-1].isspace():
+            return None
+        found = self.older.get(space + part) or self._packed(space + part)
         if len(part) <= CACHED_CHARS:
             if len(self.cache) >= CACHED_TEXTS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[space + part] = found
         return found
 
@@ -188,6 +194,10 @@ class Encoder:
                     found[i] = ids
         return found
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps the newer texts only."""
+        self.older, self.older_pieces = {}, {}
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -216,7 +226,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
         parts = encoder(shared.value, pattern).parts
         return [(b"".join(parts(text or "")),) for text in texts]
 
-    return added(df, text, {ids: (T.BinaryType(), pa.binary())}, rows)
+    return added(df, text, {ids: (T.BinaryType(), pa.binary())}, rows, lambda: encoder(shared.value, pattern).rest())
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -244,4 +254,4 @@ def lengths(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", n_tok
         parts = encoder(shared.value, pattern).parts
         return [(sum(map(len, parts(text or ""))) // 4,) for text in texts]
 
-    return added(df, text, {n_tokens: (T.LongType(), pa.int64())}, rows)
+    return added(df, text, {n_tokens: (T.LongType(), pa.int64())}, rows, lambda: encoder(shared.value, pattern).rest())

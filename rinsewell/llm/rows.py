@@ -22,8 +22,9 @@ def with_text(df: DataFrame, names: list[str], text: str) -> tuple[DataFrame, in
     return df.select(*own, col(text).cast("string").alias("__rw_text")), len(names)
 
 
-def added(df: DataFrame, text: str, new: dict[str, tuple[T.DataType, pa.DataType]], rows) -> DataFrame:
-    """``df`` with columns computed from its text column by ``rows(list of values) -> list of tuples``."""
+def added(df: DataFrame, text: str, new: dict[str, tuple[T.DataType, pa.DataType]], rows, done=None) -> DataFrame:
+    """``df`` with columns computed from its text column by ``rows(list of values) -> list of tuples``;
+    ``done`` is called at the end of each task."""
     base = without(df, *new)
     schema = T.StructType([*base.schema.fields, *(T.StructField(name, kind[0]) for name, kind in new.items())])
     names, width = list(schema.names), len(base.columns)
@@ -35,5 +36,7 @@ def added(df: DataFrame, text: str, new: dict[str, tuple[T.DataType, pa.DataType
                 got = list(zip(*rows(part.column(source).to_pylist()), strict=True))
                 columns = [pa.array(values, kind[1]) for values, kind in zip(got, new.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:width], *columns], names)
+        if done:
+            done()
 
     return source_rows.mapInArrow(run, schema)
