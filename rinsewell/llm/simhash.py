@@ -26,7 +26,7 @@ from rinsewell.functions.names import col
 
 from .components import components
 from .rows import with_text
-from .tables import keep, text_key, without
+from .tables import files_for, keep, text_key, without
 from .words import slices
 
 SEED = 42
@@ -214,9 +214,10 @@ def groups(docs: DataFrame, max_distance: int = 4, shingle: int = 4, key: str =
     folder, since every text is hashed only once.
     """
     rows = docs.select(col(key).alias("doc_id"), text_key(col(text)).alias("text_key"), col(text).alias("__rw_value"))
-    rows = keep(fingerprints(rows, shingle, "__rw_value").drop("__rw_value"))
+    files = files_for(docs)
+    rows = keep(fingerprints(rows, shingle, "__rw_value").drop("__rw_value"), files)
     codes = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
-    linked = components(_links(codes.select("fp"), max_distance))
+    linked = components(_links(codes.select("fp"), max_distance), files)
     codes = codes.join(linked, F.col("fp") == F.col("node"), "left")
     codes = codes.select("fp", "least", F.coalesce("root", "fp").alias("group"))
     ids = codes.groupBy("group").agg(F.min("least").alias("component_id"))

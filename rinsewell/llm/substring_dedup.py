@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from rinsewell.functions.names import col
 
 from .rows import with_text
-from .tables import keep, without
+from .tables import files_for, keep, without
 from .words import grams, mix, ranges, slices, text_bytes, words
 
 ANCHOR = 8  # words of an anchor; the denser the longer
@@ -280,7 +280,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 35, text: str = "text") ->
     sites = _anchors(keyed, min_words)
     anchors = sites.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
     anchors = anchors.where("n > 1").select("fp", (F.col("low") != F.col("high")).alias("open"))
-    again = keep(sites.join(anchors, "fp"))
+    files = files_for(docs)
+    # Dealt anew, so that adaptive execution may split the sites of an anchor that very many texts have.
+    anchors = anchors.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    again = keep(sites.join(anchors, "fp"), files)
     tag = F.shiftrightunsigned("place", 48).cast("int").alias("tag")
     start = F.shiftrightunsigned("place", 16).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     stop = start + F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int")
@@ -290,7 +293,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 35, text: str = "text") ->
     large = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("distinct")).where(F.col("distinct") > HOT).select("fp", F.lit(True).alias("hot"))
     chosen = chosen.join(large, "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     hints = chosen.groupBy("key", tag).agg(F.collect_list(F.struct("fp", "seg", "n", "hot", "place")).alias("hints"))
-    segments = keep(_segments(keyed.join(hints, ["key", "tag"])))
+    segments = keep(_segments(keyed.join(hints, ["key", "tag"])), files)
     spans = _matched(segments.where("not hot"), min_words).unionByName(_windows(segments.where("hot"), min_words))
     spans = again.where("open").join(spans, ["fp", "seg"])
     spans = spans.select("key", tag, (start + F.col("first")).alias("first"), (start + F.col("last")).alias("last"))

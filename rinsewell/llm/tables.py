@@ -13,10 +13,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+FILE_BYTES = 128 << 20
+
+
+def files_for(source: DataFrame) -> int:
+    """How many tasks should write what is made from ``source``: one per 128 MB of it, one per core at least;
+    10,000 if its size is not known.
+
+    Many more would leave small files, each of which costs its reader as much as a large one.
+    """
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 62 else 10_000 * FILE_BYTES
+    return max(source.sparkSession.sparkContext.defaultParallelism, known // FILE_BYTES)
+
+
 def keep(df: DataFrame, files: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: later plans start here, whatever is lost.
 
-    ``files`` is for tables of bounded size, to be written by so few tasks.
+    ``files``: the most tasks to write it; they take over the partitions, in order.
     """
     spark = df.sparkSession
     path = scratch_folder(spark)
