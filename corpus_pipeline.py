@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinsewell.llm import bpe, decontaminate, quality, simhash, substring_dedup
-from rinsewell.llm.tables import keep, read
+from rinsewell.llm.tables import files_for, keep, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,12 +19,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose perplexity is above the threshold of their language."""
-    return quality.classify(docs, read(spark, sf_dir, "labels")).where("keep").select(*COLUMNS)
+    kept = quality.classify(docs, read(spark, sf_dir, "labels")).where("keep")
+    return kept.select(*COLUMNS).coalesce(files_for(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that of the smallest doc_id."""
-    return simhash.one_of_each(docs, max_distance=4, shingle=4).select(*COLUMNS)
+    return simhash.one_of_each(docs, max_distance=4, shingle=4).select(*COLUMNS).coalesce(files_for(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +34,20 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     cut = cut.select("doc_id", text.alias("text"), "lang", "source", "n_removed", "n_chars")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
+    return cut.withColumn("n_chars", n_chars).select(*COLUMNS).coalesce(files_for(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a copy, exact or edited, of a benchmark item."""
-    return decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    clean = decontaminate.without_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return clean.select(*COLUMNS).coalesce(files_for(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (packed, unsigned 32-bit, little-endian), the number of ids, and
     whether the ids decode to the text."""
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
-    encoded = bpe.encode(docs.select(*COLUMNS), ranks, public_tokenizers.PATTERN)
+    encoded = bpe.encode(docs.select(*COLUMNS).coalesce(files_for(docs)), ranks, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select(*COLUMNS, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
