@@ -214,8 +214,9 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``: the token ids of the whole text, packed as little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add ``ids``: the token ids of the whole text, packed as little-endian unsigned 32-bit integers; and under the
+    name ``decoded``, if given, the bytes that these ids decode to, by the same worker.
 
     Null and empty texts have no ids (zero bytes). Special tokens are ordinary text. Rows, repeated ones
     too, keep their other columns; a column already named like the new one is replaced.
@@ -223,10 +224,12 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: s
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: its size does not follow the data
 
     def rows(texts):
-        parts = encoder(shared.value, pattern).parts
-        return [(b"".join(parts(text or "")),) for text in texts]
+        own = encoder(shared.value, pattern)
+        packed = [b"".join(own.parts(text or "")) for text in texts]
+        return [(p, own.decode(p)) for p in packed] if decoded else [(p,) for p in packed]
 
-    return added(df, text, {ids: (T.BinaryType(), pa.binary())}, rows, lambda: encoder(shared.value, pattern).rest())
+    new = {name: (T.BinaryType(), pa.binary()) for name in (ids, decoded) if name}
+    return added(df, text, new, rows, lambda: encoder(shared.value, pattern).rest())
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

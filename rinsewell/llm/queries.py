@@ -32,9 +32,8 @@ def op2_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    encoded = bpe.encode(docs, _ranks(), public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(encoded, _ranks(), public_tokenizers.PATTERN)
-    return decoded.select(
+    encoded = bpe.encode(docs, _ranks(), public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
