@@ -47,8 +47,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids (packed, unsigned 32-bit, little-endian), the number of ids, and
     whether the ids decode to the text."""
     ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
-    encoded = bpe.encode(docs.select(*COLUMNS).coalesce(files_for(docs)), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    decoded = bpe.encode(docs.select(*COLUMNS).coalesce(files_for(docs)), ranks, public_tokenizers.PATTERN, decoded="decoded")
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return decoded.select(*COLUMNS, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
