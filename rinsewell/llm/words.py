@@ -72,6 +72,7 @@ def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]
         stop = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE, "right")) - 1)
         yield batch.slice(row, stop - row)
         row = stop
+    pa.default_memory_pool().release_unused()  # a worker may wait long for its next batch
 
 
 @dataclass
