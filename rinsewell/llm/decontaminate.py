@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are n-grams of the test items that are rare in the corpus: each occurs in at most ``RARE`` of the
-documents' places, or is among the rarer half of its item, so that an item that leaked everywhere still has
-seeds. A seed in a document names a passage around it; the passage and the item are aligned word by word, and the
-score is the share of the best score that an unchanged copy would reach, so edited and paraphrased copies count.
+Seeds are all n-grams of the test items, rare or not: of an edited copy, any single one may be what is left. A seed in
+a document names a passage around it. Passages that hold too few of the item's words to reach the threshold are
+passed over, which loses none; the others are aligned with the item word by word, and the score is the share of the
+best score that an unchanged copy would reach, so edited and paraphrased copies count. What stands before and after
+an alignment that counts is aligned again, so that several copies in one passage are all found.
 
 Words are compared without ASCII case and without ASCII punctuation at their ends. The benchmark is
 worked off in blocks of at most ``BLOCK_CHARS`` characters; a block's items and seeds are broadcast.
@@ -25,7 +26,6 @@ from rinsewell.functions.names import col
 from .words import Words, grams, slices, words
 
 SEED_WORDS = 3
-RARE = 1e-7  # of all words of the corpus
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 20_000_000
@@ -67,9 +67,6 @@ class Items:
         order = np.argsort(gram, kind="stable")
         return Items(rows.column("item").to_pylist(), own, gram[order], item[order], at[order])
 
-    def where(self, keep: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.at[keep])
-
 
 def _places(found: Words, hashes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the seeds (sorted, distinct) in the texts, and which seed each is."""
@@ -84,31 +81,6 @@ def _places(found: Words, hashes: np.ndarray, seeds: np.ndarray) -> tuple[np.nda
     return places[same], at[same]
 
 
-def _counts(docs: DataFrame, seeds) -> DataFrame:
-    """gram, n: how often each seed occurs in all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(seeds.value), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, which = _places(*_normal(part.column("text")), seeds.value)
-                total += np.bincount(which, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds.value[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _rare(items: Items, counts: dict[int, int], words_total: int) -> Items:
-    n = np.array([counts.get(int(g), 0) for g in items.gram.view(np.int64)], np.int64)
-    keep = n <= RARE * words_total
-    order = np.lexsort((n, items.item))
-    sizes = np.bincount(items.item, minlength=len(items.ids))
-    rank = np.empty(len(n), np.int64)
-    rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return items.where(keep | (2 * rank < sizes[items.item]))
-
-
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[float, int, int]]:
     """For each pair: the share of the item's best score, and the words of the passage that align, as a range."""
     rows, width = max(map(len, passages)), max(map(len, items))
@@ -163,6 +135,11 @@ def _passages(found: Words, hashes: np.ndarray, items: Items):
     return out
 
 
+def _shared(passage: np.ndarray, item: np.ndarray) -> float:
+    """The share of the item's words that the passage holds: no alignment of the two scores more."""
+    return np.count_nonzero(np.isin(item, passage)) / len(item)
+
+
 def _leaks(docs: DataFrame, items, threshold: float, schema: T.StructType) -> DataFrame:
     names = schema.names
 
@@ -171,22 +148,26 @@ def _leaks(docs: DataFrame, items, threshold: float, schema: T.StructType) -> Da
         for batch in batches:
             for part in slices(batch, "text"):
                 found, hashes = _normal(part.column("text"))
-                passages = _passages(found, hashes, own)
-                rows, at = [], 0
-                while at < len(passages):
-                    stop, width, high = at, 0, 0
-                    while stop < len(passages):
-                        _, i, a, b = passages[stop]
-                        width, high = max(width, len(own.words[i])), max(high, b - a)
-                        if stop > at and (stop + 1 - at) * max(width, high) > _CELLS:
-                            break
-                        stop += 1
-                    group = passages[at:stop]
-                    scores = align([hashes[a:b] for _, _, a, b in group], [own.words[i] for _, i, _, _ in group])
-                    for (r, i, a, _), (score, low, high) in zip(group, scores, strict=True):
-                        if score >= threshold:
-                            rows.append((r, own.ids[i], int(a + low - found.first[r]), high - low, score))
-                    at = stop
+                passages, rows = _passages(found, hashes, own), []
+                while passages:
+                    passages = [(r, i, a, b) for r, i, a, b in passages if _shared(hashes[a:b], own.words[i]) >= threshold]
+                    rest, at = [], 0
+                    while at < len(passages):
+                        stop, width, high = at, 0, 0
+                        while stop < len(passages):
+                            _, i, a, b = passages[stop]
+                            width, high = max(width, len(own.words[i])), max(high, b - a)
+                            if stop > at and (stop + 1 - at) * max(width, high) > _CELLS:
+                                break
+                            stop += 1
+                        group = passages[at:stop]
+                        scores = align([hashes[a:b] for _, _, a, b in group], [own.words[i] for _, i, _, _ in group])
+                        for (r, i, a, b), (score, low, high) in zip(group, scores, strict=True):
+                            if score >= threshold:
+                                rows.append((r, own.ids[i], int(a + low - found.first[r]), high - low, score))
+                                rest += [(r, i, a, a + low), (r, i, a + high, b)]
+                        at = stop
+                    passages = rest
                 if rows:
                     row, item, first, n, score = zip(*rows, strict=True)
                     keys = part.column(0).take(pa.array(row))
@@ -215,12 +196,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     found = None
     for block in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        items = Items.of(part.toArrow())
-        seeds = spark.sparkContext.broadcast(np.unique(items.gram))
-        counts = {r["gram"]: r["n"] for r in _counts(rows, seeds).toLocalIterator()}  # no more than the seeds
-        words_total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-        rare = spark.sparkContext.broadcast(_rare(items, counts, words_total // 6))
-        leaks = _leaks(rows, rare, threshold, schema)
+        items = spark.sparkContext.broadcast(Items.of(part.toArrow()))
+        leaks = _leaks(rows, items, threshold, schema)
         found = leaks if found is None else found.unionByName(leaks)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -258,6 +258,15 @@ def test_leaks_without_rows(spark):
     assert decontaminate.without_leaks(docs, tests.limit(0)).count() == docs.count()
 
 
+def test_leaks_of_one_edited_passage_in_many_documents(spark):
+    item = [f"w{i}" for i in range(25)]
+    edited = " ".join("odd" if i % 5 == 4 else w for i, w in enumerate(item))  # most of its n-grams occur nowhere
+    docs = spark.createDataFrame([(i, f"x{i} {edited} y{i} z" + f" q{i} {edited}" * (i == 7)) for i in range(60)] + [(60, "w1 w2 w3 only")], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.find_leaks(docs, tests).collect()
+    assert sorted(r.doc_id for r in found) == sorted([*range(60), 7])
+
+
 def test_normal_words():
     found, hashes = decontaminate._normal(pa.array(["The, the THE*** (the) ... .", None, "***"]))
     assert len(set(hashes[:4].tolist())) == 1 and len(hashes) == 7
