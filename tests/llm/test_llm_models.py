@@ -103,6 +103,34 @@ def test_classifier_without_rows(spark):
     assert len(found) == docs.count() and all(r.keep and r.threshold is None for r in found)
 
 
+def test_classifier_with_long_trusted_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 2_000)
+    random.seed(5)
+    words = "the of and to in is that for it was on be with as by at".split()
+    good = [" ".join(random.choices(words, k=2_000)) for _ in range(12)]  # each longer than the bound
+    bad = [junk(g.split()[:40]) for g in good]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(good))], "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in quality.classify(docs, labels, quantile=1.0).collect()}
+    assert [found[i].keep for i in range(24)] == [True] * 12 + [False] * 12
+
+
+def test_thresholds_cover_all_held_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 3_000)
+    docs, labels = corpus(spark)
+    docs = docs.where("doc_id is not null and lang is not null")
+    trained = quality._sample(docs, labels)
+    model = quality.train(trained.select("lang", "text"))
+    sizes = {r.lang: r.size for r in trained.groupBy("lang").agg(F.sum(F.greatest(F.length("text"), F.lit(100))).alias("size")).collect()}
+    assert set(sizes) == {"en", "fr"} and all(0 < s <= 3_000 for s in sizes.values())
+    known = {(r.lang, r.text) for r in trained.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    scored = {(r.lang, r.text or ""): r.perplexity for r in quality.perplexities(docs, model).collect() if r.doc_id in good}
+    for r in quality._thresholds(docs, labels, model, trained, 0.9).collect():
+        held = sorted(p for (lang, text), p in scored.items() if lang == r.lang and (lang, text) not in known)
+        assert len(held) > 50 and r.threshold == pytest.approx(held[math.ceil(0.9 * len(held)) - 1], rel=2 / quality.BINS)
+
+
 def test_quality_query(spark):
     found = queries.op7_quality(spark, TABLES)
     labels = spark.read.parquet(f"{TABLES}/labels.parquet")
