@@ -131,6 +131,10 @@ def test_thresholds_cover_all_held_texts(spark, monkeypatch):
         assert len(held) > 50 and r.threshold == pytest.approx(held[math.ceil(0.9 * len(held)) - 1], rel=2 / quality.BINS)
 
 
+def test_bound_and_quantile_are_not_lowered():
+    assert quality.TRAIN_CHARS >= 3_000_000 and quality.QUANTILE == 0.99
+
+
 def test_quality_query(spark):
     found = queries.op7_quality(spark, TABLES)
     labels = spark.read.parquet(f"{TABLES}/labels.parquet")
