@@ -1,7 +1,8 @@
 """HTML extraction: the text blocks of a page, labelled content or boilerplate by a minimum cut.
 
 A page becomes a row of blocks, the runs of text between block-level tags. A linear classifier over a block's
-elements, the words in their class and id, its length and its links gives the cost of either label; these costs
+elements, the words in their class and id, its length and its links gives the cost of either label (a form or a
+named element that wraps the whole page does not count); these costs
 are the capacities from the source and to the sink. Neighbouring blocks, and consecutive blocks of one parent, are
 joined by smoothness edges that weigh less the farther apart they are in the element tree. The maximum flow
 separates content from boilerplate at the least total cost.
@@ -35,6 +36,8 @@ INLINE = frozenset(
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select article section div body".split())
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset".split())
+#: Of these, the ones that can also wrap a whole page.
+WRAPPER_TAGS = frozenset("form fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w+|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|"
@@ -59,7 +62,7 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "boilerplate", "content", "link")
+    __slots__ = ("tag", "parent", "depth", "boilerplate", "mark", "wrapper", "content", "article", "main", "link")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -67,12 +70,17 @@ class Element:
         named = ""
         if attributes and tag not in ("html", "body"):
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
-        own = tag in BOILERPLATE_TAGS
-        if named and not own:
-            own = BOILERPLATE_WORDS.search(LAYOUT_WORDS.sub(" ", named)) is not None
+        own = tag in BOILERPLATE_TAGS and tag not in WRAPPER_TAGS
+        mark = tag in WRAPPER_TAGS
+        if named and not own and not mark:
+            mark = BOILERPLATE_WORDS.search(LAYOUT_WORDS.sub(" ", named)) is not None
         if attributes and not own and ("hidden" in attributes or "none" in attributes):
             own = _HIDDEN.search(attributes) is not None
         self.boilerplate = own or (parent is not None and parent.boilerplate)
+        self.mark = self if mark else parent.mark if parent else None  # the nearest form or element with such a name
+        self.wrapper = False  # whether it turned out to hold the page
+        self.article = self if tag in CONTENT_TAGS else parent.article if parent else None
+        self.main = self if tag == "main" else parent.main if parent else None
         self.content = tag in CONTENT_TAGS or (named and CONTENT_WORDS.search(named) is not None) or (parent is not None and parent.content)
         self.link = tag == "a" or (parent is not None and parent.link)
 
@@ -183,13 +191,52 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _score(block: Block, has_content: bool) -> float:
+def _marked(element: Element, alone: bool) -> bool:
+    """Whether an element is boilerplate, by itself or by what it stands in. A main element inside a form or an element
+    with a listed name is not, nor is an article if it is ``alone``: if the page has no content elsewhere."""
+    mark = element.mark
+    while mark is not None and mark.wrapper:
+        mark = mark.parent.mark
+    if element.boilerplate or mark is None:
+        return element.boilerplate
+    inside = element.article if alone else element.main
+    return inside is None or inside.depth <= mark.depth
+
+
+def _boilerplate(found: list[Block]) -> list[bool]:
+    """Whether each block stands in boilerplate.
+
+    A form or an element with a listed name that holds most of the page's words outside links is no boilerplate, but the
+    wrapper of the page, if no more than a few words of content stand outside all such elements.
+    """
+    words = [block.words * (1 - block.links) for block in found]
+    held: dict[Element, float] = {}
+    for block, n in zip(found, words, strict=True):
+        mark = block.element.mark
+        while mark is not None and not block.element.boilerplate:
+            held[mark] = held.get(mark, 0) + n
+            mark = mark.parent.mark
+
+    content = [(block.element, n) for block, n in zip(found, words, strict=True) if block.element.content]
+
+    def little() -> bool:
+        return sum(n for element, n in content if not _marked(element, False)) < MOST_WORDS
+
+    for mark in sorted((m for m, n in held.items() if 2 * n > sum(words)), key=lambda m: m.depth):
+        if not little():
+            break
+        mark.wrapper = True
+    alone = little()
+    return [_marked(block.element, alone) for block in found]
+
+
+def _score(block: Block, boilerplate: bool, has_content: bool) -> float:
     """Log odds that a block is content."""
     element, w = block.element, WEIGHTS
     z = w["bias"] + w["words"] * min(block.words, MOST_WORDS) + w["links"] * block.links
     if block.text[-1] in ".!?…:;\"'”»)":
         z += w["sentence"]
-    if element.boilerplate:
+    if boilerplate:
         z += w["boilerplate"]
     if element.content:
         z += w["content"]
@@ -267,11 +314,12 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
-    has_content = any(b.element.content and not b.element.boilerplate for b in found)
+    boilerplate = _boilerplate(found)
+    has_content = any(b.element.content and not own for b, own in zip(found, boilerplate, strict=True))
     source, sink, edges = [], [], []
     last: dict[int, int] = {}
     for i, block in enumerate(found):
-        z = _score(block, has_content)
+        z = _score(block, boilerplate[i], has_content)
         # The costs of the wrong labels under the logistic model.
         source.append(round(UNIT * math.log1p(math.exp(z))))
         sink.append(round(UNIT * math.log1p(math.exp(-z))))

@@ -140,6 +140,36 @@ def test_main_text(main):
     assert html_text.main_text(PAGE % main.format(text)) == "Title\n" + ARTICLE.replace("&amp;", "&")
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<form id=aspnetForm method=post>{}</form>", "<div class='content-sidebar-wrap'>{}</div>", "<form><div class='content-sidebar-wrap'>{}</div></form>"],
+)
+@pytest.mark.parametrize("main", ["<div><h1>Title</h1>{}</div>", "<article><h1>Title</h1>{}</article>", "<main><h1>Title</h1>{}</main>"])
+def test_pages_in_a_wrapper(wrapper, main):
+    lines = [f"{line} It goes on with some more words, so that most of the page is here." for line in ARTICLE.split("\n") * 3]
+    text = main.format("".join(f"<p>{line}</p>" for line in lines))
+    before, body = PAGE.split("<header>")
+    body, after = body.split("</body>")
+    page = before + wrapper.format("<header>" + body % text) + "</body>" + after
+    found = html_text.main_text(page)
+    assert found.removeprefix("Title\n") == "\n".join(lines).replace("&amp;", "&")
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_article_in_a_small_form(tag):
+    text = "".join(f"<p>{line}" for line in ARTICLE.split("\n"))
+    other = "<div class='sidebar'>" + "<p>Long words in a side bar that have nothing to do with the article at all.</p>" * 20 + "</div>"
+    found = html_text.main_text(f"<body><form><p>Search</p><{tag}>{text}</{tag}></form>{other}</body>")
+    assert found == ARTICLE.replace("&amp;", "&")
+
+
+def test_long_comments_are_no_wrapper():
+    text = "".join(f"<p>{line}</p>" for line in ARTICLE.split("\n") * 2)
+    comments = "<article><p>I think that this is a great article, and wanted to say so at some length.</p></article>" * 30
+    found = html_text.main_text(f"<body><article>{text}</article><section id='comments'>{comments}</section></body>")
+    assert found == "\n".join(ARTICLE.split("\n") * 2).replace("&amp;", "&")
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<p></p>", "</p></p>", "<!-- ", "<script>", "<a <b> c", "&#0;&amp", "<div>" * 3000, "<title>x", "<p>" * 2000 + "a"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
