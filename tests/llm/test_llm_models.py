@@ -214,6 +214,26 @@ def test_tree_counts(spark):
     assert counts.count() == len(tree.hashes)
 
 
+def test_scores_by_all_sequences_that_repeat(spark, monkeypatch):
+    docs, texts = grown(spark)
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    monkeypatch.setattr(suffix_tree_lm, "SHARE", 2 / tokens)
+    tree, _ = suffix_tree_lm.train(docs)
+    monkeypatch.setattr(suffix_tree_lm, "SHARE", 0.05)  # no share of the corpus is asked for
+    asked = [*texts[:50], "a b zz c", ""]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    expected = {}
+    for i, t in enumerate(asked):
+        hashes, starts, _ = suffix_tree_lm._tokens(pa.RecordBatch.from_arrays([pa.array([t])], ["text"]))
+        symbols, first = tree.symbols(hashes), np.zeros(len(hashes), bool)
+        first[starts] = True
+        root = np.where(symbols >= 0, tree.base(tree.counts[symbols]), tree.base(0))
+        expected[i] = float(np.log10(tree.chances(symbols, first, root)).sum())
+    assert tree.levels[0].kept.any()
+    for r in suffix_tree_lm.score(rows, docs).collect():
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9)
+
+
 def test_scores_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "A a"), (3, "A a"), (None, "b"), (4, "c " * 30_000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
