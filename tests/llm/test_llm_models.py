@@ -115,6 +115,16 @@ def test_classifier_with_long_trusted_texts(spark, monkeypatch):
     assert [found[i].keep for i in range(24)] == [True] * 12 + [False] * 12
 
 
+def test_sample_is_pruned_before_texts_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 20_000)
+    rows = spark.range(40_000).select(F.lit("en").alias("lang"), F.xxhash64("id").alias("h"), F.lit(100).cast("long").alias("size"))
+    rows = rows.withColumn("late", F.when(F.pmod("h", F.lit(100)) == 0, F.lit(3_000)).otherwise(F.lit(0)))
+    reached = quality._reached(rows)
+    assert 200 <= reached.where("late = 0").count() < 300 and reached.where("late > 0").count() == 10
+    first = [r.h for r in rows.where("late = 0").orderBy("h").limit(200).collect()]
+    assert set(first) <= {r.h for r in reached.collect()}
+
+
 def test_thresholds_cover_all_held_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "TRAIN_CHARS", 3_000)
     docs, labels = corpus(spark)
