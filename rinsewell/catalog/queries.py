@@ -582,9 +582,10 @@ def stream_of_two_batches(spark: SparkSession, folder: str) -> DataFrame:
     df = contacts(spark, folder).select("row_id", "state", "status")
     schema = df.schema
     for part in (0, 1):
-        df.filter(F.col("row_id") % 2 == part).repartition(1).write.mode("append").parquet(f"{out}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in").drop("row_id")
-    clean_stream_batches(stream, one("dedupe.drop_duplicates"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+        # The stream goes on from its checkpoint, so that what is new is a batch, whatever number of files it has.
+        df.filter(F.col("row_id") % 2 == part).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{out}/in").drop("row_id")
+        clean_stream_batches(stream, one("dedupe.drop_duplicates"), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
@@ -605,11 +606,14 @@ def scan_null_tokens_all(spark: SparkSession, folder: str) -> DataFrame:
     return null_tokens(contacts(spark, folder).select("row_id", cell.alias("cell")))
 
 
+LIST_ROWS = 10_000  # row_ids of one list at most
+
+
 @query
 def scan_json_list(spark: SparkSession, folder: str) -> DataFrame:
-    """Lists of objects, one list to a file, with keys that some objects lack."""
+    """Lists of objects, one list to a file, with keys that some objects lack. There are as many as the table needs."""
     out = scratch_folder(spark)
-    rows = contacts(spark, folder).select("row_id", F.pmod("row_id", F.lit(4)).alias("part"), F.to_json(F.struct("row_id", "name", "zip", "cust")).alias("o"))
+    rows = contacts(spark, folder).select("row_id", F.floor(F.col("row_id") / LIST_ROWS).alias("part"), F.to_json(F.struct("row_id", "name", "zip", "cust")).alias("o"))
     lists = rows.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row_id", "o"))).alias("os"))
     text = F.concat(F.lit("["), F.array_join(F.transform("os", lambda x: x["o"]), ",\n"), F.lit("]"))
     lists.select("part", text.alias("value")).repartition("part").write.partitionBy("part").text(out)

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from conftest import TABLES
 
 # Parts that may be left out have their own tests.
-from rinsewell.catalog import ORACLE, QUERIES  # noqa: E402
+from rinsewell.catalog import ORACLE, QUERIES, queries  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +48,15 @@ def test_query(spark, duck, name):
     assert table(found) == table(expected)
 
 
+@pytest.mark.parametrize("name", ["scan_json_list", "stream_of_two_batches"])
+def test_files_grow_with_the_table(spark, duck, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(queries, "scratch_folder", lambda spark: f"{tmp_path}/out")
+    monkeypatch.setattr(queries, "contacts", lambda spark, folder, plain=queries.contacts: plain(spark, folder).repartition(4))
+    monkeypatch.setattr(queries, "LIST_ROWS", 100, raising=False)
+    found = QUERIES[name](spark, TABLES).toPandas()
+    assert table(found) == table(duck.execute(ORACLE[name]).df())
+    assert len([*tmp_path.glob("out/part=*/*.txt"), *tmp_path.glob("out/in/*.parquet")]) >= 8
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
