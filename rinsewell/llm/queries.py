@@ -8,8 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_text, impact_index, quality, simhash, substring_dedup, suffix_tree_lm, token_counts
-from .tables import only, read
+from . import (
+    bpe,
+    chat,
+    decontaminate,
+    fill_in_middle,
+    html_text,
+    impact_index,
+    line_dedup,
+    quality,
+    simhash,
+    substring_dedup,
+    suffix_tree_lm,
+    token_counts,
+    vector_codes,
+)
+from .tables import keep, only, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -100,6 +114,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = only(read(spark, sf_dir, "embeddings"), vec_id="vec_id", embedding="embedding", label="label")
+    coded, books = vector_codes.compress(vectors, parts=4, entries=256, rounds=4)
+    errors = vector_codes.label_errors(keep(coded))
+    return errors.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    cut = line_dedup.remove_repeated_lines(docs, min_chars=40, min_docs=5)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    done = fill_in_middle.transform(docs, fim_percent=100, spm_percent=50, seed=7)
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"]
+    return fill_in_middle.restore(done.select(*columns, "output")).select(*columns, "restored_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_impact_top_k": op2_impact_top_k,
@@ -111,8 +145,35 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_html_extraction": op10_html_extraction,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Codebooks in SQL: in each round every part finds its nearest entry, and used entries move to floor(sum / count)."""
+    steps = []
+    for i in range(1, rounds + 2):
+        steps.append(f"""
+        near{i} AS MATERIALIZED (
+            SELECT vec_id, part, min(CAST(xx - 2 * list_inner_product(x, e) + list_inner_product(e, e) AS BIGINT) * 256 + entry) AS best
+            FROM parts JOIN book{i - 1} USING (part) GROUP BY vec_id, part
+        ),
+        moved{i} AS (
+            SELECT part, best % 256 AS entry, place, floor(sum(value) / count(*)) AS value
+            FROM near{i} JOIN (SELECT vec_id, part, unnest(x) AS value, generate_subscripts(x, 1) AS place FROM parts) USING (vec_id, part)
+            GROUP BY ALL
+        ),
+        book{i} AS MATERIALIZED (
+            SELECT old.part, old.entry, coalesce(new.e, old.e) AS e
+            FROM book{i - 1} old LEFT JOIN (SELECT part, entry, list(value ORDER BY place) AS e FROM moved{i} GROUP BY part, entry) new
+            USING (part, entry)
+        )""")
+    return ",".join(steps)
+
+
 #: Where DuckDB can express a query; the others are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op2_impact_top_k": """
@@ -148,4 +209,71 @@ ORACLE: dict[str, str] = {
             CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM whole
     """,
+    "op11_vector_codes": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, len(embedding) // 4 AS step
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT *, list_inner_product(x, x) AS xx FROM (
+                SELECT vec_id, part, v[part * step + 1 : (part + 1) * step] AS x FROM kept, (SELECT unnest(range(4)) AS part)
+            )
+        ), book0 AS MATERIALIZED (
+            SELECT part, entry, x AS e FROM parts JOIN (
+                SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256
+            ) USING (vec_id)
+        ), {_rounds_sql(4)}, coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+            FROM near5 GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (
+            SELECT sha256(string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place))
+            FROM (SELECT part, entry, unnest(e) AS value, generate_subscripts(e, 1) AS place FROM book4)
+        ) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)
+    """,
+    "op12_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), common AS (
+            SELECT key, max(doc_id) AS largest FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), marked AS (
+            SELECT keyed.*, common.key IS NOT NULL AND doc_id <> largest AS gone FROM keyed LEFT JOIN common USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+    "op13_fill_in_middle": """
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h,
+                string_split(coalesce(text, ''), chr(10)) AS parts
+            FROM documents
+        ), counted AS (
+            SELECT *, CAST(len(parts) - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END AS BIGINT) AS n,
+                ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+            FROM drawn
+        ), formed AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM counted
+        ), placed AS (
+            SELECT *, CASE WHEN low = n THEN length(text) ELSE length(array_to_string(parts[1:low], chr(10))) + least(low, 1) END AS a,
+                CASE WHEN high = n THEN length(text) ELSE length(array_to_string(parts[1:high], chr(10))) + least(high, 1) END AS b
+            FROM formed
+        ), cut AS (
+            SELECT *, text[1:a] AS prefix, text[a + 1:b] AS middle, text[b + 1:] AS suffix FROM placed
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM cut
+    """,
 }

@@ -28,7 +28,7 @@ def test_twin(spark, name):
 
 
 def test_a_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
 
 
 # --- chat formatting
