@@ -41,7 +41,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         "doc", "text_key", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")
     )
     common = hashed.groupBy("h1", "h2").agg(F.count_distinct(F.struct("doc")).alias("n"), F.max("doc").alias("largest"))
-    common = common.where(F.col("n") >= min_docs).select("h1", "h2", "largest")
+    # Dealt anew, so that adaptive execution may split the lines of a hash that very many documents hold.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = common.where(F.col("n") >= min_docs).select("h1", "h2", "largest").repartition(tasks)
     gone = hashed.join(common, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("largest")))
     return gone.groupBy("doc", "text_key").agg(F.collect_set("place").alias("place"))
 
