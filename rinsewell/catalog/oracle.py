@@ -680,6 +680,12 @@ ORACLE["scan_null_tokens_all"] = contacts(
     f"SELECT row_id, CASE WHEN row_id % 2 = 1 THEN [{_tokens}][row_id % {len(NULL_TOKENS)} + 1] || ' ' END AS cell FROM contacts"
 )
 ORACLE["scan_json_list"] = contacts("SELECT row_id, name, zip, cust FROM contacts")
+ORACLE["scan_json_list_split"] = (
+    "SELECT doc_id, lang, 2 AS n_from, source, '}]\"{[\\' || text || '\\\"}' AS text FROM documents"
+)
+ORACLE["scan_json_many_keys"] = contacts(
+    "SELECT row_id, name, '{\"k' || (row_id % 100000) || '\":' || coalesce('\"' || state || '\"', 'null') || '}' AS rest FROM contacts"
+)
 ORACLE["scan_json_objects"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
 ORACLE["clean_csv_file"] = contact_steps(
     COLUMNS,

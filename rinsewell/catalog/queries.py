@@ -620,6 +620,49 @@ def scan_json_list(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, f"{out}/part=*", "json").drop("__position")
 
 
+def _with_settings(spark: SparkSession, settings: dict[str, str], make) -> DataFrame:
+    """``make()`` run under other settings of the session, as a table of its own."""
+    out = scratch_folder(spark)
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = make()
+        df.write.parquet(out)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query
+def scan_json_list_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists of nested objects, with brackets, braces and quotes in their texts, each read by several tasks."""
+    out = scratch_folder(spark)
+    meta = F.struct("lang", F.array(F.struct("source"), F.struct("source")).alias("from"))
+    text = F.concat(F.lit('}]"{[\\'), "text", F.lit('\\"}'))
+    docs = documents(spark, folder).select("doc_id", F.floor(F.col("doc_id") / LIST_ROWS).alias("part"), F.to_json(F.struct("doc_id", meta.alias("meta"), text.alias("text"))).alias("o"))
+    lists = docs.groupBy("part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "o"))), lambda x: x["o"]), ", ").alias("os"))
+    lists.select("part", F.concat(F.lit("[ "), "os", F.lit("]")).alias("value")).repartition("part").write.partitionBy("part").text(out)
+
+    def rows() -> DataFrame:
+        found = read_table(spark, f"{out}/part=*", "json")
+        return found.select("doc_id", "meta.lang", F.size("meta.from").alias("n_from"), F.element_at("meta.from.source", -1).alias("source"), "text")
+
+    return _with_settings(spark, {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "64k"}, rows)
+
+
+@query
+def scan_json_many_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects whose keys are data: two are columns, all others stay together, and every cell comes back."""
+    out = scratch_folder(spark)
+    key = F.concat(F.lit("k"), (F.col("row_id") % 100_000).cast("string"))
+    own = F.create_map(F.lit("row_id"), F.col("row_id").cast("string"), F.lit("name"), "name", key, "state")
+    contacts(spark, folder).select(F.to_json(own, {"ignoreNullFields": "false"}).alias("value")).write.text(out)
+    found = read_table(spark, out, "json", lines=True, max_columns=2)
+    return found.select(F.col("row_id").cast("long").alias("row_id"), "name", F.to_json("__rest").alias("rest"))
+
+
 @query
 def scan_json_objects(spark: SparkSession, folder: str) -> DataFrame:
     """Single objects, one to a file, as flat rows."""
