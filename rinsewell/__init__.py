@@ -19,7 +19,7 @@ from .plans import (
     write_report,
 )
 from .sources import flatten, infer_types, null_tokens, read_table, write_table
-from .streaming import clean_stream, clean_stream_batches
+from .streaming import clean_stream, clean_stream_batches, reported_stream
 
 __all__ = [
     "PRESETS",
@@ -39,6 +39,7 @@ __all__ = [
     "read_reports",
     "read_table",
     "report_row",
+    "reported_stream",
     "run_totals",
     "step",
     "union_chunks",

@@ -626,6 +626,25 @@ ORACLE["union_of_chunks"] = contacts(
 ORACLE["stream_rowwise"] = (
     f"WITH {chain(DOCUMENTS, 'documents', each(WORDS, strip), {'text': match_key('text')})} SELECT * FROM t2"
 )
+ORACLE["stream_dedupe_across_batches"] = contacts(
+    "SELECT * FROM trimmed QUALIFY row_number() OVER (PARTITION BY state, status ORDER BY (row_id + 1) % 3, row_id) = 1",
+    f"trimmed AS (SELECT row_id, {strip('state')} AS state, {strip('status')} AS status, {strip('phone')} AS phone FROM contacts)",
+)
+ORACLE["stream_dates_two_batches"] = (
+    "SELECT o_orderkey, make_timestamp(2024, 1 + o_orderkey % 7, CASE WHEN o_orderkey % 2 = 1 THEN 1 + o_orderkey % 12 "
+    "ELSE 13 + o_orderkey % 15 END, 0, 0, 0) AS day, CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey * 1000 ELSE o_orderkey % 100 END AS amount, "
+    "CASE WHEN o_orderkey % 2 = 1 THEN 'b' END AS note FROM orders"
+)
+_named = ["name", "state", "status"]
+_absent = " OR ".join(f"coalesce({strip(c)}, '') = ''" for c in ("name", "state"))
+ORACLE["stream_report"] = contacts(
+    f"SELECT step, metric, total, (SELECT count(*) FROM contacts) AS rows_loaded, (SELECT count(*) FROM contacts WHERE NOT ({_absent})) AS rows_output, "
+    f"(SELECT count(*) FROM contacts WHERE {_absent}) AS rows_dropped FROM ("
+    f"SELECT 'text.trim_whitespace' AS step, 'cells_changed' AS metric, (SELECT {differing(_named, strip)} FROM contacts) AS total "
+    "UNION ALL SELECT 'text.normalize_empty_strings', 'values_replaced', "
+    f"(SELECT {total(*[f'{strip(c)} = {chr(39) * 2}' for c in _named])} FROM contacts) "
+    f"UNION ALL SELECT 'core.drop_rows_missing_required', 'rows_dropped', (SELECT count(*) FROM contacts WHERE {_absent}))"
+)
 ORACLE["stream_batches"] = ORACLE["preset_scrape"]
 
 # -- sources and sinks -------------------------------------------------------------------------

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import warnings
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, functions as F
@@ -144,25 +143,9 @@ def swap_day_month(layout: str) -> str:
     return layout
 
 
-def guess_layout(value: str, dayfirst: bool = False) -> str | None:
-    """The strftime layout of one example value, or None where none is evident."""
-    from pandas.tseries.api import guess_datetime_format
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")  # about days first: that is what the guess is for
-        layout = guess_datetime_format(value, dayfirst=dayfirst)
-    if layout is None:
-        return None
-    try:
-        strftime_layout(layout)
-    except ValueError:
-        return None
-    return layout
-
-
 def layout_of(text: Column, dayfirst: bool = False) -> Column:
-    """The same as an expression, among ``DATE_LAYOUTS`` with and without an offset: the first layout that the
-    text is a possible date of. Where day and month can be told apart neither way, ``dayfirst`` decides."""
+    """The strftime layout of an example value, among ``DATE_LAYOUTS`` with and without an offset: the first that the
+    text is a possible date of, or null. Where day and month can be told apart neither way, ``dayfirst`` decides."""
     clear = [layout for layout in DATE_LAYOUTS if "%y" not in layout and "%p" not in layout]
     clear += [layout + "%z" for layout in clear if "%M" in layout]
     clear.sort(key=lambda layout: "%b" in layout)  # May is a full name

@@ -10,6 +10,37 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import col, is_text
 
 
+class NeedsRows(Exception):
+    """A step has to look at rows where there are none to look at, as on a stream."""
+
+
+@dataclass
+class Decisions:
+    """What steps found out by looking at rows, by step and question.
+
+    A plan asks here and nowhere else, so that it is known which steps look at rows, and that findings can outlast
+    the table they were made on: those of earlier tables (the batches of a stream) are merged with those of
+    this one. All findings are plain JSON values.
+    """
+
+    known: dict[str, object] = field(default_factory=dict)
+    settled: bool = False  # the findings are those of this very table: nobody looks again
+    forbidden: bool = False  # looking is an error
+
+    def find(self, key: str, look: Callable[[], object], merge: Callable[[object, object], object]) -> object:
+        if self.forbidden:
+            raise NeedsRows(key)
+        if self.settled and key in self.known:
+            return self.known[key]
+        found = look()
+        self.known[key] = merge(self.known[key], found) if key in self.known else found
+        return self.known[key]
+
+
+def merge_lists(old: list, new: list) -> list:
+    return sorted({*old, *new})
+
+
 @dataclass(frozen=True)
 class Table:
     """The table a step is planned against: its visible columns and the rows so far.
@@ -23,6 +54,12 @@ class Table:
     order: Column | None = None
     scope: list[str] = field(default_factory=list)
     shuffled: bool = False  # the first rows cost as much as all rows
+    decisions: Decisions = field(default_factory=Decisions)
+    step: str = ""  # names the step among the decisions
+
+    def find(self, question: str, look: Callable[[], object], merge: Callable[[object, object], object]) -> object:
+        """The answer to a question about all rows, in plain JSON values; ``merge`` joins those of several tables."""
+        return self.decisions.find(f"{self.step}/{question}", look, merge)
 
     def types(self) -> dict[str, T.DataType]:
         schema = self.rows.schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import col, is_blank, is_text
-from .base import Plan, Table, planner
+from .base import Plan, Table, merge_lists, planner
 
 FIRST_ROWS = 1_000
 
@@ -80,15 +80,20 @@ def drop_empty_columns(table: Table, options: dict) -> Plan:
     filled = {name: _filled(name, is_text(types[name]), blank_is_empty) for name in checked}
     if table.scope:
         return _drop_by_scope(table, filled)
-    unsure = list(filled)
-    if not table.shuffled:
-        first = table.rows.select(*[filled[name] for name in unsure]).take(FIRST_ROWS)
-        unsure = [name for i, name in enumerate(unsure) if not any(row[i] for row in first)]
-    dropped = []
-    if unsure:
-        found = table.rows.agg(*[F.bool_or(filled[name]) for name in unsure]).first()
-        dropped = [name for name, any_value in zip(unsure, found) if not any_value]
-    return _without(table, dropped)
+
+    def look() -> list[str]:
+        unsure = list(filled)
+        if not table.shuffled:
+            first = table.rows.select(*[filled[name] for name in unsure]).take(FIRST_ROWS)
+            unsure = [name for i, name in enumerate(unsure) if not any(row[i] for row in first)]
+        empty = []
+        if unsure:
+            found = table.rows.agg(*[F.bool_or(filled[name]) for name in unsure]).first()
+            empty = [name for name, any_value in zip(unsure, found) if not any_value]
+        return [name for name in filled if name not in empty]
+
+    held = table.find("columns with values", look, merge_lists)
+    return _without(table, [name for name in filled if name not in held])
 
 
 def _without(table: Table, dropped: list[str], emptied: DataFrame | None = None) -> Plan:

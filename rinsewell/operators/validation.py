@@ -8,8 +8,8 @@ from dataclasses import replace
 from pyspark.sql import Column, functions as F
 
 from .. import functions as fn
-from ..functions.parse import guess_layout, layout_of, number_text, swap_day_month
-from .base import Change, Plan, Table, differs, planner, when_set
+from ..functions.parse import layout_of, number_text, swap_day_month
+from .base import Change, Plan, Table, differs, merge_lists, planner, when_set
 
 
 # Fixed value: how far a number may move to become a float.
@@ -24,13 +24,16 @@ def _coerced(table: Table, columns: list[str], errors: str, text, parse, refine=
     untouched = set()
     if errors == "ignore" and columns:
         # Columns with any unparsed value keep their text: one aggregation tells which.
-        failed = table.rows.agg(
-            *[
-                F.bool_or(fn.col(name).isNotNull() & parsed[name].isNull()).alias(f"c{i}")
-                for i, name in enumerate(columns)
-            ]
-        ).first()
-        untouched = {name for i, name in enumerate(columns) if failed[i]}
+        def look() -> list[str]:
+            failed = table.rows.agg(
+                *[
+                    F.bool_or(fn.col(name).isNotNull() & parsed[name].isNull()).alias(f"c{i}")
+                    for i, name in enumerate(columns)
+                ]
+            ).first()
+            return [name for i, name in enumerate(columns) if failed[i]]
+
+        untouched = set(table.find("columns with unparsed values", look, merge_lists))
     if refine:
         parsed = refine(parsed)
     changes = []
@@ -65,19 +68,26 @@ def _downcast(table: Table, parsed: dict[str, Column], to: str) -> dict[str, Col
     A float holds a column if no value moves by more than ``FLOAT_TOLERANCE``.
     """
     if to == "float":
-        infinite = [F.abs(value) == float("inf") for value in parsed.values()]
-        moved = [F.max(F.when(~i, F.abs(v - v.cast("float")))) for v, i in zip(parsed.values(), infinite)]
-        found = table.rows.agg(*moved).first()
-        fits = {name: (d or 0) <= FLOAT_TOLERANCE for name, d in zip(parsed, found)}
-        return {name: value.cast("float") if fits[name] else value for name, value in parsed.items()}
-    aggregates = []
-    for value in parsed.values():
-        whole = F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False))
-        aggregates += [F.min(value), F.max(value), whole]
-    found = table.rows.agg(*aggregates).first()
+
+        def look_apart() -> dict[str, float]:
+            infinite = [F.abs(value) == float("inf") for value in parsed.values()]
+            moved = [F.max(F.when(~i, F.abs(v - v.cast("float")))) for v, i in zip(parsed.values(), infinite)]
+            return {name: apart or 0 for name, apart in zip(parsed, table.rows.agg(*moved).first())}
+
+        moved = table.find("distance to floats", look_apart, lambda old, new: {n: max(old[n], new[n]) for n in new})
+        return {n: value.cast("float") if moved[n] <= FLOAT_TOLERANCE else value for n, value in parsed.items()}
+
+    def look() -> dict[str, list]:
+        aggregates = []
+        for value in parsed.values():
+            aggregates += [F.min(value), F.max(value), F.bool_and(value == F.floor(value))]
+        found = table.rows.agg(*aggregates).first()
+        return {name: list(found[3 * i : 3 * i + 3]) for i, name in enumerate(parsed)}
+
+    ranges = table.find("ranges", look, lambda old, new: {n: _wider(old[n], new[n]) for n in new})
     result = {}
-    for i, (name, value) in enumerate(parsed.items()):
-        low, high, whole = found[3 * i : 3 * i + 3]
+    for name, value in parsed.items():
+        low, high, whole = ranges[name]
         result[name] = value
         if whole and (to != "unsigned" or low >= 0):
             for bits, dtype in ((8, "byte"), (16, "short"), (32, "int"), (64, "long")):
@@ -87,6 +97,13 @@ def _downcast(table: Table, parsed: dict[str, Column], to: str) -> dict[str, Col
     return result
 
 
+def _wider(a: list, b: list) -> list:
+    """Two (low, high, whether all are whole) as one; all three are None where there are no values."""
+    if a[0] is None or b[0] is None:
+        return b if a[0] is None else a
+    return [min(a[0], b[0]), max(a[1], b[1]), a[2] and b[2]]
+
+
 @planner("validation.coerce_numeric")
 def coerce_numeric(table: Table, options: dict) -> Plan:
     """Parse ``columns`` as doubles.
@@ -168,8 +185,13 @@ def coerce_datetime(table: Table, options: dict) -> Plan:
             return parsed
 
     else:
-        first = table.rows.agg(*_first_values(table, columns)).first()
-        layouts = {n: text and guess_layout(text, dayfirst) for n, text in zip(columns, first)}
+
+        def look() -> dict[str, str | None]:
+            firsts = table.rows.agg(*_first_values(table, columns))
+            found = firsts.select(*[layout_of(F.col(f"__layout_{i}"), dayfirst) for i in range(len(columns))]).first()
+            return dict(zip(columns, found))
+
+        layouts = table.find("layouts", look, lambda old, new: {n: old[n] or new[n] for n in new})
 
         def parse(name: str, text: Column) -> Column:
             known = layouts[name]

@@ -7,7 +7,7 @@ from numbers import Number
 from pyspark.sql import Column, functions as F, types as T
 
 from ..functions import as_text, col, is_text, strip
-from .base import Change, Plan, Table, planner, when_set
+from .base import Change, Plan, Table, merge_lists, planner, when_set
 
 _WHOLE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
@@ -56,8 +56,12 @@ def fill_nulls(table: Table, options: dict) -> Plan:
     types = table.types()
     # A column without nulls keeps its type: one aggregation looks at those that would get another.
     other = [n for n, v in fill.items() if v is not None and _widen(col(n), types[n], [v])[1] != types[n]]
-    holes = table.rows.agg(*[F.bool_or(col(n).isNull()) for n in other]).first() if other else []
-    full = {name for name, hole in zip(other, holes) if not hole}
+
+    def look() -> list[str]:
+        holes = table.rows.agg(*[F.bool_or(col(n).isNull()) for n in other]).first()
+        return [name for name, hole in zip(other, holes) if hole]
+
+    full = set(other) - set(table.find("columns with nulls", look, merge_lists) if other else [])
     changes = []
     for name, value in fill.items():
         if value is None or name in full:

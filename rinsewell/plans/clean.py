@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions import col
 from ..operators import Plan, find_step
+from ..operators.base import Decisions
 from ..sources.order import ORDER_COLUMN
 from .frame import ORDER, Frame
 
@@ -96,9 +97,10 @@ class CleanResult:
         self._measured: dict[int, dict] = {}
         self.df = segments[-1].plain.result()
 
-    def counted(self) -> tuple[DataFrame, Observation]:
-        """The cleaned table again, with an observation that one complete action fills."""
-        last, watch = self._segments[-1].counted, Observation()
+    def counted(self, watch: Observation | str | None = None) -> tuple[DataFrame, Observation | str]:
+        """The cleaned table again, with an observation that one complete action fills; on a stream it is a name,
+        and every batch fills it."""
+        last, watch = self._segments[-1].counted, watch or Observation()
         return last.result(last.rows.observe(watch, *last.sums())), watch
 
     def totals(self, segment: int = -1) -> DataFrame:
@@ -156,7 +158,16 @@ class CleanResult:
 
     def report(self) -> dict:
         """The report of the whole run, over all scopes."""
-        measured = self._measured
+        return self._report(self._measured)
+
+    def report_of(self, counters: dict) -> dict:
+        """The report of a part of the table, from the counters observed on it (see ``counted``)."""
+        if len(self._segments) > 1:
+            raise ValueError("counters of runs with steps of your own are measured segment by segment")
+        return self._report({0: counters})
+
+    def _report(self, measured: dict[int, dict]) -> dict:
+        """The report from counters by segment; those that are missing are measured."""
         for segment, frame in enumerate(s.counted for s in self._segments):
             if segment not in measured:
                 measured[segment] = frame.rows.agg(*frame.sums()).first().asDict()
@@ -204,13 +215,16 @@ def clean(
     steps: Iterable[STEP],
     order_by: str | list[str] | None = None,
     scope: str | dict[str, Column] | list[str] | None = None,
+    decisions: Decisions | None = None,
 ) -> CleanResult:
     """Apply the steps in order.
 
     ``order_by`` names the columns that define first and last; tables from ``read_table`` bring
     their own order. ``scope`` names columns (or gives named expressions) whose groups are cleaned
-    as separate tables: duplicates, empty columns and reports are per group.
+    as separate tables: duplicates, empty columns and reports are per group. ``decisions`` hold what steps find
+    out by looking at rows, and what they found on earlier tables.
     """
+    decisions = decisions if decisions is not None else Decisions()
     started = time.perf_counter()
     specs = [spec for spec in map(read_spec, steps) if spec is not None]
     if isinstance(scope, str):
@@ -228,7 +242,7 @@ def clean(
     segments, entries = [Segment(df, names, order, list(scope.values()))], []
     for position, (step_id, options) in enumerate(specs):
         segment = segments[-1]
-        plan = find_step(step_id)(segment.plain.table(), options)
+        plan = find_step(step_id)(segment.plain.table(decisions, f"{position}:{step_id}"), options)
         if plan.custom is None:
             segment.add(position, plan, _needs_order(specs[position:]))
             entries.append(Entry(step_id, plan.stats, len(segments) - 1, plan.removed_as))

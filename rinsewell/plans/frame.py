@@ -14,7 +14,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import col
-from ..operators.base import DATES, Change, Dedupe, Filter, Plan, Table, is_kept
+from ..operators.base import DATES, Change, Decisions, Dedupe, Filter, Plan, Table, is_kept
 
 LIVE, ORDER, LOADED = "__live", "__order", "__n_loaded"
 
@@ -59,9 +59,9 @@ class Frame:
             [LOADED] if counted else [],
         )
 
-    def table(self) -> Table:
+    def table(self, decisions: Decisions, step: str) -> Table:
         order = F.col(ORDER) if self.ordered else None
-        return Table(self.rows, self.names, order, self.scope, self.shuffled)
+        return Table(self.rows, self.names, order, self.scope, self.shuffled, decisions, step)
 
     def result(self, rows: DataFrame | None = None, hidden: list[str] | tuple = ()) -> DataFrame:
         """The visible columns of the rows that are left, and those hidden ones that are asked for."""

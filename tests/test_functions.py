@@ -6,7 +6,7 @@ import re
 import pytest
 
 from rinsewell import functions as fn
-from rinsewell.functions.parse import guess_layout, number_text
+from rinsewell.functions.parse import layout_of, number_text
 
 ODD = "aB3ßé_-'.,\t\n\x1c\x85\xa0 　​É½²ΑΣ ǆ€ 漢٣"
 
@@ -105,12 +105,10 @@ def test_dates(spark, layout, text, expected):
     assert (found and str(found)) == expected
 
 
-def test_guess():
-    assert guess_layout("2024-01-05") == "%Y-%m-%d"
-    assert guess_layout("13/06/2024") == "%d/%m/%Y"
-    assert guess_layout("01/06/2024") == "%m/%d/%Y"
-    assert guess_layout("01/06/2024", dayfirst=True) == "%d/%m/%Y"
-    assert guess_layout("garbage") is None and guess_layout("2024-02-30") is None
+def test_guess(column):
+    values = ["2024-01-05", "13/06/2024", "01/06/2024", "garbage", "2024-02-30", None]
+    assert column(values, layout_of) == ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", None, None, None]
+    assert column(values, lambda v: layout_of(v, dayfirst=True))[1:3] == ["%d/%m/%Y", "%d/%m/%Y"]
 
 
 def test_phone(column):
