@@ -75,7 +75,7 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(read(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
-    return quality.classify(docs, read(spark, sf_dir, "labels")).drop("text")
+    return quality.classify(docs, read(spark, sf_dir, "labels"), with_text=False)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ def test_perplexities(spark):
     asked = [*texts[:5], "a b zz zz the", "", None, "zz " * 3000]
     docs = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(asked)], "doc_id long, text string, lang string, perplexity double")
     plain = kneser_ney(texts)
-    for r in quality.perplexities(docs, model).collect():
+    for r in quality.perplexities(docs, model, ["en"]).collect():
         expected, n = plain(asked[r.doc_id])
         assert r.n_tokens == n and r.perplexity == pytest.approx(expected, rel=1e-4)
 
@@ -135,8 +135,9 @@ def test_thresholds_cover_all_held_texts(spark, monkeypatch):
     assert set(sizes) == {"en", "fr"} and all(0 < s <= 3_000 for s in sizes.values())
     known = {(r.lang, r.text) for r in trained.collect()}
     good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
-    scored = {(r.lang, r.text or ""): r.perplexity for r in quality.perplexities(docs, model).collect() if r.doc_id in good}
-    for r in quality._thresholds(docs, labels, model, trained, 0.9).collect():
+    table = quality.perplexities(quality._hashed(docs), model, ["en", "fr"])
+    scored = {(r.lang, r.text or ""): r.perplexity for r in table.collect() if r.doc_id in good}
+    for r in quality._thresholds(table, labels, trained, 0.9).collect():
         held = sorted(p for (lang, text), p in scored.items() if lang == r.lang and (lang, text) not in known)
         assert len(held) > 50 and r.threshold == pytest.approx(held[math.ceil(0.9 * len(held)) - 1], rel=2 / quality.BINS)
 
