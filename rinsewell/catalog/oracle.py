@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.us import STATES
 from .inputs import CONTACTS_SQL
 from ..sources.csv import NULL_TOKENS
-from .queries import CRLF_TEXT, EMPTY_VALUES, REPLACED, REPLACED_BY_COLUMN
+from .queries import CODE, CRLF_TEXT, EMPTY_VALUES, RATIO, REPLACED, REPLACED_BY_COLUMN
 
 ORACLE: dict[str, str] = {}
 
@@ -664,6 +664,20 @@ ORACLE["scan_csv_chunked"] = (
     "(row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS chunk FROM orders) QUALIFY row_number() "
     "OVER (PARTITION BY chunk, o_orderstatus, o_orderpriority ORDER BY o_orderkey) = 1"
 )
+ORACLE["scan_csv_chunked_types"] = (
+    f"WITH n AS (SELECT o_orderkey, {CODE} AS code, {RATIO} AS ratio, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS chunk FROM orders) "
+    "SELECT o_orderkey, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN bool_or(code = 'n/k') OVER (PARTITION BY chunk) "
+    "THEN code ELSE CAST(try_cast(code AS BIGINT) AS VARCHAR) END AS code FROM n"
+)
+ORACLE["chunked_after_sort"] = (
+    "WITH n AS (SELECT count(*) AS n FROM orders) "
+    "SELECT chunk, least(100, n - 100 * chunk) AS rows_loaded FROM n, LATERAL (SELECT unnest(range((n + 99) // 100)) AS chunk)"
+)
+ORACLE["union_of_types"] = (
+    "WITH d AS (SELECT o_orderkey AS k, DATE '2024-01-01' + CAST(o_orderkey % 300 AS INTEGER) AS day FROM orders) "
+    "SELECT k AS o_orderkey, CAST(k AS VARCHAR) AS code, CAST(k AS DOUBLE) AS half, CAST(day AS VARCHAR) AS day, CAST(day AS TIMESTAMP) AS due FROM d "
+    "UNION ALL SELECT k, 'k' || k, k / 2, 'day ' || (k % 300), CAST(day AS TIMESTAMP) + INTERVAL 5 HOUR FROM d"
+)
 ORACLE["scan_json"] = contacts("SELECT * FROM contacts")
 ORACLE["json_flatten"] = (
     "SELECT doc_id, lang AS meta_lang, source AS meta_from_name, n_chars AS meta_from_n_chars, "

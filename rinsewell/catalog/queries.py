@@ -814,6 +814,43 @@ def scan_csv_chunked(spark: SparkSession, folder: str) -> DataFrame:
     return result.df
 
 
+CODE = "CASE WHEN o_orderkey % 1000 = 777 THEN 'n/k' ELSE lpad(CAST(o_orderkey % 100 AS STRING), 3, '0') END"
+RATIO = "CASE WHEN o_orderkey % 1500 = 3 THEN '0.5' ELSE CAST(o_orderkey % 7 AS STRING) END"
+
+
+@query
+def scan_csv_chunked_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of 500 rows typed each by itself: codes are numbers in some and words in others, ratios whole in some."""
+    path = f"{scratch_folder(spark)}/orders.csv"
+    orders = table(spark, folder, "orders").selectExpr("o_orderkey", f"{CODE} AS code", f"{RATIO} AS ratio")
+    write_table(orders.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return clean_chunks(read_table(spark, path, types=False), ["text.trim_whitespace"], 500, infer=True).df
+
+
+@query
+def chunked_after_sort(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks go by the position of rows, however they lie by now."""
+    rows = read_table(spark, f"{folder}/orders.parquet").sortWithinPartitions(F.desc("o_orderkey"))
+    steps = one("core.select_columns", columns=["o_orderkey"])
+    return clean_chunks(rows, steps, 100).totals().select("chunk", F.col("__n_loaded").alias("rows_loaded"))
+
+
+@query
+def union_of_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts that give columns other types: whole numbers with words, with halves, dates with times and with words."""
+    orders, key = table(spark, folder, "orders"), F.col("o_orderkey")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (key % 300).cast("int"))
+    first = orders.select("o_orderkey", key.alias("code"), key.cast("int").alias("half"), day.alias("day"), day.alias("due"))
+    second = orders.select(
+        "o_orderkey",
+        F.concat(F.lit("k"), key).alias("code"),
+        (key / 2).alias("half"),
+        F.concat(F.lit("day "), (key % 300).cast("string")).alias("day"),
+        F.timestamp_add("HOUR", F.lit(5), day.cast("timestamp_ntz")).alias("due"),
+    )
+    return union_chunks([first, second])
+
+
 @query
 def scan_json(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/contacts.json"

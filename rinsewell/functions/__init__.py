@@ -11,6 +11,7 @@ from .text import (
     strip,
     title,
 )
+from .types import join_types, to_type
 from .us import phone, state, zip_code
 
 __all__ = [
@@ -21,6 +22,7 @@ __all__ = [
     "collapse_whitespace",
     "is_blank",
     "is_text",
+    "join_types",
     "match_key",
     "parse_datetime",
     "parse_number",
@@ -31,5 +33,6 @@ __all__ = [
     "strftime_layout",
     "strip",
     "title",
+    "to_type",
     "zip_code",
 ]

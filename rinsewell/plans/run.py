@@ -30,11 +30,14 @@ def clean_file(
 ) -> dict:
     """Clean one input. The result goes to ``<out>/<name>_cleaned`` in ``output_format`` (that of
     the input), and the report, as one JSON line, to ``<out>/<name>_report``; ``report=False`` counts
-    nothing."""
-    table = read_table(spark, path, format, **(read or {}))
+    nothing. With ``chunk_size`` a CSV table is typed and cleaned chunk by chunk."""
     kind = format or format_of(path)
-    if chunk_size and kind == "csv":
-        result = clean_chunks(table, list(steps), chunk_size)
+    read = dict(read or {})
+    chunked = bool(chunk_size) and kind == "csv"
+    infer = chunked and read.get("types", True)
+    table = read_table(spark, path, format, **(read | {"types": False} if infer else read))
+    if chunked:
+        result = clean_chunks(table, list(steps), chunk_size, infer=infer)
     else:
         result = clean(table, steps)
     name = f"{out.rstrip('/')}/{stem(path)}"

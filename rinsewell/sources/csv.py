@@ -9,7 +9,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from ..functions import col, is_text
+from ..functions import col, is_text, join_types, to_type
 from .order import ORDER_COLUMN, with_position
 
 # Texts read as null.
@@ -64,38 +64,76 @@ def null_tokens(df: DataFrame) -> DataFrame:
     )
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def infer_types(df: DataFrame, columns: list[str] | None = None, scope: Column | None = None) -> DataFrame:
     """Give text columns the type that all their values allow: long, double, boolean or string.
 
     One aggregation decides: each value is put in one class, and the classes met in a column are
     collected as bits. Dates stay strings, and so does a boolean column with a null in it; a column
     without any value stays a string column as well.
+
+    With ``scope`` every scope is typed as a table of its own, and a column gets the least type that holds those of all
+    scopes: ``007`` is 7 where a scope holds whole numbers only, and as text ``7`` if another scope holds words.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not columns:
         return df
-    found = df.agg(*[F.bit_or(_class_of(col(n))) for n in columns]).first()
+    met = [F.bit_or(_class_of(col(n))) for n in columns]
+    if scope is not None:
+        return _typed_by_scope(df, columns, scope, met)
+    found = df.agg(*met).first()
     return _typed(df, dict(zip(columns, found)))
 
 
+def _type_name(met: int | None) -> str:
+    """The type that the classes met in a column allow."""
+    values = (met or 0) & ~_NULL
+    if values == _LONG:
+        return "long"
+    if values & _DOUBLE and not values & (_BOOLEAN | _TEXT):
+        return "double"
+    # Whole numbers that do not fit a long are text: they keep all their digits.
+    return "boolean" if met == _BOOLEAN else "string" if values else ""
+
+
+_TYPES = {"": T.NullType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
+
+
 def _typed(df: DataFrame, classes: dict[str, int | None]) -> DataFrame:
     """The columns in the types that the classes met in them allow."""
-
-    def typed(met: int | None, name: str) -> Column:
-        values = (met or 0) & ~_NULL
-        if values == _LONG:
-            dtype = "long"
-        elif values & _DOUBLE and not values & (_BOOLEAN | _TEXT):
-            dtype = "double"
-        elif met == _BOOLEAN:
-            dtype = "boolean"
-        else:  # also whole numbers that do not fit a long: they keep all their digits
-            return col(name)
-        return col(name).try_cast(dtype).alias(name)
-
-    typed_columns = {name: typed(met, name) for name, met in classes.items()}
-    return df.select(*[typed_columns.get(name, col(name)) for name in df.columns])
+    names = {name: _type_name(met) for name, met in classes.items()}
+    typed = {name: col(name).try_cast(kind).alias(name) for name, kind in names.items() if kind not in ("", "string")}
+    return df.select(*[typed.get(name, col(name)) for name in df.columns])
+
+
+def _typed_by_scope(df: DataFrame, columns: list[str], scope: Column, met: list[Column]) -> DataFrame:
+    """The classes of each scope are a table with a row per scope. It meets the rows again only where a column is text
+    because its scopes differ: all other columns need one cast whatever their scope."""
+    kinds = [F.element_at(F.create_map(*_all_kinds()), F.coalesce(bits, F.lit(0))).alias(f"__kind_{i}") for i, bits in enumerate(met)]
+    scopes = df.groupBy(scope.alias("__scope")).agg(*kinds)
+    found = scopes.agg(*[F.collect_set(f"__kind_{i}") for i in range(len(columns))]).first()
+    targets = [join_types(_TYPES[kind] for kind in sorted(each)) for each in found]
+    mixed = [i for i, each in enumerate(found) if targets[i] == T.StringType() and {*each} - {"", "string"}]
+    typed = {}
+    for i, name in enumerate(columns):
+        if i in mixed:
+            as_kind = {kind: to_type(col(name).try_cast(kind), _TYPES[kind], targets[i]) for kind in found[i] if kind not in ("", "string")}
+            cell = col(name)
+            for kind, shown in as_kind.items():
+                cell = F.when(F.col(f"__kind_{i}") == kind, shown).otherwise(cell)
+            typed[name] = cell.alias(name)
+        elif targets[i] not in (T.StringType(), T.NullType()):
+            typed[name] = col(name).try_cast(targets[i]).alias(name)
+    rows = df
+    if mixed:
+        lookup = scopes.select("__scope", *[f"__kind_{i}" for i in mixed])
+        rows = df.join(lookup, scope.eqNullSafe(F.col("__scope")), "left")
+    return rows.select(*[typed.get(name, col(name)) for name in df.columns])
+
+
+def _all_kinds() -> list[Column]:
+    """Every set of classes, as bits, and the type that it allows."""
+    return [F.lit(x) for bits in range(2 * _TEXT) for x in (bits, _type_name(bits))]
 
 
 _BAD = "__bad_record"

