@@ -1,7 +1,7 @@
 """HTML extraction: the text blocks of a page, labelled content or boilerplate by a minimum cut.
 
 A page becomes a row of blocks, the runs of text between block-level tags. A linear classifier over a block's
-elements, the words in their class and id, its length and its links gives the cost of either label (a form or a
+elements, their class and id word by word, its length and its links gives the cost of either label (a form or a
 named element that wraps the whole page does not count); these costs
 are the capacities from the source and to the sink. Neighbouring blocks, and consecutive blocks of one parent, are
 joined by smoothness edges that weigh less the farther apart they are in the element tree. The maximum flow
@@ -16,6 +16,7 @@ import html
 import math
 import re
 from collections import deque
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,16 +40,26 @@ BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button fi
 #: Of these, the ones that can also wrap a whole page.
 WRAPPER_TAGS = frozenset("form fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILERPLATE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert\w+|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|"
-    r"subscri\w+|signup|login|shar(?:e|ing)|social|related|recommend\w*|side-?bar|widget|menu|nav\w*|breadcrumbs?|(?:site|page)-?header|"
-    r"masthead|topbar|(?:site|page)?-?footer|copyright|comments?|respond|repl(?:y|ies)|disqus|pagination|pager|skip)(?=$|[\s_-])",
-    re.IGNORECASE,
+#: A name (of a class, id or role) is that of boilerplate if its last word is one of these, words that name no thing left out,
+NOUNS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsors sponsored promo promos promotion promotions cookie "
+    "cookies consent gdpr notice notices alert alerts popup modal newsletter newsletters subscribe subscription signup login share sharing social "
+    "related recommended recommendations sidebar sidebars widget widgets menu menus nav navs navbar navigation breadcrumb breadcrumbs masthead "
+    "topbar footer copyright comment comments respond reply replies disqus pagination pager skip contentinfo complementary".split()
 )
+#: or if its first word is one of these;
+ADJECTIVES = frozenset(
+    "related recommended recommendation sponsored cookie cookies gdpr newsletter social sidebar comment comments disqus breadcrumb breadcrumbs advert "
+    "advertisement footer site-header page-header".split()
+)
+NO_THINGS = frozenset(
+    "wrap wrapper container inner outer box bar list lists area section block group items item link links button buttons slot unit panel top bottom left right "
+    "main primary secondary mobile desktop fixed sticky small large open closed to content form text icon icons".split()
+)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:(?:main-?)?content|article(?:-?body)?|post(?:-?body)?|entry|story|main|prose)(?=$|[\s_-])", re.IGNORECASE)
-LAYOUT_WORDS = re.compile(r"\b(?:has|with|no)-\S+", re.IGNORECASE)
 
-WEIGHTS = {"bias": -1.5, "words": 0.12, "links": -3.0, "sentence": 0.7, "boilerplate": -9.0, "content": 4.5, "outside": -2.5, "heading": 0.3}
+WEIGHTS = {"bias": -1.5, "words": 0.12, "links": -3.0, "sentence": 0.7, "boilerplate": -9.0, "content": 4.5, "outside": -2.5, "nowhere": 1.0, "heading": 0.3}
 MOST_WORDS = 40  # beyond these, length says no more
 SMOOTHNESS = 1.0
 UNIT = 1000  # capacities are whole numbers
@@ -58,7 +69,22 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+
+
+@lru_cache(maxsize=1 << 14)
+def names_boilerplate(name: str) -> bool:
+    """Whether a single class, id or role names boilerplate: ``cookie-notice`` and ``shareButtons`` do, ``navy-blue``,
+    ``share-price`` and ``notice-board`` do not."""
+    words = [word.lower() for word in _WORD.findall(name)]
+    if "side" in words and words[-1] == "bar":
+        return True
+    if not words or words[0] in ("has", "with", "no"):  # of the layout
+        return False
+    if words[0] in ADJECTIVES or "-".join(words[:2]) in ADJECTIVES:
+        return True
+    while len(words) > 1 and words[-1] in NO_THINGS:
+        words.pop()
+    return words[-1] in NOUNS
 
 
 class Element:
@@ -73,9 +99,7 @@ class Element:
         own = tag in BOILERPLATE_TAGS and tag not in WRAPPER_TAGS
         mark = tag in WRAPPER_TAGS
         if named and not own and not mark:
-            mark = BOILERPLATE_WORDS.search(LAYOUT_WORDS.sub(" ", named)) is not None
-        if attributes and not own and ("hidden" in attributes or "none" in attributes):
-            own = _HIDDEN.search(attributes) is not None
+            mark = any(map(names_boilerplate, named.split()))
         self.boilerplate = own or (parent is not None and parent.boilerplate)
         self.mark = self if mark else parent.mark if parent else None  # the nearest form or element with such a name
         self.wrapper = False  # whether it turned out to hold the page
@@ -207,7 +231,8 @@ def _boilerplate(found: list[Block]) -> list[bool]:
     """Whether each block stands in boilerplate.
 
     A form or an element with a listed name that holds most of the page's words outside links is no boilerplate, but the
-    wrapper of the page, if no more than a few words of content stand outside all such elements.
+    wrapper of the page, if it holds more than a few words and no more than a few words of content stand outside all such elements. One that stands in
+    content, as the comments in an article do, never is.
     """
     words = [block.words * (1 - block.links) for block in found]
     held: dict[Element, float] = {}
@@ -222,7 +247,8 @@ def _boilerplate(found: list[Block]) -> list[bool]:
     def little() -> bool:
         return sum(n for element, n in content if not _marked(element, False)) < MOST_WORDS
 
-    for mark in sorted((m for m, n in held.items() if 2 * n > sum(words)), key=lambda m: m.depth):
+    around = (m for m, n in held.items() if n >= MOST_WORDS and 2 * n > sum(words) and not m.parent.content)
+    for mark in sorted(around, key=lambda m: m.depth):
         if not little():
             break
         mark.wrapper = True
@@ -240,8 +266,8 @@ def _score(block: Block, boilerplate: bool, has_content: bool) -> float:
         z += w["boilerplate"]
     if element.content:
         z += w["content"]
-    elif has_content:
-        z += w["outside"]
+    else:
+        z += w["outside" if has_content else "nowhere"]
     if element.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         z += w["heading"]
     return z
@@ -329,7 +355,12 @@ def main_text(page: str) -> str:
         if last.get(parent, i) < i - 1:
             edges.append((last[parent], i, round(UNIT * SMOOTHNESS / 3)))
         last[parent] = i
-    return "\n".join(b.text for b, content in zip(found, min_cut(source, sink, edges), strict=True) if content)
+    side = min_cut(source, sink, edges)
+    # What is left of a page without its boilerplate is its main text, however short: without links, if there is such text.
+    for most in (0.5, 1.0):
+        if not any(side):
+            side = [not own and block.links <= most for block, own in zip(found, boilerplate, strict=True)]
+    return "\n".join(b.text for b, content in zip(found, side, strict=True) if content)
 
 
 def extract(pages: DataFrame, page: str = "html", text: str = "text") -> DataFrame:

@@ -170,6 +170,39 @@ def test_long_comments_are_no_wrapper():
     assert found == "\n".join(ARTICLE.split("\n") * 2).replace("&amp;", "&")
 
 
+@pytest.mark.parametrize("other", ["<div class='comments'>{}</div>", "<div class='ad'>{}</div>", "<form>{}</form>", "<section id=respond>{}</section>", "<aside>{}</aside>"])
+@pytest.mark.parametrize("article", ["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>", "<div id='content'>{}</div>"])
+def test_short_articles_with_longer_boilerplate_inside(article, other):
+    text = "<p>I think that this is a great article, and wanted to say so at some length.</p>"
+    page = f"<body>{article.format('<h1>T</h1><p>P</p>' + other.format(text * 6))}</body>"
+    assert html_text.main_text(page) == "T\nP"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><p>Hello there.</p></body>", "Hello there."),
+        ("Hello", "Hello"),
+        ("<body><nav>Menu</nav><p><a href=x>Only a link</a></p><footer>f</footer></body>", "Only a link"),
+        ("<body><nav>Menu</nav><div class=cookie-notice>We use cookies.</div></body>", ""),
+        ("<article><p>One.</p><p data-x='hidden gem'>Two.</p><p hidden>Three.</p><p style='display:none'>Four.</p></article>", "One.\nTwo.\nThree.\nFour."),
+        ("<article><p class='navy-blue'>One.</p><p class='share-price'>Two.</p><div class='notice-board'>Three.</div><p id=commentary>Four.</p></article>", "One.\nTwo.\nThree.\nFour."),
+        ("<article><p>One.</p><p class='shareButtons'>Share</p><div class='x related-posts'>More</div><p class='comment-12'>C</p><p id='site_nav'>N</p></article>", "One."),
+    ],
+)
+def test_names_and_short_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_the_cut_decides_against_the_costs_alone():
+    """A line that by itself would be boilerplate stays between paragraphs; the same line far from them goes."""
+    line = ARTICLE.split("\n")[0]
+    page = f"<body><div><p>{line}</p><p>12 May</p><p>{line}</p></div><table><tr><td><div><ul><li>12 May</li></ul></div></td></tr></table></body>"
+    found = html_text.blocks(page)
+    assert html_text._score(found[1], False, False) < 0
+    assert html_text.main_text(page) == f"{line}\n12 May\n{line}"
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<p></p>", "</p></p>", "<!-- ", "<script>", "<a <b> c", "&#0;&amp", "<div>" * 3000, "<title>x", "<p>" * 2000 + "a"])
 def test_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
@@ -191,6 +224,7 @@ def test_html_query(spark):
     found = queries.op10_html_extraction(spark, TABLES).collect()
     assert len(found) == len(pages)
     for r in found:
+        assert "<article>" in pages[r.page_id]
         article = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.DOTALL)[1]
         lines = (" ".join(unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article))
         assert r.text == "\n".join(x for x in lines if x) and r.n_chars == len(r.text)
