@@ -1,10 +1,15 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are all n-grams of the test items, rare or not: of an edited copy, any single one may be what is left. A seed in
-a document names a passage around it. Passages that hold too few of the item's words to reach the threshold are
-passed over, which loses none; the others are aligned with the item word by word, and the score is the share of the
-best score that an unchanged copy would reach, so edited and paraphrased copies count. What stands before and after
-an alignment that counts is aligned again, so that several copies in one passage are all found.
+"""Benchmark decontamination: seeds of few words, then Smith-Waterman alignment.
+
+Seeds are pairs of words that stand one or two apart, in the test items and in the documents alike. Between two words of
+an alignment that match, one after the other, may stand words that differ, are missing or are new, each for a cost of one.
+With more than one between every two, an alignment's score is two at most; each pair with none or one is a seed that both
+sides share and adds two at most. So an alignment of ``threshold`` times the best score of an item of n words holds
+``threshold * n - 1`` seeds at least, and is nowhere longer than the cost left allows. Places where as many seeds of
+an item stand together are passages; the many places of a frequent seed alone are none. This loses nothing, however a copy
+was edited. Passages that hold too few of the item's words to reach the threshold are passed over, which loses nothing either;
+the others are aligned with the item word by word, and the score is the share of the best score that an unchanged copy
+would reach, so edited and paraphrased copies count. What stands before and after an alignment that counts is aligned
+again, so that several copies in one passage are all found.
 
 Words are compared without ASCII case and without ASCII punctuation at their ends. The benchmark is
 worked off in blocks of at most ``BLOCK_CHARS`` characters; a block's items and seeds are broadcast.
@@ -23,13 +28,16 @@ from pyspark.sql import types as T
 
 from rinsewell.functions.names import col
 
-from .words import Words, grams, slices, words
+from .words import Words, mix, slices, words
 
-SEED_WORDS = 3
+SEED_WORDS = 3  # of an item at least
+APART = (1, 2)  # the words of a seed
 THRESHOLD = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 20_000_000
 _CELLS = 1 << 19  # of alignments made at once
+_HITS = 1 << 21  # pairs of a place and an item that are looked at at once
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -42,43 +50,53 @@ def _normal(column: pa.Array) -> tuple[Words, np.ndarray]:
     return found, found.hashes(lower=True)
 
 
+def _pairs(hashes: np.ndarray, apart: int) -> np.ndarray:
+    return mix(hashes[:-apart] * _STEP + hashes[apart:])
+
+
 @dataclass
 class Items:
-    """A block of test items: their words, and where their n-grams stand."""
+    """A block of test items: their words, and where their seeds stand."""
 
     ids: list
     words: list[np.ndarray]
-    gram: np.ndarray  # sorted
-    item: np.ndarray  # index of the item of each n-gram
-    at: np.ndarray  # its place in the item
+    size: np.ndarray
+    seeds: np.ndarray  # distinct, sorted
+    key: np.ndarray  # number of the seed * number of items + index of the item, sorted
+    at: np.ndarray  # the seed's place in the item
 
     @staticmethod
     def of(rows: pa.Table) -> Items:
         found, hashes = _normal(rows.column("text").combine_chunks())
         own = [hashes[a:b] for a, b in zip(found.first[:-1], found.first[1:], strict=True)]
-        gram, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        item = [np.zeros(0, np.int64)]
+        seed, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, h in enumerate(own):
-            seeds = grams(h, SEED_WORDS)
-            gram.append(seeds)
-            at.append(np.arange(len(seeds)))
-            item.append(np.full(len(seeds), i))
-        gram, at, item = map(np.concatenate, (gram, at, item))
-        order = np.argsort(gram, kind="stable")
-        return Items(rows.column("item").to_pylist(), own, gram[order], item[order], at[order])
+            for apart in APART if len(h) >= SEED_WORDS else ():
+                pairs = _pairs(h, apart)
+                seed.append(pairs)
+                item.append(np.full(len(pairs), i))
+                at.append(np.arange(len(pairs)))
+        seeds, number = np.unique(np.concatenate(seed), return_inverse=True)
+        key, at = number * len(own) + np.concatenate(item), np.concatenate(at)
+        order = np.argsort(key, kind="stable")
+        return Items(rows.column("item").to_pylist(), own, np.array([len(w) for w in own], np.int64), seeds, key[order], at[order])
 
 
 def _places(found: Words, hashes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the seeds (sorted, distinct) in the texts, and which seed each is."""
-    if not len(seeds) or len(hashes) < SEED_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = grams(hashes, SEED_WORDS)
+    """Places of the seeds in the texts, and which seed each is."""
+    places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     passes = np.zeros(1 << 20, bool)
     passes[seeds >> np.uint64(44)] = True
-    places = np.flatnonzero(passes[own >> np.uint64(44)])
-    at = np.minimum(np.searchsorted(seeds, own[places]), len(seeds) - 1)
-    same = (seeds[at] == own[places]) & (found.doc[places] == found.doc[places + SEED_WORDS - 1])
-    return places[same], at[same]
+    for apart in APART:
+        if len(hashes) <= apart or not len(seeds):
+            continue
+        own = _pairs(hashes, apart)
+        place = np.flatnonzero(passes[own >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(seeds, own[place]), len(seeds) - 1)
+        same = (seeds[at] == own[place]) & (found.doc[place] == found.doc[place + apart])
+        places.append(place[same])
+        which.append(at[same])
+    return np.concatenate(places), np.concatenate(which)
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[float, int, int]]:
@@ -111,20 +129,44 @@ def align(passages: list[np.ndarray], items: list[np.ndarray]) -> list[tuple[flo
     return [(s / (MATCH * len(item)), int(a), int(b)) for s, a, b, item in zip(scores.tolist(), starts, stop, items, strict=True)]
 
 
-def _passages(found: Words, hashes: np.ndarray, items: Items):
-    """(row, item, first word, last word + 1) around the seeds, joined where they overlap."""
-    distinct, first = np.unique(items.gram, return_index=True)
-    places, which = _places(found, hashes, distinct)
-    ends = np.append(first[1:], len(items.gram))
-    times = (ends - first)[which]
-    place = np.repeat(places, times)
-    entry = np.repeat(first[which], times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
-    item = items.item[entry]
-    size = np.array([len(w) for w in items.words])[item]
+def _passages(found: Words, hashes: np.ndarray, items: Items, threshold: float) -> list[list[int]]:
+    """(row, item, first word, last word + 1) wherever enough seeds of an item stand together, joined where they overlap."""
+    places, which = _places(found, hashes, items.seeds)
+    out: list[list[int]] = []
+    n = len(items.words)
+    ranges = [(0, n)] if len(places) else []
+    while ranges:
+        low, high = ranges.pop()
+        first = np.searchsorted(items.key, which * n + low)
+        times = np.searchsorted(items.key, which * n + high) - first
+        if times.sum() > _HITS and high - low > 1:  # a frequent seed of very many items: some items at a time
+            ranges += [(low, (low + high) // 2), ((low + high) // 2, high)]
+            continue
+        place = np.repeat(places, times)
+        entry = np.repeat(first, times) + np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+        out += _together(found, place, items.key[entry] % n, items.at[entry], items.size, threshold)
+    return out
+
+
+def _together(found: Words, place: np.ndarray, item: np.ndarray, at: np.ndarray, sizes: np.ndarray, threshold: float) -> list[list[int]]:
     row = found.doc[place]
-    begin = place - items.at[entry]
-    low = np.maximum(found.first[row], begin - size // 2 - 2)
-    high = np.minimum(found.first[row + 1], begin + size + size // 2 + 2)
+    order = np.lexsort((at, place, item, row))
+    place, item, at, row = place[order], item[order], at[order], row[order]
+    size = sizes[item]
+    need = np.maximum(1, np.ceil(threshold * size - 1 - 1e-9)).astype(np.int64)
+    spare = np.floor(MATCH * (1 - threshold) * size + 1e-9).astype(np.int64)  # words that differ, are missing or are new
+    last = np.arange(len(place)) + need - 1
+    inside = last < len(place)
+    last = np.where(inside, last, 0)
+    enough = inside & (row[last] == row) & (item[last] == item) & (place[last] - place <= size + spare)
+    # Of each that has enough after it, all of these count.
+    marks = np.zeros(len(place) + 1, np.int64)
+    np.add.at(marks, np.flatnonzero(enough), 1)
+    np.add.at(marks, last[enough] + 1, -1)
+    some = np.cumsum(marks[:-1]) > 0
+    place, item, at, row, size, spare = (x[some] for x in (place, item, at, row, size, spare))
+    low = np.maximum(found.first[row], place - at - spare)
+    high = np.minimum(found.first[row + 1], place - at + size + spare)
     order = np.lexsort((low, item, row))
     out: list[list[int]] = []
     for r, i, a, b in zip(*(x[order].tolist() for x in (row, item, low, high)), strict=True):
@@ -148,7 +190,7 @@ def _leaks(docs: DataFrame, items, threshold: float, schema: T.StructType) -> Da
         for batch in batches:
             for part in slices(batch, "text"):
                 found, hashes = _normal(part.column("text"))
-                passages, rows = _passages(found, hashes, own), []
+                passages, rows = _passages(found, hashes, own, threshold), []
                 while passages:
                     passages = [(r, i, a, b) for r, i, a, b in passages if _shared(hashes[a:b], own.words[i]) >= threshold]
                     rest, at = [], 0
@@ -182,7 +224,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     at ``threshold`` or more.
 
     ``benchmark`` has item_id and text. Null and empty texts, and items of fewer than SEED_WORDS words, match
-    nothing. Repeated rows on either side give rows of their own. Empty tables give no rows.
+    nothing; all others are found wherever they reach the threshold, which must be more than a third. Repeated rows on either side give rows of their own. Empty tables give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(col(key).alias("key"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))

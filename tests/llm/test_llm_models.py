@@ -330,6 +330,42 @@ def test_leaks_of_one_edited_passage_in_many_documents(spark):
     assert sorted(r.doc_id for r in found) == sorted([*range(60), 7])
 
 
+def edited(words, every, how, word):
+    """Every so manieth word replaced, left out, or followed by a new one."""
+    out = []
+    for j, w in enumerate(words):
+        change = j % every == every - 1
+        out += [word()] if change and how == "other" else [] if change and how == "none" else [w, word()] if change else [w]
+    return out
+
+
+@pytest.mark.parametrize(("threshold", "vocabulary"), [(0.4, 2000), (0.5, 12), (0.8, 5)])
+def test_no_alignment_at_the_threshold_is_missed(spark, threshold, vocabulary):
+    """Every pair of document and item whose plain alignment reaches the threshold is found, and no other, among copies of
+    which every second, third and fourth word was changed and texts of few words that share much by chance."""
+    random.seed(vocabulary)
+    word = lambda: f"w{random.randrange(vocabulary)}"
+    items = [[word() for _ in range(random.choice([3, 5, 9, 20, 30]))] for _ in range(20)]
+    texts = [[word() for _ in range(random.randint(0, 60))] for _ in range(40)]
+    for k, item in enumerate(items):
+        for every in (1, 2, 3, 4):
+            for how in ("other", "none", "new"):
+                texts.append([word() for _ in range(k)] + edited(item, every, how, word) + [word() for _ in range(10)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, tests, threshold).collect()}
+    expected = {(i, k) for i, t in enumerate(texts) for k, item in enumerate(items) if plain_alignment(t, item) >= threshold * 2 * len(item)}
+    assert found == expected and len(expected) > 60
+
+
+def test_frequent_seeds_are_looked_at_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "_HITS", 50)
+    tests = spark.createDataFrame([(k, f"of the a{k} of the b{k}") for k in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "of the " * 200), (2, "x of the a7 of the b7 y")], "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, tests, 0.9).collect()
+    assert [(r.doc_id, r.item_id, r.score) for r in found] == [(2, 7, 1.0)]
+
+
 def test_normal_words():
     found, hashes = decontaminate._normal(pa.array(["The, the THE*** (the) ... .", None, "***"]))
     assert len(set(hashes[:4].tolist())) == 1 and len(hashes) == 7
@@ -338,5 +374,14 @@ def test_normal_words():
 def test_leak_query(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").collect()
     tests = spark.read.parquet(f"{TABLES}/benchmark.parquet").collect()
+    found = {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, TABLES).collect()}
     plain = {(d.doc_id, t.item_id) for d in docs for t in tests if t.text in (d.text or "")}
-    assert plain <= {(r.doc_id, r.item_id) for r in queries.op4_decontamination(spark, TABLES).collect()}
+    assert plain <= found
+    # All pairs of a document and an item, aligned whole.
+    words = lambda rows: [decontaminate._normal(pa.array([r.text or ""]))[1] for r in rows]
+    own, expected = words(tests), set()
+    for d, passage in zip(docs, words(docs), strict=True):
+        if len(passage):
+            scores = [s for i in range(0, len(own), 16) for s, _, _ in decontaminate.align([passage] * len(own[i : i + 16]), own[i : i + 16])]
+            expected |= {(d.doc_id, t.item_id) for t, s in zip(tests, scores, strict=True) if s >= decontaminate.THRESHOLD}
+    assert found == expected
