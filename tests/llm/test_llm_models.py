@@ -171,9 +171,52 @@ def plain_base(rows):
     ]
 
 
-@pytest.mark.parametrize("share", [2e-6, 0.01])
-def test_scores(spark, monkeypatch, share):
-    monkeypatch.setattr(suffix_tree_lm, "SHARE", share)
+def plain_scores(training, asked):
+    """log10 probabilities of texts by a suffix tree of dictionaries: contexts of up to three words and the tokens after
+    them that were seen twice, kept by divergence, discounted, and smoothed by their suffix."""
+    split = lambda t: [*(t or "").encode().lower().split(), None]
+    counts = [Counter() for _ in range(suffix_tree_lm.DEPTH + 2)]
+    for t in training:
+        w = split(t)
+        for size in range(1, suffix_tree_lm.DEPTH + 2):
+            counts[size].update(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+    total, distinct = sum(counts[1].values()), len(counts[1])
+    chance = {k: (c + 0.1) / (total + 0.1 * (distinct + 1)) for k, c in counts[1].items()}
+    left, own = {}, dict(chance)
+    for size in range(2, suffix_tree_lm.DEPTH + 2):
+        after = defaultdict(dict)
+        for k, c in counts[size].items():
+            if c >= suffix_tree_lm.LEAST:
+                after[k[:-1]][k] = c
+        for context, seen in after.items():
+            n = counts[size - 1][context]
+            below = {k: chance[k[1:]] for k in seen}
+            rest, rest_below = 1 - sum(seen.values()) / n, 1 - sum(below.values())
+            apart = sum(c / n * math.log(c / n / below[k]) for k, c in seen.items())
+            if rest > 1e-12 and rest_below > 1e-12:
+                apart += rest * math.log(rest / rest_below)
+            kept = n * apart >= suffix_tree_lm.GAIN
+            if kept:
+                left[context] = 1 - sum(c - suffix_tree_lm.DISCOUNT for c in seen.values()) / n
+            for k, c in seen.items():
+                chance[k] = (c - suffix_tree_lm.DISCOUNT) / n + left[context] * below[k] if kept else below[k]
+                if kept:
+                    own[k] = chance[k]
+    found = []
+    for t in asked:
+        w, score = split(t), 0.0
+        for i in range(len(w)):
+            p = own.get((w[i],), 0.1 / (total + 0.1 * (distinct + 1)))
+            for size in range(1, min(i, suffix_tree_lm.DEPTH) + 1):
+                context = tuple(w[i - size : i])
+                if context in left:
+                    p = own[(*context, w[i])] if (*context, w[i]) in own else p * left[context]
+            score += math.log10(p)
+        found.append(score)
+    return found, left
+
+
+def test_scores(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet").collect()
     expected = {r[0]: r for r in plain_base([(d.doc_id, d.text) for d in docs])}
     found = queries.op6_suffix_tree_lm(spark, TABLES).collect()
@@ -182,7 +225,12 @@ def test_scores(spark, monkeypatch, share):
         assert tuple(r)[:5] == expected[r.doc_id][:5]
         assert r.base_score == pytest.approx(expected[r.doc_id][5], rel=1e-9)
     held = [r for r in found if r.held_out]
-    assert sum(r.score for r in held) >= sum(r.base_score for r in held) + (share < 0.01)
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 1
+    scores, left = plain_scores([d.text for d in docs if zlib.crc32(str(d.doc_id).encode()) % 10], [d.text for d in docs])
+    assert {len(k) for k in left} == {1, 2, 3}
+    by_id = {r.doc_id: r.score for r in found}
+    for d, score in zip(docs, scores, strict=True):
+        assert by_id[d.doc_id] == pytest.approx(score, rel=1e-6)
 
 
 def grown(spark):
@@ -196,51 +244,12 @@ def grown(spark):
     return spark.createDataFrame([(t,) for t in texts], "text string"), texts
 
 
-def test_tree_is_a_distribution(spark):
-    docs, _ = grown(spark)
-    tree, _ = suffix_tree_lm.train(docs)
-    assert tree.kept.any() and tree.levels[0].kept.any()
-    size = len(tree.hashes)
-    unseen = 1 - tree.base(tree.counts).sum()
-    for length in (1, 2, 3):
-        for context in tree.sequences(length).tolist():
-            rows = np.array([[*context, x] for x in [*range(size), -1]])
-            first = np.zeros(rows.shape, bool)
-            first[:, 0] = True
-            root = np.where(rows >= 0, tree.base(tree.counts[rows]), unseen)
-            chances = tree.chances(rows.ravel(), first.ravel(), root.ravel().copy()).reshape(rows.shape)[:, -1]
-            assert chances.min() > 0 and chances.sum() == pytest.approx(1)
-
-
-def test_tree_counts(spark):
-    docs, texts = grown(spark)
-    tree, counts = suffix_tree_lm.train(docs)
-    for length in (1, 2, 3, 4):
-        plain = Counter()
-        for t in texts:
-            w = [*t.split(), None]
-            plain.update(tuple(w[i : i + length]) for i in range(len(w) - length + 1))
-        own = tree.counts if length == 1 else tree.levels[length - 2].counts
-        assert sorted(own.tolist()) == sorted(plain.values())
-    assert counts.count() == len(tree.hashes)
-
-
-def test_scores_by_all_sequences_that_repeat(spark, monkeypatch):
+def test_scores_by_all_sequences_that_repeat(spark):
     docs, texts = grown(spark)
-    tokens = sum(len(t.split()) + 1 for t in texts)
-    monkeypatch.setattr(suffix_tree_lm, "SHARE", 2 / tokens)
-    tree, _ = suffix_tree_lm.train(docs)
-    monkeypatch.setattr(suffix_tree_lm, "SHARE", 0.05)  # no share of the corpus is asked for
-    asked = [*texts[:50], "a b zz c", ""]
+    asked = [*texts[:50], "a b zz c", "", "a " * 40]
     rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
-    expected = {}
-    for i, t in enumerate(asked):
-        hashes, starts, _ = suffix_tree_lm._tokens(pa.RecordBatch.from_arrays([pa.array([t])], ["text"]))
-        symbols, first = tree.symbols(hashes), np.zeros(len(hashes), bool)
-        first[starts] = True
-        root = np.where(symbols >= 0, tree.base(tree.counts[symbols]), tree.base(0))
-        expected[i] = float(np.log10(tree.chances(symbols, first, root)).sum())
-    assert tree.levels[0].kept.any()
+    expected, left = plain_scores(texts, asked)
+    assert left
     for r in suffix_tree_lm.score(rows, docs).collect():
         assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9)
 
