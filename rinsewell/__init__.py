@@ -12,8 +12,10 @@ from .plans import (
     module_totals,
     preset,
     read_reports,
+    read_totals,
     report_row,
     run_totals,
+    totals_stream,
     union_chunks,
     with_overrides,
     write_report,
@@ -38,9 +40,11 @@ __all__ = [
     "preset",
     "read_reports",
     "read_table",
+    "read_totals",
     "report_row",
     "reported_stream",
     "run_totals",
+    "totals_stream",
     "step",
     "union_chunks",
     "with_overrides",

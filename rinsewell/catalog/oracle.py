@@ -645,6 +645,11 @@ ORACLE["stream_report"] = contacts(
     f"(SELECT {total(*[f'{strip(c)} = {chr(39) * 2}' for c in _named])} FROM contacts) "
     f"UNION ALL SELECT 'core.drop_rows_missing_required', 'rows_dropped', (SELECT count(*) FROM contacts WHERE {_absent}))"
 )
+ORACLE["run_totals_incremental"] = contacts(
+    "SELECT step, metric, 2 AS runs, total, 4 AS files_cleaned, (SELECT count(*) + count(phone) FROM contacts) AS rows_processed FROM ("
+    f"SELECT 'text.trim_whitespace' AS step, 'cells_changed' AS metric, (SELECT {differing(TEXT, strip)} FROM contacts) AS total "
+    "UNION ALL SELECT 'core.drop_rows_missing_required', 'rows_dropped', (SELECT count(*) FROM contacts WHERE phone IS NULL))"
+)
 ORACLE["stream_batches"] = ORACLE["preset_scrape"]
 
 # -- sources and sinks -------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 from .chunked import chunk_of, clean_chunks, number_rows, union_chunks
 from .clean import CleanResult, clean, with_overrides
 from .presets import PRESETS, preset
-from .report import module_totals, read_reports, report_row, run_totals, write_report
+from .report import module_totals, read_reports, read_totals, report_row, run_totals, totals_stream, write_report
 from .run import clean_file, clean_files
 
 __all__ = [
@@ -18,8 +18,10 @@ __all__ = [
     "number_rows",
     "preset",
     "read_reports",
+    "read_totals",
     "report_row",
     "run_totals",
+    "totals_stream",
     "union_chunks",
     "with_overrides",
     "write_report",
