@@ -136,6 +136,9 @@ def _all_kinds() -> list[Column]:
     return [F.lit(x) for bits in range(2 * _TEXT) for x in (bits, _type_name(bits))]
 
 
+#: Bytes of a record whose fields go on over line ends. A quote that is never closed makes one of the rest of its file.
+MAX_RECORD = 64 << 20
+
 _BAD = "__bad_record"
 _OPTIONS = {"quote": '"', "escape": '"'}
 # With a digit after it, a character of the private use area stands for itself (0), a carriage return (1)
@@ -180,20 +183,22 @@ def read_csv(
     types: bool = True,
     nulls: bool = True,
     multiline: bool | None = None,
+    max_record: int = MAX_RECORD,
 ) -> DataFrame:
     """Read CSV files with a header row; all files share the columns of the first.
 
     Fields may hold line ends of any kind inside quotes, and keep them. ``multiline=None`` finds out
     whether some do, in the pass that also finds the types; pass True or False where the answer is
-    known. Files are split either way. A row with more fields than the header is an error. The result
-    has a hidden position for first and last.
+    known. Files are split either way. A row with more fields than the header is an error, and so is a record over
+    several lines of more than ``max_record`` bytes: its lengths are summed before any lines are put together, and the
+    error says where the quote stands. The result has a hidden position for first and last.
     """
     paths = [path] if isinstance(path, str) else list(path)
     header, header_line = _header(spark, paths)
     classes = None
     if multiline is None:
         multiline, classes = _first_look(spark, paths, header, header_line, types, nulls)
-    rows = _across_lines(spark, paths, header) if multiline else _line_by_line(spark, paths, header)
+    rows = _across_lines(spark, paths, header, max_record) if multiline else _line_by_line(spark, paths, header)
     if nulls:
         rows = null_tokens(rows)
     if not types:
@@ -259,7 +264,7 @@ def _line_by_line(spark: SparkSession, paths: list[str], header: list[str]) -> D
     return with_position(rows, row_index=False).filter(fits).drop(_BAD)
 
 
-def _across_lines(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
+def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_record: int) -> DataFrame:
     """Records that may go on over line ends, and over the ends of file splits.
 
     A line begins a record where the quotes before it in the file are even in number. The parity at the
@@ -273,10 +278,15 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str]) -> D
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
         _quotes(value).alias("quotes"),
+        (F.octet_length(value) + 1).alias("bytes"),
+        (F.octet_length(value) - F.octet_length(F.substring_index(value, '"', -1)) - 1).alias("last_quote"),
     )
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy("file", "block").agg(F.sum("quotes").alias("all"), F.min("row").alias("first"))
-    splits = splits.select("file", "block", "first", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("open"))
+    splits = lines.groupBy("file", "block").agg(
+        F.sum("quotes").alias("all"), F.min("row").alias("first"), F.sum("bytes").alias("size"), F.count("*").alias("lines")
+    )
+    sums = {"open": "all", "offset": "size", "line": "lines"}
+    splits = splits.select("file", "block", "first", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(name) for name, n in sums.items()])
     before = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     so_far = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     quoted = F.col("open") + F.coalesce(F.sum("quotes").over(before), F.lit(0))
@@ -298,7 +308,9 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str]) -> D
         .otherwise(F.col("owner"))
         .alias("place"),
         F.struct("block", "row", "value").alias("line"),
+        "bytes",
     )
+    _check_lengths(parts, lines, splits, max_record)
     gathered = F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["value"]), "\n")
     joined = parts.groupBy("file", "place").agg(gathered.alias("record"))
     joined = joined.select(
@@ -330,6 +342,22 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str]) -> D
     return dealt.select(*cells, ORDER_COLUMN)
 
 
+def _check_lengths(parts: DataFrame, lines: DataFrame, splits: DataFrame, max_record: int) -> None:
+    """Fail on a record of too many bytes, with the place of the quote that opens it: only lengths are moved and summed."""
+    sizes = parts.groupBy("file", "place").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > max_record)
+    worst = sizes.select("file", "place.block", F.col("place.last").alias("row"), "bytes").orderBy("file", "block", "row").first()
+    if worst is None:
+        return
+    own = lines.filter((F.col("file") == worst["file"]) & (F.col("block") == worst["block"]) & (F.col("row") <= worst["row"]))
+    before = own.filter(F.col("row") < worst["row"]).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("lines")).first()
+    place = own.filter(F.col("row") == worst["row"]).select("offset", "line", "last_quote").first()
+    offset = place["offset"] + before["bytes"] + place["last_quote"]
+    raise ValueError(
+        f"CSV record of {worst['bytes']} bytes over several lines, more than {max_record}: the quote at byte {offset}, "
+        f"line {place['line'] + before['lines'] + 1} of {worst['file']} may not be closed"
+    )
+
+
 def _not_too_long(too_long: Column, record: Column, header: list[str]) -> Column:
     """Fail on rows with more fields than the header; missing fields are nulls."""
     message = F.concat_ws(" ", F.lit(f"CSV row with more than {len(header)} fields:"), record)

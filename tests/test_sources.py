@@ -102,6 +102,20 @@ def test_types(spark, cells, expected):
     assert infer_types(df).dtypes == [("v", expected)]
 
 
+@pytest.mark.parametrize("size", [1 << 20, 64])
+def test_csv_quote_that_is_never_closed(spark, put, size):
+    """The error names the place, in a file of one split and of many."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        text = 'a,b\n1,"é\nx"\n' + "2,yy\n" * 40 + '3,"ok","' + "\n4,z" * 400
+        path = put("open.csv", text.replace('"ok","', '"ok'))
+        with pytest.raises(ValueError, match=rf"byte {len(text[: text.index('3,')].encode()) + 2}, line 44 of .*open.csv"):
+            read_table(spark, path, max_record=1000)
+        assert read_table(spark, put("fine.csv", 'a,b\n1,"x\n' + "y" * 500 + '\n"\n' * 1 + "2,z\n"), max_record=1000).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json_shapes(spark, put):
     df = read_table(spark, put("list.json", '[{"z":1,"a":"x"},{"a":null,"m":{"q":1}},{"b":[1]}]'))
     assert df.columns[:-1] == ["z", "a", "m", "b"] and df.count() == 3
