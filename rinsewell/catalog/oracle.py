@@ -713,6 +713,10 @@ ORACLE["stream_of_two_batches"] = contacts(
 )
 
 ORACLE["scan_csv_crlf"] = f"SELECT doc_id, {CRLF_TEXT} AS text, source FROM documents"
+ORACLE["scan_csv_dialects"] = contacts(
+    "SELECT row_id, name, phone, CASE WHEN row_id % 5 = 0 THEN 'é;' || chr(10) || '''' || status END AS note FROM contacts WHERE name NOT LIKE '%€%' "
+    "UNION ALL SELECT row_id, replace(name, chr(9), chr(9) || ' '), NULL, NULL FROM contacts"
+)
 _tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
 ORACLE["scan_null_tokens_all"] = contacts(
     f"SELECT row_id, CASE WHEN row_id % 2 = 1 THEN [{_tokens}][row_id % {len(NULL_TOKENS)} + 1] || ' ' END AS cell FROM contacts"

@@ -800,6 +800,27 @@ CRLF_TEXT = """CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), concat(chr(13)
   WHEN 1 THEN replace(text, ' ', concat(chr(13), '"')) ELSE concat(text, chr(13), chr(10)) END"""
 
 
+@query
+def scan_csv_dialects(spark: SparkSession, folder: str) -> DataFrame:
+    """Contacts between semicolons, with single quotes, in Latin-1, below two lines that are no table; and between tabs."""
+    out = scratch_folder(spark)
+    quoted = lambda name: F.coalesce(F.concat(F.lit("'"), F.replace(name, F.lit("'"), F.lit("''")), F.lit("'")), F.lit(""))
+    note = F.when(F.col("row_id") % 5 == 0, F.concat(F.lit("é;\n'"), "status"))
+    rows = contacts(spark, folder).withColumn("note", note).filter("name NOT LIKE '%€%'")
+    line = F.concat_ws(";", F.col("row_id").cast("string"), *[quoted(F.col(n)) for n in ("name", "phone", "note")])
+    lines = rows.select((F.col("row_id") % 4).alias("part"), "row_id", line.alias("line"))
+    top = F.lit("made by hand;;\nit's data\nrow_id;name;phone;note")
+    lines = lines.unionByName(spark.range(4).select(F.col("id").alias("part"), F.lit(-1).alias("row_id"), top.alias("line")))
+    lines = lines.repartition("part").sortWithinPartitions("part", "row_id")
+    encoded = F.encode("line", "ISO-8859-1").cast("string")  # the bytes as they are
+    lines.select("part", encoded.alias("value")).write.partitionBy("part").text(f"{out}/semicolons")
+    found = read_table(spark, f"{out}/semicolons/part=*", "csv", sep=";", quote="'", encoding="ISO-8859-1", skip_rows=2, nulls=False)
+    plain = {"header": True, "sep": "\t", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    contacts(spark, folder).select("row_id", F.replace("name", F.lit("\t"), F.lit("\t ")).alias("name")).write.options(**plain).csv(f"{out}/tabs")
+    other = read_table(spark, f"{out}/tabs", "csv", sep="\t", nulls=False)
+    return union_chunks([found.drop("__position"), other.drop("__position")])
+
+
 @query
 def scan_csv_crlf(spark: SparkSession, folder: str) -> DataFrame:
     """Fields with line ends of all kinds, and quotes, in files whose lines end in CR LF."""

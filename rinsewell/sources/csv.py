@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -140,31 +141,64 @@ def _all_kinds() -> list[Column]:
 MAX_RECORD = 64 << 20
 
 _BAD = "__bad_record"
-_OPTIONS = {"quote": '"', "escape": '"'}
+#: Encodings in which a line end is one byte, and no part of any other character.
+ENCODINGS = ("UTF-8", "US-ASCII", "ISO-8859-1")
+
+
+@dataclass(frozen=True)
+class Dialect:
+    """How a CSV file is written; ``skip`` lines before the header are no part of the table."""
+
+    sep: str = ","
+    quote: str = '"'
+    encoding: str = "UTF-8"
+    skip: int = 0
+
+    def __post_init__(self):
+        if len(self.sep) != 1 or len(self.quote) != 1 or self.sep == self.quote or {self.sep, self.quote} & {"\n", "\r"}:
+            raise ValueError("separator and quote are one character each, and not the same")
+        if self.encoding not in ENCODINGS:
+            raise ValueError(f"encoding must be one of {ENCODINGS}: files in others cannot be split at line ends")
+
+    def options(self) -> dict[str, str]:
+        return {"sep": self.sep, "quote": self.quote, "escape": self.quote}
+
+    def lines(self, spark: SparkSession, paths: list[str] | str, **options: str) -> DataFrame:
+        """value, file, block: the lines as text, and the file and split they stand in."""
+        lines = spark.read.options(**options).text(paths)
+        value = F.col("value")
+        if self.encoding != "UTF-8":
+            value = F.decode(value.cast("binary"), self.encoding)
+        return lines.select(value.alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
 # With a digit after it, a character of the private use area stands for itself (0), a carriage return (1)
 # and a line feed (2) in a field, and for the end of a record (3).
 _MARK = "\ue000"
 _MARKED = [("\n", _MARK + "2"), ("\r", _MARK + "1"), (_MARK, _MARK + "0")]
 
 
-def _header(spark: SparkSession, paths: list[str]) -> tuple[list[str], str]:
+def _header(spark: SparkSession, paths: list[str], dialect: Dialect) -> tuple[list[str], str]:
     """Column names from the first record of the first file (repeats become ``a``, ``a.1``), and its
     first line as it is."""
     files = spark.read.text(paths).inputFiles()
     if not files:
         raise ValueError(f"no CSV file in {paths}")
     file = unquote(min(files))
-    lines = spark.read.option("lineSep", "\n").text(file).filter("trim(value) NOT IN ('', '\r')")
+    lines = dialect.lines(spark, file, lineSep="\n").select("value")
+    if not dialect.skip:
+        lines = lines.filter("trim(value) NOT IN ('', '\r')")
     wanted, record = 1, None
     while record is None:
-        found = [row[0] for row in lines.take(wanted)]
+        found = [row[0] for row in lines.take(wanted + dialect.skip)][dialect.skip :]
         if not found:
             raise ValueError(f"empty CSV file: {file}")
-        whole = [n for n in range(1, len(found) + 1) if "\n".join(found[:n]).count('"') % 2 == 0]
+        whole = [n for n in range(1, len(found) + 1) if "\n".join(found[:n]).count(dialect.quote) % 2 == 0]
         if whole or len(found) < wanted:
             record = "\n".join(found[: whole[0] if whole else None])
         wanted *= 2
-    first = next(csv.reader(io.StringIO(record, newline=""), strict=False))
+    text = io.StringIO(record.removeprefix("\ufeff"), newline="")
+    first = next(csv.reader(text, delimiter=dialect.sep, quotechar=dialect.quote, strict=False))
     names, seen = [], set()
     for i, name in enumerate(first):
         name = base = name or f"Unnamed: {i}"
@@ -184,9 +218,16 @@ def read_csv(
     nulls: bool = True,
     multiline: bool | None = None,
     max_record: int = MAX_RECORD,
+    sep: str = ",",
+    quote: str = '"',
+    encoding: str = "UTF-8",
+    skip_rows: int = 0,
 ) -> DataFrame:
     """Read CSV files with a header row; all files share the columns of the first.
 
+    ``sep`` and ``quote`` are a character each (a quote within quotes is doubled), ``encoding`` is one of ``ENCODINGS``,
+    and ``skip_rows`` lines at the top of each file are passed over. A byte-order mark of UTF-8 is no part of a name.
+
     Fields may hold line ends of any kind inside quotes, and keep them. ``multiline=None`` finds out
     whether some do, in the pass that also finds the types; pass True or False where the answer is
     known. Files are split either way. A row with more fields than the header is an error, and so is a record over
@@ -194,11 +235,17 @@ def read_csv(
     error says where the quote stands. The result has a hidden position for first and last.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    header, header_line = _header(spark, paths)
+    dialect = Dialect(sep, quote, encoding, skip_rows)
+    header, header_line = _header(spark, paths, dialect)
     classes = None
+    if skip_rows:
+        multiline = True  # there lines are looked at one by one
     if multiline is None:
-        multiline, classes = _first_look(spark, paths, header, header_line, types, nulls)
-    rows = _across_lines(spark, paths, header, max_record) if multiline else _line_by_line(spark, paths, header)
+        multiline, classes = _first_look(spark, paths, header, header_line, types, nulls, dialect)
+    if multiline:
+        rows = _across_lines(spark, paths, header, max_record, dialect)
+    else:
+        rows = _line_by_line(spark, paths, header, dialect)
     if nulls:
         rows = null_tokens(rows)
     if not types:
@@ -206,17 +253,17 @@ def read_csv(
     return _typed(rows, classes) if classes else infer_types(rows, header)
 
 
-def _quotes(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+def _quotes(line: Column, dialect: Dialect) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(dialect.quote), F.lit("")))
 
 
-def _fields(record: Column, names: list[str]) -> Column:
+def _fields(record: Column, names: list[str], dialect: Dialect) -> Column:
     """The fields of a record as a struct with one more, which is null unless there are too many."""
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + 1)]
-    return F.from_csv(record, ", ".join(f"{f.name} string" for f in fields), _OPTIONS)
+    return F.from_csv(record, ", ".join(f"{f.name} string" for f in fields), dialect.options())
 
 
-def _first_look(spark, paths, header, header_line, types, nulls) -> tuple[bool, dict | None]:
+def _first_look(spark, paths, header, header_line, types, nulls, dialect) -> tuple[bool, dict | None]:
     """Whether a field holds a line end, and if none does, the classes of values in each column.
 
     If every line has an even number of quotes, no quoted field goes on in the next line, and each line
@@ -224,17 +271,17 @@ def _first_look(spark, paths, header, header_line, types, nulls) -> tuple[bool,
     are data, and the classes are left for another pass.
     """
     line = F.col("value")
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = dialect.lines(spark, paths)
     is_header = line == F.lit(header_line)
     facts = [
-        F.count_if(_quotes(line) % 2 == 1).alias("odd"),
+        F.count_if(_quotes(line, dialect) % 2 == 1).alias("odd"),
         F.count_if(is_header).alias("headers"),
         F.count_distinct("file").alias("files"),
     ]
     wanted = header if types else []
     if wanted:
         record = F.when(~is_header & (F.trim(line) != ""), line)
-        lines = lines.select("value", "file", _fields(record, header).alias("r"))
+        lines = lines.select("value", "file", _fields(record, header, dialect).alias("r"))
         for i in range(len(wanted)):
             cell = F.col("r").getField(f"c{i}")
             cell = F.when(~cell.isin(NULL_TOKENS), cell) if nulls else cell
@@ -247,24 +294,24 @@ def _first_look(spark, paths, header, header_line, types, nulls) -> tuple[bool,
     return False, {name: found[f"k{i}"] for i, name in enumerate(header)}
 
 
-def _line_by_line(spark: SparkSession, paths: list[str], header: list[str]) -> DataFrame:
+def _line_by_line(spark: SparkSession, paths: list[str], header: list[str], dialect: Dialect) -> DataFrame:
     """Every line is a record."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _BAD]])
     rows = (
-        spark.read.options(header=True, **_OPTIONS)
+        spark.read.options(header=True, encoding=dialect.encoding, **dialect.options())
         .option("columnNameOfCorruptRecord", _BAD)
         .option("columnPruning", False)  # a pruned scan does not notice long rows
         .schema(schema)
         .csv(paths)
     )
-    extra = _fields(F.col(_BAD), header).getField(f"c{len(header)}")
+    extra = _fields(F.col(_BAD), header, dialect).getField(f"c{len(header)}")
     # Naming a data column keeps one in the scan: Spark refuses to read the bad records alone.
     text = F.concat_ws(" ", _BAD, col(header[0]))
     fits = _not_too_long(F.col(_BAD).isNotNull() & extra.isNotNull(), text, header)
     return with_position(rows, row_index=False).filter(fits).drop(_BAD)
 
 
-def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_record: int) -> DataFrame:
+def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_record: int, dialect: Dialect) -> DataFrame:
     """Records that may go on over line ends, and over the ends of file splits.
 
     A line begins a record where the quotes before it in the file are even in number. The parity at the
@@ -272,15 +319,20 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_
     Lines with all quotes closed are records as they are; only the others are gathered by record.
     """
     value = F.col("value")
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
+    width = F.octet_length if dialect.encoding == "UTF-8" else F.length  # of a text, in bytes of the file
+    lines = dialect.lines(spark, paths, lineSep="\n").select(
         "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        "file",
+        "block",
         F.monotonically_increasing_id().alias("row"),
-        _quotes(value).alias("quotes"),
-        (F.octet_length(value) + 1).alias("bytes"),
-        (F.octet_length(value) - F.octet_length(F.substring_index(value, '"', -1)) - 1).alias("last_quote"),
+        _quotes(value, dialect).alias("quotes"),
+        (width(value) + 1).alias("bytes"),
+        (width(value) - width(F.substring_index(value, dialect.quote, -1)) - 1).alias("last_quote"),
     )
+    if dialect.skip:
+        tops = lines.filter("block = 0").groupBy(F.col("file").alias("of")).agg(F.min("row").alias("top"))
+        below = (F.col("block") > 0) | (F.col("row") >= F.col("top") + dialect.skip)
+        lines = lines.join(tops, F.col("file") == F.col("of")).filter(below).drop("of", "top")
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("file", "block").agg(
         F.sum("quotes").alias("all"), F.min("row").alias("first"), F.sum("bytes").alias("size"), F.count("*").alias("lines")
@@ -321,12 +373,12 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_
     # A carriage return ends a record too, outside of quotes: there, between every other two quotes.
     safe = F.replace(F.regexp_replace("record", r"\r\z", ""), F.lit(_MARK), F.lit(_MARK + "0"))
     outer = lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit("\r"), F.lit(_MARK + "3"))).otherwise(x)
-    ends = F.split(F.array_join(F.transform(F.split(safe, '"', -1), outer), '"'), _MARK + "3", -1)
+    ends = F.split(F.array_join(F.transform(F.split(safe, rf"\Q{dialect.quote}\E", -1), outer), dialect.quote), _MARK + "3", -1)
     pieces = F.when(safe.contains("\r"), ends).otherwise(F.array(safe))
     records = records.select("file", "block", "row", F.posexplode(pieces).alias("part", "record"))
     safe = F.replace(F.replace("record", F.lit("\r"), F.lit(_MARK + "1")), F.lit("\n"), F.lit(_MARK + "2"))
     rows = records.filter(F.trim("record") != "").select(
-        F.struct("file", "block", "row", "part").alias(ORDER_COLUMN), "record", _fields(safe, header).alias("r")
+        F.struct("file", "block", "row", "part").alias(ORDER_COLUMN), "record", _fields(safe, header, dialect).alias("r")
     )
     extra = F.col("r").getField(f"c{len(header)}")
     rows = rows.filter(_not_too_long(extra.isNotNull(), F.col("record"), header))

@@ -252,3 +252,22 @@ def test_overrides_merge_one_level():
 def test_flatten_quotes_names(spark):
     df = spark.sql("SELECT named_struct('x y', named_struct('p.q', 1)) AS `a.b`")
     assert flatten(df).columns == ["a.b.x y.p.q"]
+
+
+@pytest.mark.parametrize("split", [1 << 20, 40])
+def test_csv_dialects(spark, tmp_path, split):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        text = "no table; |at all\nnor this|\nä;bc;d\n1;|x;\n||y|;é\n\n2;z;|ü\r\n|\n"
+        (tmp_path / "a.csv").write_bytes(text.encode("latin-1"))
+        df = read_table(spark, str(tmp_path / "a.csv"), sep=";", quote="|", encoding="ISO-8859-1", skip_rows=2)
+        assert df.columns[:-1] == ["ä", "bc", "d"]
+        assert rows(df.orderBy(ORDER_COLUMN)) == [(1, "x;\n|y", "é"), (2, "z", "ü\r\n")]
+        (tmp_path / "b.csv").write_text("﻿a\tb\n1\t'x'\n2\t3,4\n")
+        tabs = read_table(spark, str(tmp_path / "b.csv"), sep="\t", quote="'")
+        assert tabs.columns[:-1] == ["a", "b"] and rows(tabs.orderBy(ORDER_COLUMN)) == [(1, "x"), (2, "3,4")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for wrong in ({"sep": ";;"}, {"sep": '"'}, {"quote": "\n"}, {"encoding": "UTF-16"}):
+        with pytest.raises(ValueError):
+            read_table(spark, str(tmp_path / "b.csv"), **wrong)
