@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,8 @@ import pyarrow as pa
 import pytest
 from conftest import TABLES
 from pyspark.sql import functions as F
-from rinsewell.llm import decontaminate, quality, queries, suffix_tree_lm
+from rinsewell.llm import decontaminate, quality, queries, sequences, suffix_tree_lm
+from rinsewell.llm.tables import keep
 
 # --- quality classifier
 
@@ -264,6 +266,39 @@ def test_scores_of_odd_rows(spark):
     assert all((r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0, 0) for r in alone)
 
 
+def test_scores_over_many_blocks_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(sequences, "SHARD_BYTES", 500)
+    monkeypatch.setattr("rinsewell.llm.words.SLICE", 300)
+    _, texts = grown(spark)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    expected, left = plain_scores([t for i, t in enumerate(texts) if i % 3], texts)
+    assert left
+    for r in suffix_tree_lm.score(rows, F.col("doc_id") % 3 != 0).collect():
+        assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9)
+
+
+def test_sequences_are_asked_about_in_seven_bytes_each():
+    codes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1 << 20, np.uint64, endpoint=False))
+    rows = sequences.asked(1, 2, codes, np.ones(len(codes), np.uint64), 6)
+    assert rows.num_rows == 64
+    assert np.array_equal(np.concatenate([sequences.unpack_codes(x) for x in rows.column("codes").to_pylist()]), codes)
+    size = sum(len(pa.compress(x, "lz4", asbytes=True)) for k in ("codes", "n") for x in rows.column(k).to_pylist())
+    assert size < 7 * len(codes)
+
+
+def test_kept_tables_leave_no_exchanges(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    exchanged = lambda: {f for f in map(str, disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
+    before = exchanged()
+    assert len(keep(spark.range(1000).groupBy(F.col("id") % 7).count()).collect()) == 7
+    for _ in range(100):
+        if not exchanged() - before:
+            return
+        time.sleep(0.1)
+    raise AssertionError(exchanged() - before)
+
+
 # --- decontamination
 
 
