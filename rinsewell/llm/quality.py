@@ -1,19 +1,15 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is trained on a bounded sample of trusted rows (labelled of good quality, not toxic): per language
-the rows of the least hashes up to ``TRAIN_CHARS`` characters, long texts last, one text at least. Its trigrams are dealt once,
-into shards by their middle word: counts, continuation counts of bigrams, totals of contexts and back-off weights are whole
-in a shard. Only what single words continue is counted across shards, and joined back to them. All other trusted texts
-give the quantile of perplexity per language above which a document is rejected.
-
-The bound on the sample bounds a language's model: at most one n-gram of each order per word. It is broadcast by groups
-of languages of ``MODEL_ROWS`` rows. Every document is scored once, on its whole text.
+The model is trained on trusted rows (labelled of good quality, not toxic): all texts with an even hash. The others give the
+quantile of perplexity per language above which a document is rejected. Trigrams are counted, and all else follows
+from them by grouping and joins. The model is a table keyed by hash, of any size: blocks of texts look their n-grams up
+in it, and every document is scored once, on its whole text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -26,23 +22,19 @@ from pyspark.sql import types as T
 from rinsewell.functions.names import col
 
 from .rows import with_text
+from .sequences import Places, answered, ask, in_blocks, looked_up, parts, shard_bits, with_answers
 from .tables import files_for, keep, without
 from .words import mix, slices, words
 
-TRAIN_CHARS = 3_000_000  # of trusted text per language
+TRAIN_CHARS = math.inf  # of trusted text per language: all of it
 QUANTILE = 0.99
 BINS = 10_000  # of perplexity, for each factor of e
 RANGE_BITS = 12  # of the hash, for the ranges that the sample is taken from
-FILES = 2  # that hold a table of bounded size
 _BEGIN, _END, _UNSEEN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0x082EFA98EC4E6C89)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 22
+RANGES = 4  # of blocks, which are scored one after the other
 
-SHARDS = 24  # of the sample's n-grams
-MODEL_ROWS = 8_000_000  # of the languages that are broadcast together, 12 bytes a row
-
-_NGRAMS = "shard int, lang long, a long, b long, c long, n long"
-_PACKED = "shard int, lang binary, a binary, b binary, c binary, n binary"
+_NGRAMS = "lang long, a long, b long, c long, n long"
 
 
 def _hashes(part: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -85,94 +77,22 @@ def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def _shards(docs: DataFrame) -> DataFrame:
-    """The distinct trigrams a b c of each shard with their counts, in order of b, a, c, as one row of packed arrays.
-
-    The middle word decides the shard. So a shard has all of: the contexts of two words a b, the words that the bigrams
-    b c continue, and the contexts of one word b. Its size is bounded by the sample.
-    """
+def _trigrams(docs: DataFrame) -> DataFrame:
+    """lang, a, b, c, n: how often each trigram occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = _hashes(part)
                 a, b, c = found["first"], found["one"], found["word"]
-                lang = _unseen(found["salts"])[found["doc"]]
-                new, n, order = _distinct(b, a, c)
-                columns = [_longs(x[order][new]) for x in (lang, a, b, c)]
-                shard = pa.array((b[order][new] % np.uint64(SHARDS)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([shard, *columns, pa.array(n)], ["shard", "lang", "a", "b", "c", "n"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        lang, a, b, c, n = (table.column(x).to_numpy() for x in ("lang", "a", "b", "c", "n"))
-        new, _, order = _distinct(*(x.view(np.uint64) for x in (b, a, c)))
-        sums = np.add.reduceat(n[order], np.flatnonzero(new))
-        packed = [x[order][new] for x in (lang, a, b, c)]
-        return pa.table({"shard": table.column("shard").slice(0, 1), **{k: [v.tobytes()] for k, v in zip(("lang", "a", "b", "c", "n"), [*packed, sums], strict=True)}})
-
-    rows = docs.select("lang", "text").mapInArrow(count, _NGRAMS)
-    return rows.groupBy("shard").applyInArrow(pack, _PACKED)
-
-
-def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where, in order of the keys, a new combination begins; the number of each; the order."""
-    order = np.lexsort(keys[::-1])
-    return *_runs(*(k[order] for k in keys)), order
-
+                order = np.lexsort((c, a, b))
+                a, b, c, lang = (x[order] for x in (a, b, c, _unseen(found["salts"])[found["doc"]]))
+                new = np.ones(len(order), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+                n = np.diff(np.append(np.flatnonzero(new), len(new)))
+                yield pa.RecordBatch.from_arrays([*(_longs(x[new]) for x in (lang, a, b, c)), pa.array(n)], ["lang", "a", "b", "c", "n"])
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where, in rows as they are, a new combination begins, and the number of each."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new, np.diff(np.append(np.flatnonzero(new), len(new)))
-
-
-@dataclass
-class Shard:
-    """Trigrams in order of b, a, c, and the bigrams b c, in order, with the number of words before them."""
-
-    lang: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
-    c: np.ndarray
-    n: np.ndarray
-
-    def __post_init__(self):
-        new, self.before, order = _distinct(self.b, self.c)
-        first = order[new]
-        self.bi_lang, self.bi_b, self.bi_c = self.lang[first], self.b[first], self.c[first]
-        self.bigram = np.empty(len(order), np.int64)  # of each trigram
-        self.bigram[order] = np.cumsum(new) - 1
-
-    @staticmethod
-    def of(row: dict) -> Shard:
-        return Shard(*(np.frombuffer(row[x], np.uint64) for x in ("lang", "a", "b", "c")), np.frombuffer(row["n"], np.int64))
-
-
-def _facts(shards: DataFrame) -> DataFrame:
-    """shard, lang, place, key, n. Places 2 and 3: how many bigrams and trigrams have the number ``key``, 1 to 4, of words
-    before them, of occurrences. Place 1: how many words of the shard stand before the word ``key``."""
-    names = ["shard", "lang", "place", "key", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard.of(row)
-                found = []
-                for place, lang, counts in ((2, shard.bi_lang, shard.before), (3, shard.lang, shard.n)):
-                    few = counts <= 4
-                    keys = counts[few].astype(np.uint64)
-                    new, n, order = _distinct(lang[few], keys)
-                    found.append((place, lang[few][order][new], keys[order][new], n))
-                new, n, order = _distinct(shard.bi_c)
-                found.append((1, shard.bi_lang[order][new], shard.bi_c[order][new], n))
-                for place, lang, key, n in found:
-                    size = len(key)
-                    columns = [pa.array(np.full(size, row["shard"], np.int32)), _longs(lang), pa.array(np.full(size, place, np.int32)), _longs(key), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return shards.mapInArrow(run, "shard int, lang long, place int, key long, n long")
+    return docs.select("lang", "text").mapInArrow(count, _NGRAMS).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 def _discount(c: Column, d: str) -> Column:
@@ -192,183 +112,117 @@ def _discounts(counts: DataFrame, d: str) -> DataFrame:
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """lang, kind, h, v: the model of the given rows (lang, text), as log10 values by hash.
-
-    Kinds 1 to 3: probability of a seen n-gram of that order; 4 and 5: weight of a context of one and two words;
-    0: probability of a word never seen. The n-grams are dealt once, by their middle word; a second, small exchange counts
-    what the single words continue, and their probabilities are joined back to the shards.
+    """code, chance, left: the model of the given rows (lang, text). ``chance`` is that of a seen n-gram of one to three words,
+    or of a word never seen, by the code of the language; ``left`` the weight of a context of one or two words, in a row of
+    its own.
     """
-    shards = keep(_shards(docs), FILES)
-    facts = keep(_facts(shards), FILES)
-    one = facts.where("place = 1").groupBy("lang", F.col("key").alias("word")).agg(F.sum("n").alias("c"))
-    d1 = _discounts(one.select("lang", F.col("c").alias("key"), F.lit(1).alias("n")), "d1")
-    d2, d3 = (_discounts(facts.where(F.col("place") == place), f"d{place}") for place in (2, 3))
-    sums = [F.sum("c").cast("double").alias("total"), F.count(F.lit(1)).alias("words"), F.sum(_discount(F.col("c"), "d1")).alias("taken")]
+    files = files_for(docs)
+    three = keep(_trigrams(docs), files)
+    two = keep(three.groupBy("lang", "b", "c").agg(F.count(F.lit(1)).alias("n")), files)
+    one = keep(two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n")), files)
+    d1, d2, d3 = (_discounts(counts.groupBy("lang", F.col("n").alias("key")).agg(F.count(F.lit(1)).alias("n")), f"d{i}") for i, counts in enumerate((one, two, three), 1))
+    sums = [F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).alias("words"), F.sum(_discount(F.col("n"), "d1")).alias("taken")]
     root = one.join(d1, "lang").groupBy("lang", "d1_1", "d1_2", "d1_3").agg(*sums)
     unseen = F.col("taken") / F.col("total") / (F.col("words") + 1)
     root = keep(root.withColumn("unseen", unseen).join(d2, "lang", "left").join(d3, "lang", "left"), 1)
-    own = (F.col("c") - _discount(F.col("c"), "d1")) / F.col("total")
-    p1 = keep(one.join(root, "lang").select("lang", "word", (own + F.col("unseen")).alias("p1")), FILES)
+    own = (F.col("n") - _discount(F.col("n"), "d1")) / F.col("total")
+    p1 = keep(one.join(root, "lang").select("lang", "c", (own + F.col("unseen")).alias("below")), files)
+    w2, p2 = _longer(two, root.select("lang", "d2_1", "d2_2", "d2_3"), "d2", ["lang", "b"], p1, ["lang", "c"], files)
+    w3, p3 = _longer(three, root.select("lang", "d3_1", "d3_2", "d3_3"), "d3", ["lang", "a", "b"], p2, ["lang", "b", "c"], files)
+    none, no = F.lit(None).cast("long"), F.lit(None).cast("double")
+    rows = [
+        root.select(none.alias("a"), none.alias("b"), F.col("lang").alias("c"), F.col("unseen").alias("chance"), no.alias("left")),
+        p1.select(none.alias("a"), none.alias("b"), "c", F.col("below").alias("chance"), no.alias("left")),
+        w2.select(none.alias("a"), none.alias("b"), F.col("b").alias("c"), no.alias("chance"), "left"),
+        p2.select(none.alias("a"), "b", "c", F.col("below").alias("chance"), no.alias("left")),
+        w3.select(none.alias("a"), F.col("a").alias("b"), F.col("b").alias("c"), no.alias("chance"), "left"),
+        p3.select("a", "b", "c", F.col("below").alias("chance"), no.alias("left")),
+    ]
+    return reduce(DataFrame.unionByName, map(_coded, rows))
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    """code, chance, left: the codes of one word c, of two b c, or of three a b c; words that are null are not there."""
 
-    # What a shard needs besides its n-grams: the probabilities of its words, and the discounts of its languages.
-    asked = facts.where("place = 1").select("shard", "lang", F.col("key").alias("word"))
-    chances = asked.join(p1, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("word", "p1")).alias("words"))
-    taken = [F.col(f"d{order}_{k}") for order in (2, 3) for k in (1, 2, 3)]
-    langs = asked.select("shard", "lang").distinct().join(root, "lang")
-    langs = langs.groupBy("shard").agg(F.collect_list(F.struct("lang", F.array(*taken).alias("d"))).alias("langs"))
-    whole = shards.join(chances, "shard").join(langs, "shard")
-    model = _longer(whole).unionByName(root.select("lang", F.lit(0).alias("kind"), F.col("lang").alias("h"), F.log10("unseen").cast("float").alias("v")))
-    return model.unionByName(p1.select("lang", F.lit(1).alias("kind"), F.col("word").alias("h"), F.log10("p1").cast("float").alias("v")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, c = (batch.column(i) for i in range(3))
+            if len(c):
+                one, two, three = (x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b, c))
+                code = three if b.null_count else _pair(two, three) if a.null_count else _pair(_pair(one, two), three)
+                yield pa.RecordBatch.from_arrays([_longs(code), batch.column(3), batch.column(4)], ["code", "chance", "left"])
 
+    return rows.mapInArrow(run, "code long, chance double, left double")
 
-def _longer(shards: DataFrame) -> DataFrame:
-    """The rows of the model that are about two words and three."""
-    names = ["lang", "kind", "h", "v"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = Shard.of({name: batch.column(name)[i].as_py() for name in ("lang", "a", "b", "c", "n")})
-                words, langs = (batch.column(name)[i].values for name in ("words", "langs"))
-                word, p1 = words.field("word").to_numpy().view(np.uint64), words.field("p1").to_numpy()
-                order = np.argsort(word)
-                below = p1[order][np.searchsorted(word[order], shard.bi_c)]
-                lang = langs.field("lang").to_numpy().view(np.uint64)
-                by_lang = np.argsort(lang)
-                d = langs.field("d").flatten().to_numpy(zero_copy_only=False).reshape(len(lang), 6)[by_lang]
-                lang = lang[by_lang]
-
-                def order_of(langs, contexts, counts, below, d, lang=lang):
-                    """Probabilities, where contexts begin, and the weights that these leave; rows are in order."""
-                    gone = d[np.searchsorted(lang, langs), np.minimum(counts, 3) - 1]
-                    new, size = _runs(*contexts)
-                    at = np.flatnonzero(new)
-                    total = np.add.reduceat(counts, at).astype(float)
-                    weight = np.add.reduceat(gone, at) / total
-                    return (counts - gone) / np.repeat(total, size) + np.repeat(weight, size) * below, at, weight
-
-                p2, at, w2 = order_of(shard.bi_lang, (shard.bi_b,), shard.before, below, d[:, :3])
-                p3, at3, w3 = order_of(shard.lang, (shard.b, shard.a), shard.n, p2[shard.bigram], d[:, 3:])
-                pairs = _pair(shard.a, shard.b)
-                for kind, own, h, v in (
-                    (2, shard.bi_lang, _pair(shard.bi_b, shard.bi_c), p2),
-                    (3, shard.lang, _pair(pairs, shard.c), p3),
-                    (4, shard.bi_lang[at], shard.bi_b[at], w2),
-                    (5, shard.lang[at3], pairs[at3], w3),
-                ):
-                    columns = [_longs(own), pa.array(np.full(len(h), kind, np.int32)), _longs(h), pa.array(np.log10(v).astype(np.float32))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return shards.mapInArrow(run, "lang long, kind int, h long, v float")
-
-
-class Model:
-    """The model's rows as sorted arrays, with a filter in front that most hashes do not pass."""
-
-    def __init__(self, rows: DataFrame):
-        """Each kind is sorted and packed by a few tasks, by ranges of its hashes, so that neither they nor the driver hold
-        much more than the arrays."""
-
-        def pack(table: pa.Table) -> pa.Table:
-            keys = table.column("h").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            values = table.column("v").to_numpy()[order]
-            own = {name: table.column(name).slice(0, 1) for name in ("kind", "part")}
-            return pa.table({**own, "keys": [keys[order].tobytes()], "values": [values.tobytes()]})
-
-        dealt = rows.select("kind", F.shiftrightunsigned("h", 60).alias("part"), "h", "v").groupBy("kind", "part")
-        packed = dealt.applyInArrow(pack, "kind int, part long, keys binary, values binary").toArrow()
-        kinds, parts = packed.column("kind").to_pylist(), packed.column("part").to_pylist()
-        self.tables = []
-        for kind in range(6):
-            own = sorted((part, i) for i, (k, part) in enumerate(zip(kinds, parts, strict=True)) if k == kind)
-            arrays = (np.concatenate([np.zeros(0, t), *(np.frombuffer(packed.column(name)[i].as_buffer(), t) for _, i in own)]) for name, t in (("keys", np.uint64), ("values", np.float32)))
-            self.tables.append(tuple(arrays))
-
-    def filters(self) -> list[np.ndarray]:
-        made = []
-        for keys, _ in self.tables:
-            bits = np.zeros(1 << _FILTER_BITS, bool)
-            bits[keys >> np.uint64(64 - _FILTER_BITS)] = True
-            made.append(bits)
-        return made
-
-    def look(self, kind: int, hashes: np.ndarray, passes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each hash is known, and the values of those that are."""
-        keys, values = self.tables[kind]
-        known = passes[kind][hashes >> np.uint64(64 - _FILTER_BITS)]
-        asked = hashes[known]
-        at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-        same = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-        known[np.flatnonzero(known)[~same]] = False
-        return known, values[at[same]] if len(keys) else values
-
-    def score(self, part: pa.RecordBatch, passes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each text (columns lang, text), and its tokens."""
-        found = _hashes(part)
-        floor = np.full(len(found["starts"]), -7.0)  # of a language that was not trained
-        known, values = self.look(0, _unseen(found["salts"]), passes)
-        floor[known] = values
-        score = floor[found["doc"]]
-        known, values = self.look(1, found["word"], passes)
-        score[known] = values
-        two = _pair(found["first"], found["one"])
-        for seen, context, longer, weight in ((2, found["one"], _pair(found["one"], found["word"]), 4), (3, two, _pair(two, found["word"]), 5)):
-            has, weights = self.look(weight, context, passes)
-            score[has] += weights
-            known, values = self.look(seen, longer, passes)
-            score[known] = values
-        starts = found["starts"]
-        return np.add.reduceat(score, starts), np.diff(np.append(starts, len(score)))
-
-
-def _parts(model: DataFrame, langs: list[str]) -> list[tuple[list[str], DataFrame]]:
-    """The languages in groups, each with its part of the model: at most MODEL_ROWS rows, or one language."""
-    keys = {int(_unseen(np.array([xxhash.xxh64_intdigest(lang.encode(), 1)], np.uint64)).view(np.int64)[0]): lang for lang in langs}
-    sizes = {keys[r["lang"]]: (r["lang"], r["count"]) for r in model.groupBy("lang").count().collect() if r["lang"] in keys}
-    parts, room = [], 0
-    for lang, (key, size) in sorted(sizes.items()):
-        if not parts or size > room:
-            parts.append(([], []))
-            room = MODEL_ROWS
-        parts[-1][0].append(lang)
-        parts[-1][1].append(key)
-        room -= size
-    return [(names, model.where(F.col("lang").isin(own))) for names, own in parts]
+def _longer(counts: DataFrame, discounts: DataFrame, d: str, context: list[str], shorter: DataFrame, suffix: list[str], files: int) -> tuple[DataFrame, DataFrame]:
+    """The weights ``left`` of all contexts, and the chances ``below`` of all n-grams, of which ``counts`` has the numbers n;
+    ``shorter`` has the chances of those without the first word."""
+    rows = counts.join(discounts, "lang").withColumn("gone", _discount(F.col("n"), d))
+    sums = [F.sum("n").cast("double").alias("total"), F.sum("gone").alias("gone")]
+    weights = keep(rows.groupBy(*context).agg(*sums).select(*context, "total", (F.col("gone") / F.col("total")).alias("left")), files)
+    rows = rows.select(*counts.columns, "gone").join(shorter, suffix).join(weights, context)
+    chance = (F.col("n") - F.col("gone")) / F.col("total") + F.col("left") * F.col("below")
+    return weights, keep(rows.select(*(x for x in counts.columns if x != "n"), chance.alias("below")), files)
 
 
 def perplexities(docs: DataFrame, model: DataFrame, langs: list[str], text: str = "text", lang: str = "lang", only: list[str] | None = None) -> DataFrame:
     """``docs``, or its columns ``only``, with n_tokens (words and one end) and perplexity of the whole text; null
-    counts as empty. ``langs``: the languages that the model was trained on.
+    counts as empty. ``langs``: the languages that the model was trained on; texts of others ask for nothing.
 
-    The model is broadcast by groups of languages, of bounded size; each group's documents are scored apart.
+    Written to the shared folder. Blocks of texts look up their n-grams in the model, some blocks at a time.
     """
-    own = F.coalesce(col(lang).cast("string"), F.lit(""))
-    parts = _parts(model, langs)
-    if len(parts) < 2:
-        return _perplexities(docs, model, text, own, only)
-    done = [_perplexities(docs.where(own.isin(names)), part, text, own, only) for names, part in parts]
-    others = docs.where(~own.isin([name for names, _ in parts for name in names]))
-    return reduce(DataFrame.unionByName, done, _perplexities(others, model.limit(0), text, own, only))
-
-
-def _perplexities(docs: DataFrame, model: DataFrame, text: str, lang: Column, only: list[str] | None) -> DataFrame:
     base = without(docs.select(*only) if only else docs, "n_tokens", "perplexity")
     schema = T.StructType([*base.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model))  # of bounded size
-    width = len(base.columns)
-    rows, at = with_text(docs.withColumn("__rw_lang", lang), [*base.columns, "__rw_lang"], text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        passes = own.filters()
-        for batch in batches:
-            for part in slices(batch, at):
-                score, n = own.score(pa.RecordBatch.from_arrays([part.column(width), part.column(at)], ["lang", "text"]), passes)
-                new = [pa.array(n.astype(np.int64)), pa.array(10 ** (-score / n))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], *new], schema.names)
-
-    return rows.mapInArrow(run, schema)
+    width, files, trained = len(base.columns), files_for(docs), set(langs)
+    rows, at = with_text(docs.withColumn("__rw_spoken", F.coalesce(col(lang).cast("string"), F.lit(""))), [*base.columns, "__rw_spoken"], text)
+    name = rows.columns[at]
+    rows = in_blocks(rows, name, files)
+    bits = shard_bits(rows, name)
+    model = keep(model, files)
+
+    def texts(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+        return _hashes(pa.RecordBatch.from_arrays([part.column("__rw_spoken"), part.column(name)], ["lang", "text"]))
+
+    def find(part: pa.RecordBatch) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        found = texts(part)
+        known = np.array([x in trained for x in part.column("__rw_spoken").to_pylist()], bool)
+        own, salts = known[found["doc"]], found["salts"][known]
+        begin = mix(_BEGIN ^ salts)
+        word, two = found["word"], _pair(found["one"], found["word"])
+        three = _pair(_pair(found["first"], found["one"]), word)
+        levels = [np.concatenate([word[own], begin, _unseen(salts)]), np.concatenate([two[own], _pair(begin, begin)]), three[own]]
+        return [(i, codes, np.zeros(len(codes), bool)) for i, codes in enumerate(levels)]
+
+    def score(block: int, own: pa.Table, answers: pa.Table) -> pa.Table:
+        codes, chance, left = answered(answers, "chance", "left")
+        place, chance, left = Places(codes), np.append(chance, np.nan), np.append(left, np.nan)
+        done = []
+        for part in parts(own, name):
+            found = texts(part)
+            floor = chance[place(_unseen(found["salts"]))]
+            floor = np.where(np.isnan(floor), 1e-7, floor)[found["doc"]]  # of a language that was not trained
+            out = chance[place(found["word"])]
+            out = np.where(np.isnan(out), floor, out)
+            two = _pair(found["first"], found["one"])
+            for context, longer in ((found["one"], _pair(found["one"], found["word"])), (two, _pair(two, found["word"]))):
+                rest = left[place(context)]
+                some = np.flatnonzero(~np.isnan(rest))
+                seen = chance[place(longer[some])]
+                out[some] = np.where(np.isnan(seen), out[some] * rest[some], seen)
+            starts = found["starts"]
+            n = np.diff(np.append(starts, len(out)))
+            new = [pa.array(n.astype(np.int64)), pa.array(10 ** (-np.add.reduceat(np.log10(out), starts) / n))]
+            done.append(pa.RecordBatch.from_arrays([*part.columns[:width], *new], schema.names))
+        if not done:  # answers to a block of which there are no rows
+            done = [pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in own.columns[:width]), pa.array([], pa.int64()), pa.array([], pa.float64())], schema.names)]
+        return pa.Table.from_batches(done)
+
+    part, scored = F.pmod(F.xxhash64("block"), F.lit(RANGES)), []
+    for i in range(RANGES):
+        some = rows.where(part == i)
+        scored.append(keep(with_answers(some, looked_up(ask(some, name, bits, find), model, bits), score, schema), files))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def _trusted(labels: DataFrame) -> DataFrame:
@@ -399,24 +253,28 @@ def _reached(facts: DataFrame) -> DataFrame:
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """lang, h, text: trusted texts to train on, one of each language at least.
 
-    Texts with an even hash may be in it, and those with an odd one are held out, but for the first of a language
-    without even ones; of two texts or more one is always held out. They come by hash; those of more than a tenth of
+    Texts with an even hash are in it, up to ``TRAIN_CHARS`` if that is a bound, and those with an odd one are held out, but for the first of a language
+    without even ones; of two texts or more one is always held out. With
+    a bound they come by hash; those of more than a tenth of
     the bound come last, short ones first, so that none of them ends the sample before the others had their turn.
     """
     rows = _hashed(docs)
     facts = rows.select("doc_id", "lang", F.length("text").alias("size"), "h").join(_trusted(labels), "doc_id")
     facts = facts.groupBy("lang", "h").agg(F.greatest(F.max("size"), F.lit(100)).cast("long").alias("size"))
-    facts = facts.withColumn("late", F.when(F.col("size") > TRAIN_CHARS // 10, F.col("size")).otherwise(F.lit(0)))
+    bounded = TRAIN_CHARS < math.inf
+    late = F.when(F.col("size") > TRAIN_CHARS // 10, F.col("size")).otherwise(F.lit(0)) if bounded else F.lit(0)
+    facts = facts.withColumn("late", late.cast("long"))
     facts = facts.withColumn("place", F.struct(F.pmod("h", F.lit(2)).alias("odd"), "late", "h"))
     facts = keep(facts, files_for(docs))  # read twice
     ends = facts.groupBy("lang").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     may = facts.join(ends, "lang").where((F.col("place") == F.col("first")) | ((F.col("place.odd") == 0) & (F.col("place") < F.col("last"))))
-    order = Window.partitionBy("lang").orderBy("late", "h")
-    placed = _reached(may).select("lang", "late", "h", F.row_number().over(order).alias("n"), F.sum("size").over(order).alias("total"))
-    chosen = placed.where((F.col("total") <= TRAIN_CHARS) | (F.col("n") == 1)).select("lang", "h")
-    # The sample is bounded, and so is the list of its rows.
-    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    return keep(texts, FILES)
+    chosen = may.select("lang", "h")
+    if bounded:
+        order = Window.partitionBy("lang").orderBy("late", "h")
+        placed = _reached(may).select("lang", "late", "h", F.row_number().over(order).alias("n"), F.sum("size").over(order).alias("total"))
+        chosen = placed.where((F.col("total") <= TRAIN_CHARS) | (F.col("n") == 1)).select("lang", "h")
+    texts = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return keep(texts, files_for(docs))
 
 
 def _thresholds(scored: DataFrame, labels: DataFrame, trained: DataFrame, quantile: float) -> DataFrame:
@@ -427,7 +285,7 @@ def _thresholds(scored: DataFrame, labels: DataFrame, trained: DataFrame, quanti
     the bin that the quantile falls in.
     """
     held = scored.select("doc_id", "lang", "h", "perplexity").join(_trusted(labels), "doc_id")
-    held = held.join(F.broadcast(trained.select("lang", "h")), ["lang", "h"], "left_anti")
+    held = held.join(trained.select("lang", "h"), ["lang", "h"], "left_anti")
     held = held.groupBy("lang", "h").agg(F.max("perplexity").alias("perplexity"))
     bins = held.groupBy("lang", F.floor(F.log("perplexity") * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max("perplexity").alias("most"))
     every = Window.partitionBy("lang")
@@ -447,11 +305,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, wit
     base = without(docs, "n_tokens", "perplexity", "threshold", "keep")
     trained = _sample(docs, labels)
     langs = [r["lang"] for r in trained.select("lang").distinct().collect()]
-    model = keep(train(trained), FILES)
+    model = train(trained)
     own = [name for name in base.columns if with_text or name.lower() != "text"]
     facts = {"__rw_lang": F.coalesce("lang", F.lit("")), "__rw_h": F.xxhash64(F.coalesce("text", F.lit("")))}
     rows = perplexities(base.withColumns(facts), model, langs, only=[*own, *facts])
-    rows = keep(rows)
     scored = rows.select("doc_id", F.col("__rw_lang").alias("lang"), F.col("__rw_h").alias("h"), "perplexity")
     limits = keep(_thresholds(scored, labels, trained, quantile).withColumnRenamed("lang", "__rw_of"), 1)
     rows = rows.join(limits, F.col("__rw_lang") == F.col("__rw_of"), "left").drop("__rw_of", *facts)

@@ -148,6 +148,15 @@ def test_bound_and_quantile_are_not_lowered():
     assert quality.TRAIN_CHARS >= 3_000_000 and quality.QUANTILE == 0.99
 
 
+def test_all_trusted_texts_count(spark):
+    texts = [f"w{i} " * 4_000_00 + f"x{i}" for i in range(12)]  # together more than any bound that a model would fit
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    even = {r.text for r in docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("odd")).collect() if not r.odd}
+    assert sum(map(len, even)) > 3_000_000
+    assert {r.text for r in quality._sample(docs, labels).collect()} == even
+
+
 def test_quality_query(spark):
     found = queries.op7_quality(spark, TABLES)
     labels = spark.read.parquet(f"{TABLES}/labels.parquet")
