@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import quoted
 from .order import ORDER_COLUMN
+from .scratch import scratch_folder
 
 
 def _yaml():
@@ -58,7 +59,7 @@ def read_yaml(
     spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None
 ) -> DataFrame:
     """Read YAML files into one table. Without a schema it is merged over all rows, with the columns
-    in the order in which their names first appear."""
+    in the order in which their names first appear, and the rows are kept in a scratch table, as files are parsed once."""
     paths = [path] if isinstance(path, str) else list(path)
     files = spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), "value"
@@ -66,6 +67,10 @@ def read_yaml(
     records = files.mapInPandas(_parse, "file string, at long, record string")
     place = F.struct("file", "at")
     if schema is None:
+        # Parsing is the dear part, and three passes need it.
+        folder = scratch_folder(spark)
+        records.write.parquet(folder)
+        records = spark.read.schema(records.schema).parquet(folder)
         merged = records.agg(F.schema_of_variant_agg(F.try_parse_json("record"))).first()[0]
         if merged is None or not merged.startswith("OBJECT"):
             return spark.createDataFrame([], T.StructType())

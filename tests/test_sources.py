@@ -271,3 +271,11 @@ def test_csv_dialects(spark, tmp_path, split):
     for wrong in ({"sep": ";;"}, {"sep": '"'}, {"quote": "\n"}, {"encoding": "UTF-16"}):
         with pytest.raises(ValueError):
             read_table(spark, str(tmp_path / "b.csv"), **wrong)
+
+
+def test_yaml_without_a_schema_is_parsed_once(spark, tmp_path):
+    file = tmp_path / "a.yaml"
+    file.write_text("- {b: 1, a: x}\n- {a: y, c: 2.5}\n")
+    found = read_table(spark, str(file))
+    file.write_text("- {b: 7, a: z}\n")  # nobody looks at the file again
+    assert [tuple(r) for r in found.drop("__position").collect()] == [(1, "x", None), (None, "y", 2.5)]
