@@ -169,14 +169,23 @@ def _json_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return lines.filter(F.col("record") != "")
 
 
+def _keys(records: DataFrame) -> DataFrame:
+    """``key``, ``n``, ``first``: how often each key appears, and where first."""
+    message = F.concat(F.lit("not a JSON object: "), F.substring("record", 1, 80))
+    own = F.coalesce(F.json_object_keys("record"), F.raise_error(message).cast("array<string>"))
+    keys = records.select("place.file", "place.block", "place.row", F.posexplode(own).alias("slot", "key"))
+    # One task numbers the rows of a split, so the digits below the task's own and the slot are one whole number. Its
+    # minimum is hashed, where a minimum of structs would sort every key of every object; that is left for the small
+    # table with a row per key and split.
+    place = F.shiftleft(F.col("row").bitwiseAND(F.lit((1 << 33) - 1)), 30) + F.col("slot")
+    by_split = keys.groupBy("key", "file", "block").agg(F.count("*").alias("n"), F.min(place).alias("place"))
+    return by_split.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("file", "block", "place")).alias("first"))
+
+
 def _columns(records: DataFrame, limit: int) -> tuple[list[str], bool]:
     """The most frequent keys, ``limit`` at most, in the order of their first appearance, and whether there are more.
     The driver gets a bounded list, however many keys there are."""
-    message = F.concat(F.lit("not a JSON object: "), F.substring("record", 1, 80))
-    own = F.coalesce(F.json_object_keys("record"), F.raise_error(message).cast("array<string>"))
-    keys = records.select("place", F.posexplode(own).alias("slot", "key"))
-    found = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("place", "slot")).alias("first"))
-    top = found.orderBy(F.desc("n"), "first").limit(limit + 1).collect()
+    top = _keys(records).orderBy(F.desc("n"), "first").limit(limit + 1).collect()
     return [row["key"] for row in sorted(top[:limit], key=lambda row: row["first"])], len(top) > limit
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from rinsewell import read_table
-from rinsewell.sources.json import REST_COLUMN, json_records, read_json
+from rinsewell.sources.json import REST_COLUMN, _json_lines, json_records, read_json
 
 
 @pytest.fixture(autouse=True)
@@ -87,3 +87,33 @@ def test_keys_that_are_data(spark, tmp_path, lines):
     back = [{"id": r.id, **json.loads(r.rest), "o": json.loads(r.o)} for r in rows]
     assert back == [dict(sorted(o.items(), key=lambda kv: list(b).index(kv[0]))) for o, b in zip(made, back, strict=True)]
     assert [dict(b) for b in back] == made
+
+
+def test_keys_are_found_without_sorting_the_keys_of_all_objects(spark, tmp_path, monkeypatch):
+    """An aggregate that sorts holds every key of its split in memory; one that hashes holds the distinct ones."""
+    import rinsewell.sources.json as source
+
+    lines = [json.dumps({f"k{(i * j) % 11}": i for j in range(1, 4)}) for i in range(60)] + ['{"z": 1, "a": 2, "z": 3}']
+    path = tmp_path / "x.jsonl"
+    path.write_text("\n".join(lines))
+    first, n = {}, {}
+    for i, line in enumerate(lines):
+        for slot, (key, _) in enumerate(json.loads(line, object_pairs_hook=list)):
+            first.setdefault(key, (i, slot))
+            n[key] = n.get(key, 0) + 1
+    records = _json_lines(spark, [str(path)])
+    assert records.rdd.getNumPartitions() > 5
+    plans, collect = [], type(records).collect
+
+    def collected(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(type(records), "collect", collected)
+    for limit in (4, 12, 100):
+        most = sorted(n, key=lambda key: (-n[key], first[key]))[:limit]
+        assert source._columns(records, limit) == (sorted(most, key=first.get), len(n) > limit)
+    below = plans[0].splitlines()
+    above = below[: next(i for i, line in enumerate(below) if "Generate" in line)]
+    aggregates = [line for line in above if "Aggregate" in line]
+    assert "HashAggregate" in aggregates[-1] and "Sort" not in aggregates[-1], plans[0]
