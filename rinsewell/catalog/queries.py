@@ -796,6 +796,9 @@ def scan_csv_multiline(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, path).drop("__position")
 
 
+# Keys that share a few files, so that there are as many files, and tasks that write them, as the table needs.
+FILE_DOCS = 30_000
+
 CRLF_TEXT = """CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), concat(chr(13), chr(10)))
   WHEN 1 THEN replace(text, ' ', concat(chr(13), '"')) ELSE concat(text, chr(13), chr(10)) END"""
 
@@ -827,11 +830,11 @@ def scan_csv_crlf(spark: SparkSession, folder: str) -> DataFrame:
     out = scratch_folder(spark)
     text = F.concat(F.lit('"'), F.replace(F.expr(CRLF_TEXT), F.lit('"'), F.lit('""')), F.lit('"'))
     docs = documents(spark, folder).select(
-        (F.col("doc_id") % 3).alias("part"),
+        (F.floor(F.col("doc_id") / FILE_DOCS) * 3 + F.col("doc_id") % 3).alias("part"),
         "doc_id",
         F.concat_ws(",", F.col("doc_id").cast("string"), text, F.concat("source", F.lit("\r"))).alias("value"),
     )
-    header = spark.range(3).select(F.col("id").alias("part"), F.lit(-1).alias("doc_id"), F.lit("doc_id,text,source\r").alias("value"))
+    header = docs.select("part").distinct().select("part", F.lit(-1).alias("doc_id"), F.lit("doc_id,text,source\r").alias("value"))
     lines = docs.unionByName(header).repartition("part").sortWithinPartitions("part", "doc_id")
     lines.select("part", "value").write.partitionBy("part").text(out)
     return read_table(spark, f"{out}/part=*", "csv").drop("__position")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions import col, is_text, join_types, to_type
 from .order import ORDER_COLUMN, with_position
+from .scratch import scratch_folder
 
 # Texts read as null.
 NULL_TOKENS = [
@@ -140,6 +141,9 @@ def _all_kinds() -> list[Column]:
 #: Bytes of a record whose fields go on over line ends. A quote that is never closed makes one of the rest of its file.
 MAX_RECORD = 64 << 20
 
+#: Lines that are looked at before all are.
+FIRST_LINES = 10_000
+
 _BAD = "__bad_record"
 #: Encodings in which a line end is one byte, and no part of any other character.
 ENCODINGS = ("UTF-8", "US-ASCII", "ISO-8859-1")
@@ -232,7 +236,8 @@ def read_csv(
     whether some do, in the pass that also finds the types; pass True or False where the answer is
     known. Files are split either way. A row with more fields than the header is an error, and so is a record over
     several lines of more than ``max_record`` bytes: its lengths are summed before any lines are put together, and the
-    error says where the quote stands. The result has a hidden position for first and last.
+    error says where the quote stands. Lines of such files, and their records where types are to be found, are kept in
+    scratch tables. The result has a hidden position for first and last.
     """
     paths = [path] if isinstance(path, str) else list(path)
     dialect = Dialect(sep, quote, encoding, skip_rows)
@@ -244,6 +249,8 @@ def read_csv(
         multiline, classes = _first_look(spark, paths, header, header_line, types, nulls, dialect)
     if multiline:
         rows = _across_lines(spark, paths, header, max_record, dialect)
+        if types:  # finding the records is the dear part, and two passes need them
+            rows = _kept(rows.toDF(*[f"c{i}" for i in range(len(header))], ORDER_COLUMN)).toDF(*header, ORDER_COLUMN)
     else:
         rows = _line_by_line(spark, paths, header, dialect)
     if nulls:
@@ -253,6 +260,13 @@ def read_csv(
     return _typed(rows, classes) if classes else infer_types(rows, header)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows as a scratch table."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _quotes(line: Column, dialect: Dialect) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(dialect.quote), F.lit("")))
 
@@ -268,13 +282,17 @@ def _first_look(spark, paths, header, header_line, types, nulls, dialect) -> tup
 
     If every line has an even number of quotes, no quoted field goes on in the next line, and each line
     is a record. The lines equal to the header line must be as many as the files, or else some of them
-    are data, and the classes are left for another pass.
+    are data, and the classes are left for another pass. Where fields hold line ends, the first lines mostly tell, and
+    the pass over all of them, which parses them too, is spared.
     """
     line = F.col("value")
     lines = dialect.lines(spark, paths)
     is_header = line == F.lit(header_line)
+    odd = _quotes(line, dialect) % 2 == 1
+    if any(row[0] for row in lines.select(odd).take(FIRST_LINES)):
+        return True, None
     facts = [
-        F.count_if(_quotes(line, dialect) % 2 == 1).alias("odd"),
+        F.count_if(odd).alias("odd"),
         F.count_if(is_header).alias("headers"),
         F.count_distinct("file").alias("files"),
     ]
@@ -314,11 +332,13 @@ def _line_by_line(spark: SparkSession, paths: list[str], header: list[str], dial
 def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_record: int, dialect: Dialect) -> DataFrame:
     """Records that may go on over line ends, and over the ends of file splits.
 
-    A line begins a record where the quotes before it in the file are even in number. The parity at the
-    start of a split comes from a small table with a row per split; within a split it is a running sum.
-    Lines with all quotes closed are records as they are; only the others are gathered by record.
+    A line begins a record where the quotes before it in the file are even in number. Within a split their parity is
+    a running sum, and what follows from it is found for either parity at the start of the split; which of them
+    holds comes from a small table with a row per split. Both are kept in scratch tables: lines are dealt out and sorted
+    once, and meet the small table where they lie. Lines with all quotes closed are records as they are; only the others
+    are gathered by record.
     """
-    value = F.col("value")
+    value, row = F.col("value"), F.col("row")
     width = F.octet_length if dialect.encoding == "UTF-8" else F.length  # of a text, in bytes of the file
     lines = dialect.lines(spark, paths, lineSep="\n").select(
         "value",
@@ -329,40 +349,44 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_
         (width(value) + 1).alias("bytes"),
         (width(value) - width(F.substring_index(value, dialect.quote, -1)) - 1).alias("last_quote"),
     )
+    in_split = Window.partitionBy("file", "block").orderBy("row")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_split.rowsBetween(Window.unboundedPreceding, 0)
     if dialect.skip:
-        tops = lines.filter("block = 0").groupBy(F.col("file").alias("of")).agg(F.min("row").alias("top"))
-        below = (F.col("block") > 0) | (F.col("row") >= F.col("top") + dialect.skip)
-        lines = lines.join(tops, F.col("file") == F.col("of")).filter(below).drop("of", "top")
+        below = (F.col("block") > 0) | (row >= F.col("top") + dialect.skip)
+        lines = lines.withColumn("top", F.first("row").over(so_far)).filter(below).drop("top")
+    odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1  # quotes before the line, in its split
+    begun = [F.when(~F.col("odd"), row), F.when(F.col("odd"), row)]  # if the split begins outside, or inside, of quotes
+    lines = lines.withColumn("odd", odd)
+    lines = _kept(lines.withColumns({f"start{s}": F.last(begun[s], True).over(so_far) for s in (0, 1)}))
+
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("file", "block").agg(
-        F.sum("quotes").alias("all"), F.min("row").alias("first"), F.sum("bytes").alias("size"), F.count("*").alias("lines")
-    )
+        F.sum("quotes").alias("all"), F.min("row").alias("first"), F.sum("bytes").alias("size"), F.count("*").alias("lines"),
+        F.max("start0").alias("last0"), F.max("start1").alias("last1"),
+    )
     sums = {"open": "all", "offset": "size", "line": "lines"}
-    splits = splits.select("file", "block", "first", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(name) for name, n in sums.items()])
-    before = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    quoted = F.col("open") + F.coalesce(F.sum("quotes").over(before), F.lit(0))
-    lines = lines.join(splits, ["file", "block"]).withColumn("begins", quoted % 2 == 0)
-    lines = lines.withColumn("start", F.last(F.when(F.col("begins"), F.col("row")), True).over(so_far))
-    alone = F.col("begins") & (F.col("quotes") % 2 == 0)
-    whole = lines.filter(alone).select("file", "block", "row", "first", value.alias("record"))
-
+    splits = splits.withColumns({name: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for name, n in sums.items()})
     # The record that is open at the start of a split began in the last split before in which any did.
-    parts = lines.filter(~alone)
-    last = lines.filter("begins").groupBy("file", "block").agg(F.max("row").alias("last"))
+    splits = splits.withColumn("last", F.when(F.col("open") % 2 == 0, F.col("last0")).otherwise(F.col("last1")))
     place = F.when(F.col("last").isNotNull(), F.struct("block", "last", "first"))
-    owners = splits.join(last, ["file", "block"], "left").select(
-        "file", F.col("block").alias("at"), F.last(place, True).over(earlier).alias("owner")
+    splits = _kept(splits.select("file", "block", "first", *sums, F.last(place, True).over(earlier).alias("owner")))
+
+    inside = F.col("open") % 2 == 1
+    lines = lines.join(splits, ["file", "block"]).select(
+        "*", (inside == F.col("odd")).alias("begins"), F.when(inside, F.col("start1")).otherwise(F.col("start0")).alias("start")
     )
-    parts = parts.join(owners, (parts["file"] == owners["file"]) & (parts["block"] == owners["at"])).select(
-        parts["file"],
+    alone = F.col("begins") & (F.col("quotes") % 2 == 0)
+    whole = lines.filter(alone).select("file", "block", "row", "first", value.alias("record"))
+    parts = lines.filter(~alone).select(
+        "file",
         F.when(F.col("start").isNotNull(), F.struct("block", F.col("start").alias("last"), "first"))
         .otherwise(F.col("owner"))
         .alias("place"),
         F.struct("block", "row", "value").alias("line"),
         "bytes",
     )
-    _check_lengths(parts, lines, splits, max_record)
+    _check_lengths(parts, lines, max_record)
     gathered = F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["value"]), "\n")
     joined = parts.groupBy("file", "place").agg(gathered.alias("record"))
     joined = joined.select(
@@ -394,7 +418,7 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_
     return dealt.select(*cells, ORDER_COLUMN)
 
 
-def _check_lengths(parts: DataFrame, lines: DataFrame, splits: DataFrame, max_record: int) -> None:
+def _check_lengths(parts: DataFrame, lines: DataFrame, max_record: int) -> None:
     """Fail on a record of too many bytes, with the place of the quote that opens it: only lengths are moved and summed."""
     sizes = parts.groupBy("file", "place").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > max_record)
     worst = sizes.select("file", "place.block", F.col("place.last").alias("row"), "bytes").orderBy("file", "block", "row").first()

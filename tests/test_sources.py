@@ -279,3 +279,41 @@ def test_yaml_without_a_schema_is_parsed_once(spark, tmp_path):
     found = read_table(spark, str(file))
     file.write_text("- {b: 7, a: z}\n")  # nobody looks at the file again
     assert [tuple(r) for r in found.drop("__position").collect()] == [(1, "x", None), (None, "y", 2.5)]
+
+
+@pytest.mark.parametrize("skip", [0, 2])
+@pytest.mark.parametrize("first_lines", [1, 10_000])
+def test_csv_records_over_lines_are_found_once(spark, tmp_path, monkeypatch, skip, first_lines):
+    """Types and rows come from the records as they were found; a look at some lines does not settle that no field goes on."""
+    import rinsewell.sources.csv as source
+
+    monkeypatch.setattr(source, "FIRST_LINES", first_lines, raising=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        expected = [(i, f"x\n{i}'" if i % 3 else "y" * (i + 1)) for i in range(60)]
+        body = "".join(f"""{i},"{text}"\n""" for i, text in expected)
+        (tmp_path / "f.csv").write_text('one " only\nsecond\n' * (skip // 2) + "a,b,b\n" + body)
+        df = read_table(spark, str(tmp_path / "f.csv"), skip_rows=skip)
+        assert df.columns[:-1] == ["a", "b", "b.1"]
+        assert [tuple(r)[:2] for r in df.orderBy(ORDER_COLUMN).collect()] == expected
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan or "FileScan parquet" in plan
+        assert "FileScan text" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize(("name", "size"), [("scan_csv_crlf", "FILE_DOCS")])
+def test_csv_inputs_have_as_many_files_as_rows_need(spark, tmp_path, monkeypatch, name, size):
+    from rinsewell.catalog import queries
+
+    read, files = queries.read_table, []
+    monkeypatch.setattr(queries, "scratch_folder", lambda _: str(tmp_path / f"out{getattr(queries, size)}"))
+    monkeypatch.setattr(queries, "read_table", lambda spark, path, *a, **b: files.append(len(spark.read.text(path).inputFiles())) or read(spark, path, *a, **b))
+    found = []
+    for keys in (getattr(queries, size), 100):
+        monkeypatch.setattr(queries, size, keys)
+        found.append(sorted(map(repr, queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect())))
+    assert found[0] == found[1] and found[0]
+    few, many = (files[0], files[1]) if size == "FILE_DOCS" else (files[0], files[2])
+    assert many >= 2 * few
