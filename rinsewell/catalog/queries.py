@@ -797,7 +797,7 @@ def scan_csv_multiline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # Keys that share a few files, so that there are as many files, and tasks that write them, as the table needs.
-FILE_DOCS = 30_000
+FILE_KEYS, FILE_DOCS = 4_000_000, 30_000
 
 CRLF_TEXT = """CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), concat(chr(13), chr(10)))
   WHEN 1 THEN replace(text, ' ', concat(chr(13), '"')) ELSE concat(text, chr(13), chr(10)) END"""
@@ -811,9 +811,10 @@ def scan_csv_dialects(spark: SparkSession, folder: str) -> DataFrame:
     note = F.when(F.col("row_id") % 5 == 0, F.concat(F.lit("é;\n'"), "status"))
     rows = contacts(spark, folder).withColumn("note", note).filter("name NOT LIKE '%€%'")
     line = F.concat_ws(";", F.col("row_id").cast("string"), *[quoted(F.col(n)) for n in ("name", "phone", "note")])
-    lines = rows.select((F.col("row_id") % 4).alias("part"), "row_id", line.alias("line"))
+    part = F.floor(F.col("row_id") / FILE_KEYS) * 4 + F.col("row_id") % 4
+    lines = rows.select(part.alias("part"), "row_id", line.alias("line"))
     top = F.lit("made by hand;;\nit's data\nrow_id;name;phone;note")
-    lines = lines.unionByName(spark.range(4).select(F.col("id").alias("part"), F.lit(-1).alias("row_id"), top.alias("line")))
+    lines = lines.unionByName(rows.select(part.alias("part")).distinct().select("part", F.lit(-1).alias("row_id"), top.alias("line")))
     lines = lines.repartition("part").sortWithinPartitions("part", "row_id")
     encoded = F.encode("line", "ISO-8859-1").cast("string")  # the bytes as they are
     lines.select("part", encoded.alias("value")).write.partitionBy("part").text(f"{out}/semicolons")

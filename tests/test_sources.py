@@ -303,7 +303,7 @@ def test_csv_records_over_lines_are_found_once(spark, tmp_path, monkeypatch, ski
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize(("name", "size"), [("scan_csv_crlf", "FILE_DOCS")])
+@pytest.mark.parametrize(("name", "size"), [("scan_csv_crlf", "FILE_DOCS"), ("scan_csv_dialects", "FILE_KEYS")])
 def test_csv_inputs_have_as_many_files_as_rows_need(spark, tmp_path, monkeypatch, name, size):
     from rinsewell.catalog import queries
 
