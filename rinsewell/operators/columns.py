@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import col, is_blank, is_text
+from ..sources.scratch import kept
 from .base import Plan, Table, merge_lists, planner
 
 FIRST_ROWS = 1_000
@@ -105,10 +106,13 @@ def _without(table: Table, dropped: list[str], emptied: DataFrame | None = None)
 
 
 def _drop_by_scope(table: Table, filled: dict[str, Column]) -> Plan:
-    """Drop the columns that no scope fills, and blank out the others where their scope does not."""
+    """Drop the columns that no scope fills, and blank out the others where their scope does not.
+
+    What each scope fills is found once and is a scratch table. Its size is known when the rows are planned, so they are
+    not dealt out to meet a small one."""
     flags = {name: f"__kept_{name}" for name in filled}
     any_value = [F.coalesce(F.bool_or(f), F.lit(False)).alias(flags[n]) for n, f in filled.items()]
-    per_scope = table.rows.groupBy(*table.scope).agg(*any_value)
+    per_scope = kept(table.rows.groupBy(*table.scope).agg(*any_value))
     overall = per_scope.agg(
         *[F.bool_or(col(flag)).alias(flag) for flag in flags.values()]
     ).first()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions import col, is_text, join_types, to_type
 from .order import ORDER_COLUMN, with_position
-from .scratch import scratch_folder
+from .scratch import kept
 
 # Texts read as null.
 NULL_TOKENS = [
@@ -250,7 +250,7 @@ def read_csv(
     if multiline:
         rows = _across_lines(spark, paths, header, max_record, dialect)
         if types:  # finding the records is the dear part, and two passes need them
-            rows = _kept(rows.toDF(*[f"c{i}" for i in range(len(header))], ORDER_COLUMN)).toDF(*header, ORDER_COLUMN)
+            rows = kept(rows.toDF(*[f"c{i}" for i in range(len(header))], ORDER_COLUMN)).toDF(*header, ORDER_COLUMN)
     else:
         rows = _line_by_line(spark, paths, header, dialect)
     if nulls:
@@ -260,13 +260,6 @@ def read_csv(
     return _typed(rows, classes) if classes else infer_types(rows, header)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The rows as a scratch table."""
-    folder = scratch_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def _quotes(line: Column, dialect: Dialect) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(dialect.quote), F.lit("")))
 
@@ -358,7 +351,7 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_
     odd = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1  # quotes before the line, in its split
     begun = [F.when(~F.col("odd"), row), F.when(F.col("odd"), row)]  # if the split begins outside, or inside, of quotes
     lines = lines.withColumn("odd", odd)
-    lines = _kept(lines.withColumns({f"start{s}": F.last(begun[s], True).over(so_far) for s in (0, 1)}))
+    lines = kept(lines.withColumns({f"start{s}": F.last(begun[s], True).over(so_far) for s in (0, 1)}))
 
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("file", "block").agg(
@@ -370,7 +363,7 @@ def _across_lines(spark: SparkSession, paths: list[str], header: list[str], max_
     # The record that is open at the start of a split began in the last split before in which any did.
     splits = splits.withColumn("last", F.when(F.col("open") % 2 == 0, F.col("last0")).otherwise(F.col("last1")))
     place = F.when(F.col("last").isNotNull(), F.struct("block", "last", "first"))
-    splits = _kept(splits.select("file", "block", "first", *sums, F.last(place, True).over(earlier).alias("owner")))
+    splits = kept(splits.select("file", "block", "first", *sums, F.last(place, True).over(earlier).alias("owner")))
 
     inside = F.col("open") % 2 == 1
     lines = lines.join(splits, ["file", "block"]).select(

@@ -129,3 +129,12 @@ def test_chunks_of_a_filtered_table(spark, tmp_path):
     for table in (rows, rows.repartition(4)):
         totals = clean_chunks(table, ["core.drop_empty"], 5).totals().collect()
         assert sorted((r.chunk, r["__n_loaded"]) for r in totals) == [(0, 5), (1, 5)]
+
+
+def test_empty_columns_by_scope_do_not_move_the_rows(spark):
+    """What each scope fills is found once, and a small table of it goes to the rows."""
+    df = contacts(spark, TABLES)
+    result = clean_chunks(df, ["core.drop_empty_columns"], 1000, df["row_id"], "row_id")
+    text = plan(result.df)
+    assert "Aggregate" not in text and "SortMergeJoin" not in text and "hashpartitioning" not in text, text
+    assert result.df.count() == df.count() and "mostly_empty" not in result.df.columns
