@@ -1,19 +1,22 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
 The model is trained on trusted rows (labelled of good quality, not toxic): all texts with an even hash. The others give the
-quantile of perplexity per language above which a document is rejected. Trigrams are counted, and all else follows
-from them by grouping and joins. The model is a table keyed by hash, of any size: blocks of texts look their n-grams up
-in it, and every document is scored once, on its whole text.
+quantile of perplexity per language above which a document is rejected. Trigrams are dealt by their context and counted; pairs
+of words, dealt by their hash, and words follow from them. The model is a table of these counts, packed by shards of hashes, of any
+size: blocks of texts look their n-grams up in it, and every document is scored once, on its whole text. Counts and
+texts are worked off in ranges, and what was kept for one of them is dropped with it, so that little is on disk at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ from pyspark.sql import types as T
 from rinsewell.functions.names import col
 
 from .rows import with_text
-from .sequences import Places, answered, ask, in_blocks, looked_up, parts, shard_bits, with_answers
-from .tables import files_for, keep, without
+from .sequences import BLOCK_BYTES, HELD, Places, answered, ask, dealt, gathered, in_blocks, looked_up, parts, shard_bits, text_bytes, with_answers
+from .tables import drop, files_for, keep, without
 from .words import mix, slices, words
 
 TRAIN_CHARS = math.inf  # of trusted text per language: all of it
@@ -32,9 +35,28 @@ BINS = 10_000  # of perplexity, for each factor of e
 RANGE_BITS = 12  # of the hash, for the ranges that the sample is taken from
 _BEGIN, _END, _UNSEEN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0x082EFA98EC4E6C89)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-RANGES = 4  # of blocks, which are scored one after the other
+RANGES = 16  # of texts, which are scored one after the other
+TRAIN_RANGES = 4  # of shards, which are counted one after the other
+SHARD_BITS = 4  # at least
 
-_NGRAMS = "lang long, a long, b long, c long, n long"
+# What packed rows hold: n-grams of one to three words, by length, and what leads there.
+_TRIGRAMS, _CONTEXTS, _PAIRS, _FIRST, _LAST, _SUMS = range(4, 10)
+_SUM_NAMES = ("n1", "n2", "n3", "n4", "words", "total")
+_COUNTED = f"{HELD}, level int, {', '.join(f'{x} long' for x in _SUM_NAMES)}"
+
+
+@dataclass
+class Model:
+    """``rows``: packed by shard, of which ``bits`` of a hash tell; n-grams of one and two words (kind 1 and 2) with their number, and as
+    contexts, with the sum of the numbers of what follows and how many of these are one, two, and more; those of three words (kind 3)
+    with their number. ``taken``: of each language (by its key) and length, what is taken from the numbers one, two, and more;
+    ``root``: of each language the sum of the numbers of words, and the chance of a word never seen."""
+
+    rows: DataFrame
+    bits: int
+    taken: dict[int, list[list[float]]]
+    root: dict[int, tuple[float, float]]
+    tables: list[DataFrame]
 
 
 def _hashes(part: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -73,113 +95,226 @@ def _unseen(salts: np.ndarray) -> np.ndarray:
     return mix(_UNSEEN ^ salts)
 
 
-def _longs(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
-
-
-def _trigrams(docs: DataFrame) -> DataFrame:
-    """lang, a, b, c, n: how often each trigram occurs."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = _hashes(part)
-                a, b, c = found["first"], found["one"], found["word"]
-                order = np.lexsort((c, a, b))
-                a, b, c, lang = (x[order] for x in (a, b, c, _unseen(found["salts"])[found["doc"]]))
-                new = np.ones(len(order), bool)
-                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-                n = np.diff(np.append(np.flatnonzero(new), len(new)))
-                yield pa.RecordBatch.from_arrays([*(_longs(x[new]) for x in (lang, a, b, c)), pa.array(n)], ["lang", "a", "b", "c", "n"])
-
-    return docs.select("lang", "text").mapInArrow(count, _NGRAMS).groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n"))
-
-
-def _discount(c: Column, d: str) -> Column:
-    return F.when(c == 1, F.col(f"{d}_1")).when(c == 2, F.col(f"{d}_2")).otherwise(F.col(f"{d}_3"))
-
-
-def _discounts(counts: DataFrame, d: str) -> DataFrame:
-    """lang, d_1, d_2, d_3: what is taken from counts of one, two, and three or more; from lang, key (the count), n."""
-    n = [F.sum(F.when(F.col("key") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-
-    def part(k: int) -> Column:
-        value = k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0))
-        return F.least(F.greatest(value, F.lit(0.1)), F.lit(k - 0.1)).alias(f"{d}_{k}")
-
-    return counts.groupBy("lang").agg(*n).select("lang", part(1), part(2), part(3))
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """code, chance, left: the model of the given rows (lang, text). ``chance`` is that of a seen n-gram of one to three words,
-    or of a word never seen, by the code of the language; ``left`` the weight of a context of one or two words, in a row of
-    its own.
-    """
-    files = files_for(docs)
-    three = keep(_trigrams(docs), files)
-    two = keep(three.groupBy("lang", "b", "c").agg(F.count(F.lit(1)).alias("n")), files)
-    one = keep(two.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n")), files)
-    d1, d2, d3 = (_discounts(counts.groupBy("lang", F.col("n").alias("key")).agg(F.count(F.lit(1)).alias("n")), f"d{i}") for i, counts in enumerate((one, two, three), 1))
-    sums = [F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).alias("words"), F.sum(_discount(F.col("n"), "d1")).alias("taken")]
-    root = one.join(d1, "lang").groupBy("lang", "d1_1", "d1_2", "d1_3").agg(*sums)
-    unseen = F.col("taken") / F.col("total") / (F.col("words") + 1)
-    root = keep(root.withColumn("unseen", unseen).join(d2, "lang", "left").join(d3, "lang", "left"), 1)
-    own = (F.col("n") - _discount(F.col("n"), "d1")) / F.col("total")
-    p1 = keep(one.join(root, "lang").select("lang", "c", (own + F.col("unseen")).alias("below")), files)
-    w2, p2 = _longer(two, root.select("lang", "d2_1", "d2_2", "d2_3"), "d2", ["lang", "b"], p1, ["lang", "c"], files)
-    w3, p3 = _longer(three, root.select("lang", "d3_1", "d3_2", "d3_3"), "d3", ["lang", "a", "b"], p2, ["lang", "b", "c"], files)
-    none, no = F.lit(None).cast("long"), F.lit(None).cast("double")
-    rows = [
-        root.select(none.alias("a"), none.alias("b"), F.col("lang").alias("c"), F.col("unseen").alias("chance"), no.alias("left")),
-        p1.select(none.alias("a"), none.alias("b"), "c", F.col("below").alias("chance"), no.alias("left")),
-        w2.select(none.alias("a"), none.alias("b"), F.col("b").alias("c"), no.alias("chance"), "left"),
-        p2.select(none.alias("a"), "b", "c", F.col("below").alias("chance"), no.alias("left")),
-        w3.select(none.alias("a"), F.col("a").alias("b"), F.col("b").alias("c"), no.alias("chance"), "left"),
-        p3.select("a", "b", "c", F.col("below").alias("chance"), no.alias("left")),
-    ]
-    return reduce(DataFrame.unionByName, map(_coded, rows))
-
-
-def _coded(rows: DataFrame) -> DataFrame:
-    """code, chance, left: the codes of one word c, of two b c, or of three a b c; words that are null are not there."""
+def _trigrams(docs: DataFrame, bits: int, part: tuple[int, int]) -> DataFrame:
+    """The trigrams of blocks of texts, dealt by the context of two words: packed, with the second word, the third, and the number. Of
+    the contexts only those whose shards are in ``part`` (first, last)."""
+    first, last = part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            a, b, c = (batch.column(i) for i in range(3))
-            if len(c):
-                one, two, three = (x.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for x in (a, b, c))
-                code = three if b.null_count else _pair(two, three) if a.null_count else _pair(_pair(one, two), three)
-                yield pa.RecordBatch.from_arrays([_longs(code), batch.column(3), batch.column(4)], ["code", "chance", "left"])
-
-    return rows.mapInArrow(run, "code long, chance double, left double")
+            for rows in slices(batch, "text"):
+                held.append(found(rows))
+                size += rows.column(1).nbytes
+                if size >= BLOCK_BYTES:
+                    yield from block(held)
+                    held, size = [], 0
+        yield from block(held)
+
+    def found(rows: pa.RecordBatch) -> np.ndarray:
+        all_of = _hashes(rows)
+        ab = _pair(all_of["first"], all_of["one"])
+        shard = ab >> np.uint64(64 - bits)
+        own = np.flatnonzero((shard >= first) & (shard <= last))
+        return np.vstack([_unseen(all_of["salts"])[all_of["doc"][own]], *(x[own] for x in (ab, all_of["one"], all_of["word"]))])
+
+    def block(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            lang, ab, b, c = np.concatenate(held, axis=1)
+            for key in np.unique(lang):
+                own = lang == key
+                at, n = _grouped(ab[own], c[own])
+                yield from dealt(_TRIGRAMS, _signed(key), ab[own][at], [b[own][at], c[own][at], n], bits).to_batches()
+
+    return docs.select("lang", "text").mapInArrow(run, HELD)
+
+
+def _grouped(*keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in order of the keys, the first first; and how often it occurs, or the sum of ``n``."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        key = key[order]
+        new[1:] |= key[1:] != key[:-1]
+    starts = np.flatnonzero(new)
+    if n is None:
+        n = np.diff(np.append(starts, len(order)))
+    elif len(order):
+        n = np.add.reduceat(n[order], starts)
+    return order[starts], n.astype(np.uint64)
+
+
+def _signed(key: np.uint64) -> int:
+    return int(np.asarray(key, np.uint64).view(np.int64))
+
+
+def _follow(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The contexts, each once, in order; sums of the numbers of what follows, and how many are one, two, and more."""
+    at, total = _grouped(context, n=n)
+    return context[at], [total, *(_grouped(context, n=x.astype(np.uint64))[1] for x in (n == 1, n == 2, n > 2))]
+
+
+def _sums(lang: int, level: int, n: np.ndarray) -> pa.Table:
+    """How many n-grams have the numbers one to four, how many there are, and the sum of their numbers."""
+    values = [*((n == k).sum() for k in (1, 2, 3, 4)), len(n), n.sum()]
+    columns = {"kind": _SUMS, "shard": 0, "lang": lang, "codes": None, "data": None, "level": level, **dict(zip(_SUM_NAMES, map(int, values), strict=True))}
+    return pa.table({k: pa.array([v], pa.int32() if k in ("kind", "level") else pa.binary() if v is None else pa.int64()) for k, v in columns.items()})
+
+
+def _counted(rows: DataFrame, count: Callable[[int, pa.Table], list[pa.Table]]) -> DataFrame:
+    """``count`` for the packed rows of each shard and language."""
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+
+    def run(key: tuple, own: pa.Table) -> pa.Table:
+        done = pa.concat_tables(count(key[1].as_py(), own), promote_options="default")
+        for name in names:
+            if name not in done.column_names:
+                done = done.append_column(name, pa.nulls(done.num_rows, pa.int32() if name == "level" else pa.int64()))
+        return done.select(names)
+
+    return rows.groupBy("shard", "lang").applyInArrow(run, _COUNTED)
+
+
+def _count_three(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
+    def count(lang: int, rows: pa.Table) -> list[pa.Table]:
+        ab, b, c, n = gathered(rows, _TRIGRAMS, 3)
+        at, n = _grouped(ab, c, n=n)
+        ab, b, c = ab[at], b[at], c[at]
+        codes = _pair(ab, c)
+        order = np.argsort(codes)
+        contexts, sums = _follow(ab, n)
+        pairs, before = _grouped(b, c)
+        b, c = b[pairs], c[pairs]
+        shard = _pair(b, c) >> np.uint64(64 - bits)
+        to = np.argsort(shard, kind="stable")
+        return [
+            dealt(3, lang, codes[order], [n[order]], bits),
+            dealt(_CONTEXTS, lang, contexts, sums, bits),
+            dealt(_PAIRS, lang, b[to], [c[to], before[to]], bits, shard[to]),
+            _sums(lang, 3, n),
+        ]
+
+    return count
+
+
+def _merged(codes: np.ndarray, n: np.ndarray, contexts: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Codes in order, each once, with their numbers as n-grams and their sums as contexts, 0 for what they are not."""
+    every = np.union1d(codes, contexts)
+    columns = [np.zeros(len(every), np.uint64) for _ in range(1 + len(sums))]
+    columns[0][np.searchsorted(every, codes)] = n
+    at = np.searchsorted(every, contexts)
+    for column, values in zip(columns[1:], sums, strict=True):
+        column[at] = values
+    return every, columns
+
+
+def _count_two(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
+    def count(lang: int, rows: pa.Table) -> list[pa.Table]:
+        contexts, *sums = gathered(rows, _CONTEXTS, 4)
+        b, c, n = gathered(rows, _PAIRS, 2)
+        at, n = _grouped(b, c, n=n)
+        b, c = b[at], c[at]
+        last, times = _grouped(c)
+        codes, columns = _merged(_pair(b, c), n, contexts, sums)
+        return [dealt(2, lang, codes, columns, bits), dealt(_FIRST, lang, *_follow(b, n), bits), dealt(_LAST, lang, c[last], [times], bits), _sums(lang, 2, n)]
+
+    return count
+
+
+def _count_one(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
+    def count(lang: int, rows: pa.Table) -> list[pa.Table]:
+        b, *sums = gathered(rows, _FIRST, 4)
+        c, n = gathered(rows, _LAST, 1)
+        at, times = _grouped(c, n=n)
+        contexts = b[_grouped(b)[0]]
+        sums = [_grouped(b, n=x)[1] for x in sums]
+        codes, columns = _merged(c[at], times, contexts, sums)
+        return [dealt(1, lang, codes, columns, bits), _sums(lang, 1, times)]
+
+    return count
+
+
+def _ranges(size: int, shards: int) -> list[tuple[int, int]]:
+    """Ranges of shards, first and last: ``TRAIN_RANGES`` of them, or fewer if blocks are."""
+    n = max(1, min(TRAIN_RANGES, size // BLOCK_BYTES, shards))
+    return [(i * shards // n, (i + 1) * shards // n - 1) for i in range(n)]
 
 
-def _longer(counts: DataFrame, discounts: DataFrame, d: str, context: list[str], shorter: DataFrame, suffix: list[str], files: int) -> tuple[DataFrame, DataFrame]:
-    """The weights ``left`` of all contexts, and the chances ``below`` of all n-grams, of which ``counts`` has the numbers n;
-    ``shorter`` has the chances of those without the first word."""
-    rows = counts.join(discounts, "lang").withColumn("gone", _discount(F.col("n"), d))
-    sums = [F.sum("n").cast("double").alias("total"), F.sum("gone").alias("gone")]
-    weights = keep(rows.groupBy(*context).agg(*sums).select(*context, "total", (F.col("gone") / F.col("total")).alias("left")), files)
-    rows = rows.select(*counts.columns, "gone").join(shorter, suffix).join(weights, context)
-    chance = (F.col("n") - F.col("gone")) / F.col("total") + F.col("left") * F.col("below")
-    return weights, keep(rows.select(*(x for x in counts.columns if x != "n"), chance.alias("below")), files)
+def _discount(n: list[int]) -> list[float]:
+    """What is taken from counts of one, two, and three or more, by how many counts are one to four."""
+    y = n[0] / max(n[0] + 2 * n[1], 1)
+    return [min(max(k - (k + 1) * y * n[k] / max(n[k - 1], 1), 0.1), k - 0.1) for k in (1, 2, 3)]
+
 
-
-def perplexities(docs: DataFrame, model: DataFrame, langs: list[str], text: str = "text", lang: str = "lang", only: list[str] | None = None) -> DataFrame:
+def train(docs: DataFrame, bits: int = SHARD_BITS) -> Model:
+    """The model of the given rows (lang, text); ``bits``: for the shards, at least. ``docs`` is read ``TRAIN_RANGES`` times."""
+    files = files_for(docs)
+    size = text_bytes(docs, "text")
+    bits = max(bits, SHARD_BITS, shard_bits(size))
+    parts = _ranges(size, 1 << bits)
+    three = [keep(_counted(_trigrams(docs, bits, part), _count_three(bits)), files, by="kind") for part in parts]
+    led = reduce(DataFrame.unionByName, three).where(F.col("kind").isin(_CONTEXTS, _PAIRS))
+    two = [keep(_counted(led.where(F.col("shard").between(*part)), _count_two(bits)), files, by="kind") for part in parts]
+    for kind in (_CONTEXTS, _PAIRS):
+        drop(*three, only=f"kind={kind}")
+    led = reduce(DataFrame.unionByName, two).where(F.col("kind").isin(_FIRST, _LAST))
+    one = keep(_counted(led, _count_one(bits)), files, by="kind")
+    for kind in (_FIRST, _LAST):
+        drop(*two, only=f"kind={kind}")
+    tables = [one, *two, *three]
+    every = reduce(DataFrame.unionByName, tables)
+    taken, root = {}, {}
+    sums = every.where(F.col("kind") == _SUMS).groupBy("lang", "level").agg(*(F.sum(x).alias(x) for x in _SUM_NAMES))
+    for r in sums.collect():
+        d = taken.setdefault(r.lang, [[]] * 4)
+        d[r.level] = _discount([r.n1, r.n2, r.n3, r.n4])
+        if r.level == 1:
+            gone = d[1][0] * r.n1 + d[1][1] * r.n2 + d[1][2] * (r.words - r.n1 - r.n2)
+            root[r.lang] = (float(r.total), gone / r.total / (r.words + 1))
+    return Model(every.where(F.col("kind").isin(1, 2, 3)).select("kind", "shard", "lang", "codes", "data"), bits, taken, root, tables)
+
+
+def _read(model: Model) -> Callable[[pa.Table], tuple[np.ndarray, ...]]:
+    """Reads packed rows of the model: codes; of an n-gram its number less what is taken from it, of a single word its
+    chance; of a context its total, and its weight."""
+    all_taken, root = model.taken, model.root
+
+    def less(n: np.ndarray, taken: list[float]) -> np.ndarray:
+        return np.where(n > 0, n - np.array([0, *taken])[np.minimum(n, 3).astype(np.int64)], np.nan)
+
+    def read(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        done = [(np.zeros(0, np.uint64), *[np.zeros(0)] * 3)]
+        for lang in rows.column("lang").unique().to_pylist():
+            own, taken = rows.filter(pc.equal(rows.column("lang"), lang)), all_taken[lang]
+            for level in (1, 2):
+                codes, n, total, *follow = gathered(own, level, 5)
+                seen = less(n, taken[level])
+                if level == 1:
+                    seen = seen / root[lang][0] + root[lang][1]
+                total = np.where(total > 0, total.astype(float), np.nan)
+                gone = sum((x * d for x, d in zip(follow, taken[level + 1], strict=True)), np.zeros(len(codes)))
+                done.append((codes, seen, total, gone / total))
+            codes, n = gathered(own, 3, 1)
+            done.append((codes, less(n, taken[3]), *[np.full(len(codes), np.nan)] * 2))
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+    return read
+
+
+def perplexities(docs: DataFrame, model: Model, langs: list[str], text: str = "text", lang: str = "lang", only: list[str] | None = None) -> DataFrame:
     """``docs``, or its columns ``only``, with n_tokens (words and one end) and perplexity of the whole text; null
     counts as empty. ``langs``: the languages that the model was trained on; texts of others ask for nothing.
 
-    Written to the shared folder. Blocks of texts look up their n-grams in the model, some blocks at a time.
+    Written to the shared folder, by ``RANGES`` of the hashes of texts, or fewer if there are fewer blocks: each reads ``docs`` anew and
+    keeps its own texts only while it looks their n-grams up.
     """
     base = without(docs.select(*only) if only else docs, "n_tokens", "perplexity")
     schema = T.StructType([*base.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("perplexity", T.DoubleType())])
     width, files, trained = len(base.columns), files_for(docs), set(langs)
     rows, at = with_text(docs.withColumn("__rw_spoken", F.coalesce(col(lang).cast("string"), F.lit(""))), [*base.columns, "__rw_spoken"], text)
-    name = rows.columns[at]
-    rows = in_blocks(rows, name, files)
-    bits = shard_bits(rows, name)
-    model = keep(model, files)
+    name, bits, root = rows.columns[at], model.bits, model.root
+    ranges = max(1, min(RANGES, text_bytes(rows, name) // BLOCK_BYTES))
 
     def texts(part: pa.RecordBatch) -> dict[str, np.ndarray]:
         return _hashes(pa.RecordBatch.from_arrays([part.column("__rw_spoken"), part.column(name)], ["lang", "text"]))
@@ -191,25 +326,26 @@ def perplexities(docs: DataFrame, model: DataFrame, langs: list[str], text: str
         begin = mix(_BEGIN ^ salts)
         word, two = found["word"], _pair(found["one"], found["word"])
         three = _pair(_pair(found["first"], found["one"]), word)
-        levels = [np.concatenate([word[own], begin, _unseen(salts)]), np.concatenate([two[own], _pair(begin, begin)]), three[own]]
+        levels = [np.concatenate([word[own], begin]), np.concatenate([two[own], _pair(begin, begin)]), three[own]]
         return [(i, codes, np.zeros(len(codes), bool)) for i, codes in enumerate(levels)]
 
     def score(block: int, own: pa.Table, answers: pa.Table) -> pa.Table:
-        codes, chance, left = answered(answers, "chance", "left")
-        place, chance, left = Places(codes), np.append(chance, np.nan), np.append(left, np.nan)
+        codes, *values = answered(answers, "seen", "total", "left")
+        place = Places(codes)
+        seen, total, left = (np.append(x, np.nan) for x in values)
         done = []
         for part in parts(own, name):
             found = texts(part)
-            floor = chance[place(_unseen(found["salts"]))]
-            floor = np.where(np.isnan(floor), 1e-7, floor)[found["doc"]]  # of a language that was not trained
-            out = chance[place(found["word"])]
+            # 1e-7: of a language that was not trained
+            floor = np.array([root.get(x, (0, 1e-7))[1] for x in _unseen(found["salts"]).view(np.int64).tolist()])[found["doc"]]
+            out = seen[place(found["word"])]
             out = np.where(np.isnan(out), floor, out)
             two = _pair(found["first"], found["one"])
             for context, longer in ((found["one"], _pair(found["one"], found["word"])), (two, _pair(two, found["word"]))):
-                rest = left[place(context)]
-                some = np.flatnonzero(~np.isnan(rest))
-                seen = chance[place(longer[some])]
-                out[some] = np.where(np.isnan(seen), out[some] * rest[some], seen)
+                at = place(context)
+                some = np.flatnonzero(~np.isnan(left[at]))
+                at = at[some]
+                out[some] = np.nan_to_num(seen[place(longer[some])]) / total[at] + left[at] * out[some]
             starts = found["starts"]
             n = np.diff(np.append(starts, len(out)))
             new = [pa.array(n.astype(np.int64)), pa.array(10 ** (-np.add.reduceat(np.log10(out), starts) / n))]
@@ -218,10 +354,12 @@ def perplexities(docs: DataFrame, model: DataFrame, langs: list[str], text: str
             done = [pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in own.columns[:width]), pa.array([], pa.int64()), pa.array([], pa.float64())], schema.names)]
         return pa.Table.from_batches(done)
 
-    part, scored = F.pmod(F.xxhash64("block"), F.lit(RANGES)), []
-    for i in range(RANGES):
-        some = rows.where(part == i)
-        scored.append(keep(with_answers(some, looked_up(ask(some, name, bits, find), model, bits), score, schema), files))
+    part, scored, read = F.pmod(F.xxhash64(col(name)), F.lit(ranges)), [], _read(model)
+    for i in range(ranges):
+        some = in_blocks(rows.where(part == i), name, files)
+        found = looked_up(ask(some, name, bits, find), model.rows, read, ("seen", "total", "left"))
+        scored.append(keep(with_answers(some, found, score, schema), files))
+        drop(some)
     return reduce(DataFrame.unionByName, scored)
 
 
@@ -265,7 +403,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     late = F.when(F.col("size") > TRAIN_CHARS // 10, F.col("size")).otherwise(F.lit(0)) if bounded else F.lit(0)
     facts = facts.withColumn("late", late.cast("long"))
     facts = facts.withColumn("place", F.struct(F.pmod("h", F.lit(2)).alias("odd"), "late", "h"))
-    facts = keep(facts, files_for(docs))  # read twice
+    facts = kept = keep(facts, files_for(docs))  # read twice
     ends = facts.groupBy("lang").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     may = facts.join(ends, "lang").where((F.col("place") == F.col("first")) | ((F.col("place.odd") == 0) & (F.col("place") < F.col("last"))))
     chosen = may.select("lang", "h")
@@ -274,7 +412,9 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         placed = _reached(may).select("lang", "late", "h", F.row_number().over(order).alias("n"), F.sum("size").over(order).alias("total"))
         chosen = placed.where((F.col("total") <= TRAIN_CHARS) | (F.col("n") == 1)).select("lang", "h")
     texts = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    return keep(texts, files_for(docs))
+    texts = keep(texts, files_for(docs))
+    drop(kept)
+    return texts
 
 
 def _thresholds(scored: DataFrame, labels: DataFrame, trained: DataFrame, quantile: float) -> DataFrame:
@@ -303,13 +443,17 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, wit
     are known: without the texts, if they are not wanted back (``with_text``).
     """
     base = without(docs, "n_tokens", "perplexity", "threshold", "keep")
-    trained = _sample(docs, labels)
-    langs = [r["lang"] for r in trained.select("lang").distinct().collect()]
-    model = train(trained)
+    sample = _sample(docs, labels)
+    langs = [r["lang"] for r in sample.select("lang").distinct().collect()]
+    model = train(sample, shard_bits(text_bytes(base, "text") // RANGES))
+    trained = keep(sample.select("lang", "h"), files_for(sample))
+    drop(sample)
     own = [name for name in base.columns if with_text or name.lower() != "text"]
     facts = {"__rw_lang": F.coalesce("lang", F.lit("")), "__rw_h": F.xxhash64(F.coalesce("text", F.lit("")))}
     rows = perplexities(base.withColumns(facts), model, langs, only=[*own, *facts])
+    drop(*model.tables)
     scored = rows.select("doc_id", F.col("__rw_lang").alias("lang"), F.col("__rw_h").alias("h"), "perplexity")
     limits = keep(_thresholds(scored, labels, trained, quantile).withColumnRenamed("lang", "__rw_of"), 1)
+    drop(trained)
     rows = rows.join(limits, F.col("__rw_lang") == F.col("__rw_of"), "left").drop("__rw_of", *facts)
     return rows.withColumn("keep", ~F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)))

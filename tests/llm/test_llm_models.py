@@ -5,6 +5,7 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +166,30 @@ def test_quality_query(spark):
     assert share[1] > 0.9 and share[0] < 0.5
 
 
+def folders(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir")) / spark.sparkContext.applicationId
+    return {p for p in root.iterdir() if any(p.rglob("*.parquet"))} if root.exists() else set()
+
+
+def test_classifier_over_many_blocks_leaves_only_its_result(spark, monkeypatch):
+    for module in (quality, sequences):
+        monkeypatch.setattr(module, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(sequences, "SHARD_BYTES", 500)
+    monkeypatch.setattr("rinsewell.llm.words.SLICE", 300)
+    docs, labels = corpus(spark)
+    docs = docs.where("doc_id is not null and lang is not null")
+    texts = {(r.lang, r.text) for r in quality._sample(docs, labels).collect()}
+    plain = {lang: kneser_ney([t for own, t in texts if own == lang]) for lang in ("en", "fr")}
+    before = folders(spark)
+    found = quality.classify(docs, labels)
+    for r in found.collect():
+        expected, n = plain[r.lang](r.text)
+        assert r.n_tokens == n and r.perplexity == pytest.approx(expected, rel=1e-9)
+    read = {Path(f.removeprefix("file:")).parent for f in found.inputFiles()}
+    assert len(read) == quality.RANGES + 1  # what the ranges scored, and the thresholds
+    assert folders(spark) - before == read
+
+
 # --- suffix tree
 
 
