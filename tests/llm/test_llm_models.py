@@ -312,6 +312,24 @@ def test_scores_over_many_blocks_and_shards(spark, monkeypatch):
         assert r.score == pytest.approx(expected[r.doc_id], rel=1e-9)
 
 
+def test_scores_leave_only_the_result(spark):
+    _, texts = grown(spark)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = folders(spark)
+    found = suffix_tree_lm.score(rows, F.col("doc_id") % 3 != 0)
+    assert found.count() == len(texts)
+    read = {Path(f.removeprefix("file:")).parent for f in found.inputFiles()}
+    assert folders(spark) - before == read and len(read) <= suffix_tree_lm.RANGES
+
+
+def test_packed_columns_come_back():
+    values = [np.array(x, np.uint64) for x in ([0, 0, 0], [1, 255, 256], [0, 1, (1 << 64) - 1])]
+    data = b"".join(map(sequences.pack, values))
+    assert len(data) == 3 * (1 + 2 + 8) + 3
+    assert all(np.array_equal(a, b) for a, b in zip(values, sequences.unpack_columns(data, 3, 3), strict=True))
+    assert [len(x) for x in sequences.unpack_columns(sequences.pack(values[0][:0]) * 2, 2, 0)] == [0, 0]
+
+
 def test_sequences_are_asked_about_in_seven_bytes_each():
     codes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1 << 20, np.uint64, endpoint=False))
     rows = sequences.asked(1, 2, codes, np.ones(len(codes), np.uint64), 6)
