@@ -16,7 +16,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +24,24 @@ from pyspark.sql import types as T
 from rinsewell.functions.names import col
 
 from .rows import with_text
-from .sequences import BLOCK_BYTES, HELD, Places, answered, ask, dealt, gathered, in_blocks, looked_up, parts, shard_bits, text_bytes, with_answers
+from .sequences import (
+    BLOCK_BYTES,
+    HELD,
+    Places,
+    Taken,
+    answered,
+    ask,
+    dealt,
+    distinct,
+    gathered,
+    in_blocks,
+    looked_up,
+    new_at,
+    parts,
+    shard_bits,
+    text_bytes,
+    with_answers,
+)
 from .tables import drop, files_for, keep, without
 from .words import mix, slices, words
 
@@ -41,6 +57,7 @@ SHARD_BITS = 4  # at least
 
 # What packed rows hold: n-grams of one to three words, by length, and what leads there.
 _TRIGRAMS, _CONTEXTS, _PAIRS, _FIRST, _LAST, _SUMS = range(4, 10)
+_NAMES = ("n", "total", "once", "twice", "more")
 _SUM_NAMES = ("n1", "n2", "n3", "n4", "words", "total")
 _COUNTED = f"{HELD}, level int, {', '.join(f'{x} long' for x in _SUM_NAMES)}"
 
@@ -121,7 +138,7 @@ def _trigrams(docs: DataFrame, bits: int, part: tuple[int, int]) -> DataFrame:
     def block(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if held:
             lang, ab, b, c = np.concatenate(held, axis=1)
-            for key in np.unique(lang):
+            for key in distinct(lang):
                 own = lang == key
                 at, n = _grouped(ab[own], c[own])
                 yield from dealt(_TRIGRAMS, _signed(key), ab[own][at], [b[own][at], c[own][at], n], bits).to_batches()
@@ -130,19 +147,19 @@ def _trigrams(docs: DataFrame, bits: int, part: tuple[int, int]) -> DataFrame:
 
 
 def _grouped(*keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each distinct key, in order of the keys, the first first; and how often it occurs, or the sum of ``n``."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for key in keys:
-        key = key[order]
-        new[1:] |= key[1:] != key[:-1]
-    starts = np.flatnonzero(new)
+    """A place of each distinct key, or pair of keys, in order of the first; and how often it occurs, or the sum of ``n``."""
+    code = _pair(*keys) if len(keys) > 1 else keys[0]
+    order = np.argsort(code)
+    starts = new_at(code[order])
     if n is None:
         n = np.diff(np.append(starts, len(order)))
     elif len(order):
         n = np.add.reduceat(n[order], starts)
-    return order[starts], n.astype(np.uint64)
+    at, n = order[starts], n.astype(np.uint64)
+    if len(keys) > 1:
+        order = np.argsort(keys[0][at])
+        at, n = at[order], n[order]
+    return at, n
 
 
 def _signed(key: np.uint64) -> int:
@@ -151,8 +168,10 @@ def _signed(key: np.uint64) -> int:
 
 def _follow(context: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The contexts, each once, in order; sums of the numbers of what follows, and how many are one, two, and more."""
-    at, total = _grouped(context, n=n)
-    return context[at], [total, *(_grouped(context, n=x.astype(np.uint64))[1] for x in (n == 1, n == 2, n > 2))]
+    order = np.argsort(context, kind="stable")  # mostly in order
+    context, n = context[order], n[order]
+    starts = new_at(context)
+    return context[starts], [np.add.reduceat(x, starts, dtype=np.uint64) if len(n) else n for x in (n, n == 1, n == 2, n > 2)]
 
 
 def _sums(lang: int, level: int, n: np.ndarray) -> pa.Table:
@@ -200,7 +219,7 @@ def _count_three(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
 
 def _merged(codes: np.ndarray, n: np.ndarray, contexts: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Codes in order, each once, with their numbers as n-grams and their sums as contexts, 0 for what they are not."""
-    every = np.union1d(codes, contexts)
+    every = distinct(np.append(codes, contexts))
     columns = [np.zeros(len(every), np.uint64) for _ in range(1 + len(sums))]
     columns[0][np.searchsorted(every, codes)] = n
     at = np.searchsorted(every, contexts)
@@ -235,6 +254,15 @@ def _count_one(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
     return count
 
 
+def _packed(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
+    def packed(lang: int, rows: pa.Table) -> list[pa.Table]:
+        codes, n = gathered(rows, 3, 1)
+        order = np.argsort(codes)
+        return [dealt(3, lang, codes[order], [n[order]], bits)]
+
+    return packed
+
+
 def _ranges(size: int, shards: int) -> list[tuple[int, int]]:
     """Ranges of shards, first and last: ``TRAIN_RANGES`` of them, or fewer if blocks are."""
     n = max(1, min(TRAIN_RANGES, size // BLOCK_BYTES, shards))
@@ -262,8 +290,12 @@ def train(docs: DataFrame, bits: int = SHARD_BITS) -> Model:
     one = keep(_counted(led, _count_one(bits)), files, by="kind")
     for kind in (_FIRST, _LAST):
         drop(*two, only=f"kind={kind}")
-    tables = [one, *two, *three]
-    every = reduce(DataFrame.unionByName, tables)
+    # Each shard of contexts has told of trigrams in all shards; what is read for each range of texts has one row of a shard and language.
+    told = reduce(DataFrame.unionByName, three).where(F.col("kind") == 3)
+    packed = [keep(_counted(told.where(F.col("shard").between(*part)), _packed(bits)), files, by="kind") for part in parts]
+    drop(*three, only="kind=3")
+    tables = [one, *two, *three, *packed]
+    every = reduce(DataFrame.unionByName, [one, *two, *three])
     taken, root = {}, {}
     sums = every.where(F.col("kind") == _SUMS).groupBy("lang", "level").agg(*(F.sum(x).alias(x) for x in _SUM_NAMES))
     for r in sums.collect():
@@ -272,34 +304,24 @@ def train(docs: DataFrame, bits: int = SHARD_BITS) -> Model:
         if r.level == 1:
             gone = d[1][0] * r.n1 + d[1][1] * r.n2 + d[1][2] * (r.words - r.n1 - r.n2)
             root[r.lang] = (float(r.total), gone / r.total / (r.words + 1))
-    return Model(every.where(F.col("kind").isin(1, 2, 3)).select("kind", "shard", "lang", "codes", "data"), bits, taken, root, tables)
-
+    rows = reduce(DataFrame.unionByName, [one, *two, *packed]).where(F.col("kind").isin(1, 2, 3))
+    return Model(rows.select("kind", "shard", "lang", "codes", "data"), bits, taken, root, tables)
 
-def _read(model: Model) -> Callable[[pa.Table], tuple[np.ndarray, ...]]:
-    """Reads packed rows of the model: codes; of an n-gram its number less what is taken from it, of a single word its
-    chance; of a context its total, and its weight."""
-    all_taken, root = model.taken, model.root
 
-    def less(n: np.ndarray, taken: list[float]) -> np.ndarray:
-        return np.where(n > 0, n - np.array([0, *taken])[np.minimum(n, 3).astype(np.int64)], np.nan)
+def _read(rows: pa.Table) -> tuple[np.ndarray, Taken]:
+    """Codes of packed rows of the model, and what takes their numbers as n-grams, and as contexts their totals and how many follow once,
+    twice, and more often; 0 for what they are not."""
+    codes, n, *follow = (np.concatenate(x) for x in zip(*(gathered(rows, level, 5) for level in (1, 2)), strict=True))
+    three, times = gathered(rows, 3, 1)
+    last = len(codes)
+    codes, n, follow = np.append(codes, three), np.append(n, times), [np.append(x, np.uint64(0)) for x in follow]
+    order = np.argsort(codes)
 
-    def read(rows: pa.Table) -> tuple[np.ndarray, ...]:
-        done = [(np.zeros(0, np.uint64), *[np.zeros(0)] * 3)]
-        for lang in rows.column("lang").unique().to_pylist():
-            own, taken = rows.filter(pc.equal(rows.column("lang"), lang)), all_taken[lang]
-            for level in (1, 2):
-                codes, n, total, *follow = gathered(own, level, 5)
-                seen = less(n, taken[level])
-                if level == 1:
-                    seen = seen / root[lang][0] + root[lang][1]
-                total = np.where(total > 0, total.astype(float), np.nan)
-                gone = sum((x * d for x, d in zip(follow, taken[level + 1], strict=True)), np.zeros(len(codes)))
-                done.append((codes, seen, total, gone / total))
-            codes, n = gathered(own, 3, 1)
-            done.append((codes, less(n, taken[3]), *[np.full(len(codes), np.nan)] * 2))
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+    def taken(at: np.ndarray) -> list[np.ndarray]:
+        own = order[at]
+        return [n[own], *(x[np.minimum(own, last)] for x in follow)]
 
-    return read
+    return codes[order], taken
 
 
 def perplexities(docs: DataFrame, model: Model, langs: list[str], text: str = "text", lang: str = "lang", only: list[str] | None = None) -> DataFrame:
@@ -313,7 +335,12 @@ def perplexities(docs: DataFrame, model: Model, langs: list[str], text: str = "t
     schema = T.StructType([*base.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("perplexity", T.DoubleType())])
     width, files, trained = len(base.columns), files_for(docs), set(langs)
     rows, at = with_text(docs.withColumn("__rw_spoken", F.coalesce(col(lang).cast("string"), F.lit(""))), [*base.columns, "__rw_spoken"], text)
-    name, bits, root = rows.columns[at], model.bits, model.root
+    name, bits = rows.columns[at], model.bits
+    numbers = {key: i for i, key in enumerate(model.root)}
+    tokens, floor = np.array([*model.root.values(), (1, 1e-7)], float).T  # 1e-7: of a language that was not trained
+    gone = np.zeros((4, len(numbers) + 1, 4))  # by level, language, and number
+    for key, i in numbers.items():
+        gone[1:, i, 1:] = model.taken[key][1:]
     ranges = max(1, min(RANGES, text_bytes(rows, name) // BLOCK_BYTES))
 
     def texts(part: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -330,34 +357,42 @@ def perplexities(docs: DataFrame, model: Model, langs: list[str], text: str = "t
         return [(i, codes, np.zeros(len(codes), bool)) for i, codes in enumerate(levels)]
 
     def score(block: int, own: pa.Table, answers: pa.Table) -> pa.Table:
-        codes, *values = answered(answers, "seen", "total", "left")
+        codes, *values = answered(answers, *_NAMES, kind=np.int64)
         place = Places(codes)
-        seen, total, left = (np.append(x, np.nan) for x in values)
+        n, total, *follow = (np.append(x, 0) for x in values)
         done = []
         for part in parts(own, name):
             found = texts(part)
-            # 1e-7: of a language that was not trained
-            floor = np.array([root.get(x, (0, 1e-7))[1] for x in _unseen(found["salts"]).view(np.int64).tolist()])[found["doc"]]
-            out = seen[place(found["word"])]
-            out = np.where(np.isnan(out), floor, out)
-            two = _pair(found["first"], found["one"])
-            for context, longer in ((found["one"], _pair(found["one"], found["word"])), (two, _pair(two, found["word"]))):
-                at = place(context)
-                some = np.flatnonzero(~np.isnan(left[at]))
-                at = at[some]
-                out[some] = np.nan_to_num(seen[place(longer[some])]) / total[at] + left[at] * out[some]
-            starts = found["starts"]
-            n = np.diff(np.append(starts, len(out)))
-            new = [pa.array(n.astype(np.int64)), pa.array(10 ** (-np.add.reduceat(np.log10(out), starts) / n))]
+            lang = np.array([numbers.get(x, len(numbers)) for x in _unseen(found["salts"]).view(np.int64).tolist()], int)[found["doc"]]
+            starts, begin = found["starts"], mix(_BEGIN ^ found["salts"])
+            word, two = place(found["word"]), place(_pair(found["one"], found["word"]))
+            three = place(_pair(_pair(found["first"], found["one"]), found["word"]))
+
+            def seen(at: np.ndarray, level: int, lang: np.ndarray) -> np.ndarray:
+                return n[at] - gone[level, lang, np.minimum(n[at], 3)]
+
+            out = floor[lang]
+            out = np.where(n[word] > 0, seen(word, 1, lang) / tokens[lang] + out, out)
+            # The context of a token ends with the token before it.
+            for level, shorter, first, longer in ((2, word, begin, two), (3, two, _pair(begin, begin), three)):
+                at = np.empty_like(shorter)
+                at[1:] = shorter[:-1]
+                at[starts] = place(first)
+                some = np.flatnonzero(total[at] > 0)
+                at, spoken = at[some], lang[some]
+                left = sum((x[at] * gone[level, spoken, k] for k, x in enumerate(follow, 1)), np.zeros(len(some))) / total[at]
+                out[some] = seen(longer[some], level, spoken) / total[at] + left * out[some]
+            sizes = np.diff(np.append(starts, len(out)))
+            new = [pa.array(sizes.astype(np.int64)), pa.array(10 ** (-np.add.reduceat(np.log10(out), starts) / sizes))]
             done.append(pa.RecordBatch.from_arrays([*part.columns[:width], *new], schema.names))
         if not done:  # answers to a block of which there are no rows
             done = [pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in own.columns[:width]), pa.array([], pa.int64()), pa.array([], pa.float64())], schema.names)]
         return pa.Table.from_batches(done)
 
-    part, scored, read = F.pmod(F.xxhash64(col(name)), F.lit(ranges)), [], _read(model)
+    part, scored = F.pmod(F.xxhash64(col(name)), F.lit(ranges)), []
     for i in range(ranges):
         some = in_blocks(rows.where(part == i), name, files)
-        found = looked_up(ask(some, name, bits, find), model.rows, read, ("seen", "total", "left"))
+        found = looked_up(ask(some, name, bits, find), model.rows, _read, _NAMES)
         scored.append(keep(with_answers(some, found, score, schema), files))
         drop(some)
     return reduce(DataFrame.unionByName, scored)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import TABLES
 from pyspark.sql import functions as F
@@ -339,6 +340,14 @@ def test_sequences_are_asked_about_in_seven_bytes_each():
     assert size < 7 * len(codes)
 
 
+def test_kept_tables_are_read_in_small_groups(spark):
+    """A reader takes a group of rows whole: of packed ones a few thousand are a hundred megabytes and more."""
+    rows = spark.range(0, 4_000, 1, 1).select(F.concat(*(F.sha2(F.concat("id", F.lit(i)).cast("string"), 512) for i in range(200))).cast("binary").alias("codes"))
+    files = [Path(f.removeprefix("file:")) for f in keep(rows, 1).inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in map(pq.read_metadata, files) for i in range(m.num_row_groups)]
+    assert len(sizes) > 3 and max(sizes) < 40 << 20
+
+
 def test_kept_tables_leave_no_exchanges(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     exchanged = lambda: {f for f in map(str, disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f}
