@@ -42,7 +42,7 @@ from .sequences import (
     text_bytes,
     with_answers,
 )
-from .tables import drop, files_for, keep, without
+from .tables import drop, files_for, keep, keep_dealt, without
 from .words import mix, slices, words
 
 TRAIN_CHARS = math.inf  # of trusted text per language: all of it
@@ -51,7 +51,7 @@ BINS = 10_000  # of perplexity, for each factor of e
 RANGE_BITS = 12  # of the hash, for the ranges that the sample is taken from
 _BEGIN, _END, _UNSEEN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0x082EFA98EC4E6C89)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-RANGES = 16  # of texts, which are scored one after the other
+RANGES = 8  # of texts, which are scored one after the other
 TRAIN_RANGES = 4  # of shards, which are counted one after the other
 SHARD_BITS = 4  # at least
 
@@ -64,7 +64,7 @@ _COUNTED = f"{HELD}, level int, {', '.join(f'{x} long' for x in _SUM_NAMES)}"
 
 @dataclass
 class Model:
-    """``rows``: packed by shard, of which ``bits`` of a hash tell; n-grams of one and two words (kind 1 and 2) with their number, and as
+    """``rows``: packed and in buckets by shard, of which ``bits`` of a hash tell; n-grams of one and two words (kind 1 and 2) with their number, and as
     contexts, with the sum of the numbers of what follows and how many of these are one, two, and more; those of three words (kind 3)
     with their number. ``taken``: of each language (by its key) and length, what is taken from the numbers one, two, and more;
     ``root``: of each language the sum of the numbers of words, and the chance of a word never seen."""
@@ -73,7 +73,6 @@ class Model:
     bits: int
     taken: dict[int, list[list[float]]]
     root: dict[int, tuple[float, float]]
-    tables: list[DataFrame]
 
 
 def _hashes(part: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -256,9 +255,12 @@ def _count_one(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
 
 def _packed(bits: int) -> Callable[[int, pa.Table], list[pa.Table]]:
     def packed(lang: int, rows: pa.Table) -> list[pa.Table]:
-        codes, n = gathered(rows, 3, 1)
-        order = np.argsort(codes)
-        return [dealt(3, lang, codes[order], [n[order]], bits)]
+        done = []
+        for kind, width in ((1, 5), (2, 5), (3, 1)):
+            codes, *columns = gathered(rows, kind, width)
+            order = np.argsort(codes)
+            done.append(dealt(kind, lang, codes[order], [x[order] for x in columns], bits))
+        return done
 
     return packed
 
@@ -290,11 +292,6 @@ def train(docs: DataFrame, bits: int = SHARD_BITS) -> Model:
     one = keep(_counted(led, _count_one(bits)), files, by="kind")
     for kind in (_FIRST, _LAST):
         drop(*two, only=f"kind={kind}")
-    # Each shard of contexts has told of trigrams in all shards; what is read for each range of texts has one row of a shard and language.
-    told = reduce(DataFrame.unionByName, three).where(F.col("kind") == 3)
-    packed = [keep(_counted(told.where(F.col("shard").between(*part)), _packed(bits)), files, by="kind") for part in parts]
-    drop(*three, only="kind=3")
-    tables = [one, *two, *three, *packed]
     every = reduce(DataFrame.unionByName, [one, *two, *three])
     taken, root = {}, {}
     sums = every.where(F.col("kind") == _SUMS).groupBy("lang", "level").agg(*(F.sum(x).alias(x) for x in _SUM_NAMES))
@@ -304,8 +301,11 @@ def train(docs: DataFrame, bits: int = SHARD_BITS) -> Model:
         if r.level == 1:
             gone = d[1][0] * r.n1 + d[1][1] * r.n2 + d[1][2] * (r.words - r.n1 - r.n2)
             root[r.lang] = (float(r.total), gone / r.total / (r.words + 1))
-    rows = reduce(DataFrame.unionByName, [one, *two, *packed]).where(F.col("kind").isin(1, 2, 3))
-    return Model(rows.select("kind", "shard", "lang", "codes", "data"), bits, taken, root, tables)
+    # Each shard of contexts has told of trigrams in all shards; what is read for each range of texts has one row of a shard, language and kind.
+    names = ["kind", "shard", "lang", "codes", "data"]
+    rows = keep_dealt(every.where(F.col("kind").isin(1, 2, 3)).select(names), "shard", lambda x: _counted(x, _packed(bits)).select(names))
+    drop(one, *two, *three)
+    return Model(rows, bits, taken, root)
 
 
 def _read(rows: pa.Table) -> tuple[np.ndarray, Taken]:
@@ -486,7 +486,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, wit
     own = [name for name in base.columns if with_text or name.lower() != "text"]
     facts = {"__rw_lang": F.coalesce("lang", F.lit("")), "__rw_h": F.xxhash64(F.coalesce("text", F.lit("")))}
     rows = perplexities(base.withColumns(facts), model, langs, only=[*own, *facts])
-    drop(*model.tables)
+    drop(model.rows)
     scored = rows.select("doc_id", F.col("__rw_lang").alias("lang"), F.col("__rw_h").alias("h"), "perplexity")
     limits = keep(_thresholds(scored, labels, trained, quantile).withColumnRenamed("lang", "__rw_of"), 1)
     drop(trained)

@@ -167,6 +167,28 @@ def test_quality_query(spark):
     assert share[1] > 0.9 and share[0] < 0.5
 
 
+def test_model_is_packed_once_and_not_exchanged_again(spark, monkeypatch):
+    monkeypatch.setattr(sequences, "SHARD_BYTES", 500)
+    random.seed(2)
+    texts = [" ".join(random.choices("a b c d e f the of".split(), k=random.randint(1, 30))) for _ in range(300)]
+    model = quality.train(spark.createDataFrame([(x, t) for t in texts for x in ("en", "fr")], "lang string, text string"))
+    assert model.bits > 5
+    assert model.rows.groupBy("kind", "shard", "lang").count().where("count > 1").count() == 0
+    asks = spark.range(9).selectExpr("id as shard", "id as block", "cast('' as binary) as codes").repartition(3)
+    plan = sequences.looked_up(asks, model.rows, quality._read, quality._NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(shard") == 1
+
+
+def test_sets_are_sorted_not_hashed():
+    values = np.random.default_rng(3).integers(0, 1 << 64, 1 << 20, np.uint64, endpoint=False)
+    assert np.array_equal(sequences.distinct(values), np.sort(np.array(list(set(values.tolist())), np.uint64)))
+    held = [[(1, values[i::4], np.arange(len(values[i::4])) % 3 == 0)] for i in range(4)]
+    held += [[(1, values[:1000], np.ones(1000, bool))]]
+    rows = sequences.merged(5, held, 4)
+    assert np.array_equal(np.concatenate([sequences.unpack_codes(x) for x in rows.column("codes").to_pylist()]), sequences.distinct(values))
+    assert sum(sequences.unpack(x).sum() for x in rows.column("n").to_pylist()) == sum(counts.sum() for [(_, _, counts)] in held)
+
+
 def folders(spark):
     root = Path(spark.conf.get("spark.checkpoint.dir")) / spark.sparkContext.applicationId
     return {p for p in root.iterdir() if any(p.rglob("*.parquet"))} if root.exists() else set()
