@@ -179,6 +179,13 @@ def test_model_is_packed_once_and_not_exchanged_again(spark, monkeypatch):
     assert plan.count("Exchange hashpartitioning(shard") == 1
 
 
+def test_packed_rows_are_small():
+    codes = np.sort(np.random.default_rng(4).integers(0, 1 << 64, 200_000, np.uint64, endpoint=False))
+    rows = sequences.dealt(2, 1, codes, [codes[::-1].copy()], 1)
+    assert max(len(x) for k in ("codes", "data") for x in rows.column(k).to_pylist()) < 1 << 18
+    assert all(np.array_equal(a, b) for a, b in zip(sequences.gathered(rows, 2, 1), [codes, codes[::-1]], strict=True))
+
+
 def test_sets_are_sorted_not_hashed():
     values = np.random.default_rng(3).integers(0, 1 << 64, 1 << 20, np.uint64, endpoint=False)
     assert np.array_equal(sequences.distinct(values), np.sort(np.array(list(set(values.tolist())), np.uint64)))
